@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, splitting
+from . import bpe, packing, residue, splitting
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +41,24 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.round(F.avg("used") / packing.CAPACITY, 6).alias("share"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, kind of the residue in every document."""
+    documents = table(spark, d, "documents")
+    return residue.residue(documents, residue.fit(documents))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of the documents with text and without residue."""
+    documents = table(spark, d, "documents")
+    return residue.clean(documents.where("trim(text) <> ''"), p9_found(spark, d)).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
 }
