@@ -2,13 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, residue, splitting
+from . import bpe, langid, packing, residue, splitting
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """origin, item_id, text, label of every text with a language label."""
+    doc = table(spark, d, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").cast("string").alias("item_id"), "text", F.col("lang").alias("label"))
+    exp = table(spark, d, "markdown_exports").select(F.lit("export").alias("origin"), F.col("export_id").cast("string").alias("item_id"), F.col("primary_markdown").alias("text"), F.col("lang").alias("label"))
+    case = table(spark, d, "translation_cases").select(F.lit("translation_case").alias("origin"), F.col("id").alias("item_id"), F.col("source").alias("text"), F.col("source_lang").alias("label"))
+    return doc.unionByName(exp).unionByName(case).where("item_id is not null")
+
+
+def language_model(spark: SparkSession, d: str) -> langid.Model:
+    """The network, trained on a bounded sample of the labelled documents, exports and expected translations."""
+    doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    exp = table(spark, d, "markdown_exports").select(F.col("export_id").cast("string").alias("id"), F.col("primary_markdown").alias("text"), "lang")
+    case = table(spark, d, "translation_cases").select("id", F.col("expected").alias("text"), F.col("target_lang").alias("lang"))
+    return langid.fit(langid.sample([doc, exp, case]))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every text (block -1) and of every block of running text."""
+    return langid.segments(_labelled(spark, d), language_model(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """origin, item_id, block_no, lang of missing or wrong labels and of blocks in another language.
+
+    Residue is only looked for in documents that have a case; those with residue are left out.
+    """
+    cases = langid.wrong_labels(_labelled(spark, d), language_model(spark, d), keep_text=True)
+    shared = spark.sparkContext.broadcast(residue.fit(table(spark, d, "documents")))
+
+    def without_residue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].where(b["text"].notna(), None).tolist()
+            distinct = sorted({t for t in texts if t})
+            bad = {t for t, kinds in zip(distinct, residue.kinds_of(shared.value, distinct)) if kinds}
+            yield b.loc[[t not in bad for t in texts], ["origin", "item_id", "block_no", "lang"]]
+
+    found = cases.mapInPandas(without_residue, "origin string, item_id string, block_no int, lang string")
+    return found.distinct()
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +95,8 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_ids": p7_ids,
