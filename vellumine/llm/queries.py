@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, packing, residue, splitting
+from . import bpe, langid, packing, residue, sentences, splitting
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.distinct()
 
 
+def _running(spark: SparkSession, d: str) -> DataFrame:
+    """origin, item_id, text of the exports that were not scanned and of the expected translations; repeats count once."""
+    exp = table(spark, d, "markdown_exports").where("ocr_pages = 0").select(F.lit("export").alias("origin"), F.col("export_id").cast("string").alias("item_id"), F.col("primary_markdown").alias("text"))
+    case = table(spark, d, "translation_cases").select(F.lit("translation_case").alias("origin"), F.col("id").alias("item_id"), F.col("expected").alias("text"))
+    return exp.unionByName(case).where("item_id is not null and text is not null").dropDuplicates()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """origin, item_id, start_pos, end_pos of every sentence."""
+    return p3_sentences(spark, d).select("origin", "item_id", "start_pos", "end_pos").distinct()
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence with its text."""
+    items = _running(spark, d)
+    return sentences.split(items, sentences.learn(items))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return splitting.sized_items(table(spark, d, "markdown_exports"), table(spark, d, "markdown_chapters"), table(spark, d, "size_limits"))
 
@@ -97,6 +115,8 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_ids": p7_ids,
