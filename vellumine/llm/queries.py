@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, packing, residue, sentences, splitting
+from . import bpe, langid, ocr, packing, residue, sentences, splitting
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,20 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(items, sentences.learn(items))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.scanned(table(spark, d, "markdown_exports"), table(spark, d, "pdf_review_issues"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """origin, item_id, line_no, defect of every noisy line of the scanned texts."""
+    return ocr.defects(_scanned(spark, d))[0]
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts repaired into continuous paragraphs."""
+    return ocr.paragraphs(_scanned(spark, d).dropDuplicates(["origin", "item_id"]))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return splitting.sized_items(table(spark, d, "markdown_exports"), table(spark, d, "markdown_chapters"), table(spark, d, "size_limits"))
 
@@ -117,6 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_ids": p7_ids,
