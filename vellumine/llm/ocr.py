@@ -48,8 +48,7 @@ _NUMBER = re.compile(rf"^[\s\-–—\[(|·•*]*(?:{_WORDED}\.?\s*)?[\s\-–—\
 _LEADNUM = re.compile(rf"^({_NUM})\s*(?:[|·–—-]\s*)?(?=\s|[|])\s*[|·–—]?\s*(\S.*)$")
 _TAILNUM = re.compile(rf"^(.*\S)\s+(?:[|·–—]\s*)?({_NUM})$")
 _TOKEN = re.compile(r"[\w�]+(?:­[\w�]+)*")
-_URL = re.compile(r"https?\S*|www\.\S+|\S+@\S+")
-_CODE = re.compile(r"^(?:[^\W\d]{0,2}\d+[^\W\d]{0,2}|\d+|_+)$")
+_CODE = re.compile(r"^(?:[^\W\d]?\d+[^\W\d]?|_+)$")
 _SPACED = re.compile(r"(?<![\w.'’])(?:[^\W\d_] ){2,}[^\W\d_](?![\w'’]|\.\s?\w)")
 _COMPOUND = re.compile(r"(?=\b([^\W\d_]{2,})-([^\W\d_]{2,}))")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -141,8 +140,11 @@ def edges(page: Page, lines: list[str]) -> list[int]:
 
 
 def _number_line(line: str) -> str | None:
-    m = _NUMBER.match(line.strip())
-    return m.group(1) if m and number(m.group(1)) is not None else None
+    s = line.strip()
+    m = _NUMBER.match(s)
+    if not m or number(m.group(1)) is None or (")" in s) != ("(" in s) or ("]" in s) != ("[" in s):
+        return None
+    return None if s.endswith(".") and s[0].isdigit() else m.group(1)
 
 
 def _after_colon(i: int, lines: list[str]) -> bool:
@@ -225,9 +227,8 @@ def margins_unmarked(lines: list[str]) -> tuple[set[int], set[int]]:
 
 
 def _words(line: str) -> list[tuple[str, int]]:
-    """(lower-case word, position) of a body line; codes, numbers and addresses are none."""
-    clean = _URL.sub(lambda m: " " * len(m.group()), line) if "http" in line or "@" in line or "www" in line else line
-    return [(m.group().lower(), m.start()) for m in _TOKEN.finditer(clean) if not _CODE.match(m.group())]
+    """(lower-case word, position) of a body line; codes and numbers are none."""
+    return [(m.group().lower(), m.start()) for m in _TOKEN.finditer(line) if not _CODE.match(m.group())]
 
 
 def read(text: str, origin: str, known: list[str] | None = None, given: int | None = None) -> dict:
