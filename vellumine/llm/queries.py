@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, ocr, packing, residue, sentences, splitting
+from . import bpe, langid, ocr, packing, pairs, residue, sentences, splitting
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +98,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(_items(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """name, response_no, defect of every defective answer."""
+    return pairs.defects(table(spark, d, "response_cases"), language_model(spark, d)).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """doc_id and ids of every document."""
     return bpe.encode_column(table(spark, d, "documents"))
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
