@@ -1,7 +1,7 @@
 """Named queries: operators applied to whole tables, with SQL where it can express them."""
 
-from . import jobstore
+from . import corpus, jobstore, records, versions
 
-MODULES = (jobstore,)
+MODULES = (jobstore, corpus, versions, records)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
