@@ -41,7 +41,7 @@ def apply_hook(df: DataFrame, key: str, text: str, hook: Callable[[str], str], n
     return done.unionByName(rest).withColumnRenamed("k", key)
 
 
-def protect(text: Column, pattern: str, mark: str = "") -> tuple[Column, Column]:
+def protect(text: Column, pattern: str, mark: str = "\ue000") -> tuple[Column, Column]:
     """The text with every match replaced by a numbered mark, and the array of matches; restore() puts them back."""
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     pieces = F.split(text, f"(?:{pattern})")
@@ -53,7 +53,7 @@ def protect(text: Column, pattern: str, mark: str = "") -> tuple[Column, Colu
     return F.when(F.size(values) == 0, text).otherwise(marked), values
 
 
-def restore(text: Column, values: Column, mark: str = "") -> Column:
+def restore(text: Column, values: Column, mark: str = "\ue000") -> Column:
     """The text with its numbered marks replaced; null where a mark is lost, repeated or unknown."""
     seen = F.regexp_extract_all(text, F.lit(f"{mark}([0-9]+){mark}"), F.lit(1))
     whole = F.array_sort(F.transform(seen, lambda x: x.cast("int"))) == F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))

@@ -70,10 +70,9 @@ def box_pairs(left: DataFrame, right: DataFrame, by: list[str], share: float = 0
 
 def dedupe_characters(chars: DataFrame) -> DataFrame:
     """The characters, one of each pile: equal text, font and rounded size at nearly the same place; the first stays."""
-    key = ["doc_id", "page", "text", "font", "upright", F.round("size", 2).alias("s"), F.round(F.col("x0") * 2).alias("gx"), F.round(F.col("top") * 2).alias("gy")]
-    c = chars.select("*", *key[5:])
-    w = W.partitionBy("doc_id", "page", "text", "font", "upright", "s", "gx", "gy").orderBy("line_no", "char_no")
-    return c.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "s", "gx", "gy")
+    place = [F.round("size", 2).alias("_s"), F.round(F.col("x0") * 2).alias("_gx"), F.round(F.col("top") * 2).alias("_gy")]
+    w = W.partitionBy("doc_id", "page", "text", "font", "upright", "_s", "_gx", "_gy").orderBy("line_no", "char_no")
+    return chars.select("*", *place).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_s", "_gx", "_gy")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:

@@ -149,8 +149,11 @@ class _Markdown(HTMLParser):
             self.put(data if self.pre else re.sub(r"\s+", " ", data))
 
     def text(self) -> str:
-        lines = [x.rstrip() for x in "".join(self.out).split("\n")]
-        return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith(("  ", "```")) else x.lstrip() if not x.startswith(" -") else x for x in lines)).strip()
+        out, code = [], False
+        for x in "".join(self.out).split("\n"):
+            code ^= x.startswith("```")
+            out.append(x.rstrip() if code or x.lstrip().startswith(("-", "1")) else x.strip())
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
 def html_markdown(html: str) -> str:

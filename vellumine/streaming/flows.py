@@ -12,9 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.history import latest
 
 
-def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
-    """window start, kind, n; rows later than the watermark are left out."""
-    e = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str | None) -> DataFrame:
+    """window start, kind, n; rows later than the watermark are left out. late: None where the events carry a watermark."""
+    e = (events.withWatermark(time, late) if late else events).groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.col("w.start").alias("start"), kind, "n")
 
 
