@@ -62,6 +62,7 @@ _RUN = re.compile(
     r"|(?P<Devanagari>[ऀ-ॣ॰-ॿ]+)|(?P<Arabic>[ؐ-ٟؠ-ۿݐ-ݿ]+)|(?P<Cyrillic>[Ѐ-ӿ]+)|(?P<Latin>[A-Za-zÀ-ÖØ-öø-ɏ]+)"
 )
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _OTHER = re.compile(r"[Ͱ-῿⺀-\uffff]")
 _NOISE = re.compile(r"https?://\S+|`[^`\n]*`|<[^<>\n]+>|\b\S+@\S+")
 _STOP = re.compile(r"(?<=[.!?…])[\"”’»“)\]]*\s+|(?<=[。！？।؟])[”’」』»）)]*\s*|\n(?=[-*|#>])")
@@ -354,64 +355,73 @@ def sentences(text: str) -> list[str]:
 def label_texts(model: Model, texts: list[str | None], labels: list[str | None] | None = None) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
     """Of each text: its language, confidence, and (block, language, confidence) of every block of running text.
 
-    The language of a text is the one of most of its running text, measured in bytes, so that scripts weigh alike.
+    The language of a text is the one of most of its running text, in characters, of which the wide ones count more.
     """
-    plan, units = [], []
+    units: list[str] = []
+    firsts: list[int] = []  # first unit of each chosen block
+    numbers: list[int] = []  # block number, -1 where the text has no running text
+    starts: list[int] = []  # first chosen block of each text
     for t in texts:
-        mine = []
-        if t and t.strip():
-            all_blocks = blocks(t)
-            chosen = [b for b in all_blocks if b.kind == RUNNING]
-            rest = not chosen
-            if rest:
-                chosen = [b for b in all_blocks if b.kind in ("quote", "heading", "list")] or [b for b in all_blocks if b.kind in ("front", "table")]
-            for b in chosen:
-                s = sentences(t[b.start : b.end])
-                mine.append((b.no, len(units), len(units) + len(s), rest))
-                units += s
-        plan.append(mine)
-    scores = model.score(units) if units else np.zeros((0, len(model.network.languages)), np.float32)
-    top2 = np.sort(scores, axis=1)[:, -2:] if len(units) else np.zeros((0, 2))
-    sure = (top2[:, 1] - top2[:, 0]) > MARGIN
-    pick = scores.argmax(1) if len(units) else np.zeros(0, int)
-    size = np.array([len(u.encode("utf-8", "replace")) for u in units])
+        starts.append(len(firsts))
+        if not t or not t.strip():
+            continue
+        found = blocks(t)
+        chosen = [b for b in found if b.kind == RUNNING]
+        running = bool(chosen)
+        if not running:
+            chosen = [b for b in found if b.kind in ("quote", "heading", "list")] or [b for b in found if b.kind in ("front", "table")]
+        for b in chosen:
+            own = sentences(t[b.start : b.end])
+            if own:
+                firsts.append(len(units))
+                numbers.append(b.no if running else -1)
+                units += own
     langs, n = model.network.languages, len(model.network.languages)
+    if not units:
+        return [(None, 0.0, []) for _ in texts]
+    scores = model.score(units)
+    pair = np.partition(scores, -2, axis=1)[:, -2:]
+    sure = (pair[:, 1] - pair[:, 0]) > MARGIN
+    pick = scores.argmax(1)
+    size = np.array([len(u) + 1.5 * len(_WIDE.findall(u)) for u in units])
+    ends = np.array([*firsts[1:], len(units)])
+    block_of = np.repeat(np.arange(len(firsts)), ends - np.array(firsts))
+    nb = len(firsts)
+    totals = np.add.reduceat(scores, firsts, axis=0)
+    cell = block_of[sure] * n + pick[sure]
+    votes = np.bincount(cell, minlength=nb * n).reshape(nb, n)
+    chars = np.bincount(cell, weights=size[sure], minlength=nb * n).reshape(nb, n)
+    best = np.where(votes == votes.max(1, keepdims=True), totals, -np.inf).argmax(1)
+    mine = sure & (pick == best[block_of])
+    own = np.add.reduceat(scores * mine[:, None], firsts, axis=0)
+    z = np.exp(totals - totals.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    count = votes.sum(1)
+    share = np.where((count > 0) & (count > votes[np.arange(nb), best]), votes[np.arange(nb), best] / np.maximum(count, 1), z[np.arange(nb), best])
+    said_something = totals.any(1)
     out = []
-    for i, mine in enumerate(plan):
-        if not mine:
-            out.append((None, 0.0, []))
-            continue
-        text_chars = np.zeros(n)
-        pooled = np.zeros(n)
-        found = []
-        for no, a, b, rest in mine:
-            total = scores[a:b].sum(0)
-            if not total.any():
-                continue
-            votes = np.bincount(pick[a:b][sure[a:b]], minlength=n)
-            ok = sure[a:b]
-            chars = np.bincount(pick[a:b][ok], weights=size[a:b][ok], minlength=n)
-            z = np.exp(total - total.max())
-            z /= z.sum()
-            k = int(max(range(n), key=lambda i: (votes[i], total[i]))) if votes.any() else int(total.argmax())
-            text_chars += chars
-            pooled += total
-            if not rest:
-                own = scores[a:b][ok & (pick[a:b] == k)].sum(0)
-                found.append((no, k, float(votes[k] / votes.sum()) if votes.any() and votes.sum() > votes[k] else float(z[k]), own))
-        if not pooled.any():
+    starts.append(nb)
+    for i, (a, b) in enumerate(zip(starts, starts[1:])):
+        if a == b or not said_something[a:b].any():
             out.append((None, 0.0, []))
             continue
-        k = int(max(range(n), key=lambda i: (text_chars[i], pooled[i]))) if text_chars.any() else int(pooled.argmax())
+        text_chars, pooled = (chars[a], totals[a]) if b == a + 1 else (chars[a:b].sum(0), totals[a:b].sum(0))
+        top = text_chars.max()
+        k = int(pooled.argmax()) if not top else int(np.where(text_chars == top, pooled, -np.inf).argmax())
         said = code_of(labels[i]) if labels else None
         if said in langs and pooled[k] - pooled[langs.index(said)] < DOUBT:
             k = langs.index(said)
-        share = text_chars[k] / text_chars.sum() if text_chars.any() else 1.0
-        z = np.exp(pooled - pooled.max())
-        z /= z.sum()
-        # a block is in another language only where its own sentences say so clearly
-        kept = [(no, langs[x] if x == k or own[x] - own[k] > EVIDENCE else langs[k], c) for no, x, c, own in found]
-        out.append((langs[k], float(share if text_chars.any() and share < 1 else z[k]), kept))
+        part = text_chars[k] / text_chars.sum() if top else 1.0
+        if part >= 1:
+            p = np.exp(pooled - pooled.max())
+            part = p[k] / p.sum()
+        kept = []
+        for j in range(a, b):
+            if numbers[j] >= 0 and said_something[j]:
+                x = int(best[j])
+                # a block is in another language only where its own sentences say so clearly
+                kept.append((numbers[j], langs[x] if x == k or own[j, x] - own[j, k] > EVIDENCE else langs[k], float(share[j])))
+        out.append((langs[k], float(part), kept))
     return out
 
 
