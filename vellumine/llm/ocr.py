@@ -79,7 +79,7 @@ def head_keys(line: str) -> list[tuple[str, str | None]]:
     """(key, number text) readings of a line as a header, with and without a number beside it."""
     s = line.strip()
     out = []
-    if not s or len(s) > 80:
+    if not s or len(s) > 80 or s[-1] in ".,;:!?…":
         return out
     for pattern, rest, num in ((_TAILNUM, 1, 2), (_LEADNUM, 2, 1)):
         if (m := pattern.match(s)) and number(m.group(num)) is not None and any(c.isdigit() for c in m.group(num)) | (len(m.group(num)) > 1) | (m.group(num) in "Il"):
@@ -201,15 +201,17 @@ def margins_unmarked(lines: list[str]) -> tuple[set[int], set[int]]:
     heads: set[int] = set()
     numbers: set[int] = set()
     where: dict[str, list[tuple[int, str | None]]] = {}
+    width = max(map(len, lines))
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 60 or s[-1] in ".,;:!?…-" or s[0].islower() or _number_line(s) is not None:
-            continue
+        bare = re.sub(r"^[\dIlOo]+\s+|\s+[|·]?\s*[\dIlOo]+$", "", s)
+        if not s or len(bare) > 0.8 * width or s[-1] in ".,;:!?…-" or s[0].islower() or re.search(r"[.!?…] ", s) or _number_line(s) is not None:
+            continue  # full lines, and lines that hold a sentence's end, are body
         for key, num in head_keys(s):
             where.setdefault(key, []).append((i, num))
     for at in where.values():
         rows = [i for i, _ in at]
-        if len(rows) >= PAGES and min(b - a for a, b in zip(rows, rows[1:])) >= 6:
+        if 1 + sum(b - a >= 6 for a, b in zip(rows, rows[1:])) >= PAGES:
             heads |= set(rows)
             numbers |= {i for i, num in at if num is not None}
     strong = {k for k, at in where.items() if any(i in heads for i, _ in at)}
@@ -221,7 +223,7 @@ def margins_unmarked(lines: list[str]) -> tuple[set[int], set[int]]:
     for i, v in loose:
         beside = any(j in heads for j in (i - 2, i - 1, i + 1, i + 2))
         steps = any(i != j and v is not None and w is not None and abs(j - i) >= 6 and 0 < abs(w - v) <= 3 and (w > v) == (j > i) and abs(j - i) // 6 >= abs(w - v) for j, w in loose)
-        if beside or steps or re.search(rf"(?i)^\W*{_WORDED}\b", lines[i].strip()):
+        if beside or steps or re.search(rf"(?i)^\W*{_WORDED}\b|^[-–—\[(]\s*\w+\s*[-–—\])]$|^\w+ ?/ ?[0-9]+$", lines[i].strip()):
             numbers.add(i)
     return heads, numbers
 
