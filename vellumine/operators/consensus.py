@@ -47,7 +47,7 @@ def spelling_outliers(df: DataFrame, key: str, text: str) -> DataFrame:
     rare = w.where("n = 1").select(key, "edge", "word")
     good = w.where("n >= 4").select(key, "edge", F.col("word").alias("right"))
     near = rare.join(good, [key, "edge"]).where(F.levenshtein("word", "right") == 1)
-    return near.groupBy(key, "word").agg(F.min("right").alias("right"), F.count(F.lit(1)).alias("k")).where("k = 1").select(key, "word", "right")
+    return near.groupBy(key, "word").agg(F.min("right").alias("right"), F.count(F.lit(1)).alias("_k")).where("_k = 1").select(key, "word", "right")
 
 
 def glossary_hits(cases: DataFrame, key: str, source: str, target: str, glossary: str) -> DataFrame:
