@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import RUNNING, blocks
@@ -327,22 +327,36 @@ def fit(rows: list[tuple[str, str]], languages: list[str] | None = None) -> Mode
     return Model(network)
 
 
+def code_column(label: Column) -> Column:
+    """code_of as a column; null where it gives None or '?'."""
+    table = F.create_map(*[F.lit(x) for kv in _CODE.items() for x in kv])
+    low = F.lower(F.trim(label))
+    return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.regexp_extract(low, r"^([^-_ (]+)", 1)))
+
+
 def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]]:
     """At most size (text, code) rows of each language, of least hash. sources: frames of id, text, lang.
 
-    The rank limit is applied before the shuffle, so a language that holds most rows costs no more than any other.
+    A first pass over the labels alone counts the languages; the second reads texts only of ids whose hash falls in a
+    share that still holds some eight times the sample, so neither the sort nor the driver sees more at any size.
     """
     from pyspark.sql import Window
 
-    spelt = F.udf(code_of, "string")
+    known = [s.withColumn("code", code_column(F.col("lang"))).where("code is not null") for s in sources]
+    labels = known[0].select("code")
+    for s in known[1:]:
+        labels = labels.unionByName(s.select("code"))
+    counts = {r["code"]: r["n"] for r in labels.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a dozen rows
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, n // (8 * size)))])
     rows = None
-    for s in sources:
-        labels = s.select("lang").distinct().withColumn("code", spelt("lang")).where("code is not null and code <> '?'")
-        one = s.where("length(text) > 20").select(F.xxhash64("id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-        one = one.join(labels, "lang").select("code", "h", "text")
+    for s in known:
+        one = s.where((F.pmod(F.xxhash64("id"), share[F.col("code")]) == 0) & (F.length("text") > 20))
+        one = one.select("code", F.xxhash64("id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
         rows = one if rows is None else rows.unionByName(one)
     ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))).where(F.col("k") <= size)
-    return [(r.text, r.code) for r in ranked.select("code", "text", "h").orderBy("code", "h", "text").collect()]
+    return [(t, c) for c, _, t in sorted((r["code"], r["h"], r["text"]) for r in ranked.select("code", "text", "h").collect())]
 
 
 # ---- texts -----------------------------------------------------------------------------------------------------

@@ -325,8 +325,14 @@ def run_headers(items: DataFrame) -> DataFrame:
 
 
 def with_headers(items: DataFrame) -> DataFrame:
-    """The items with known, the header keys that their run of pages shows."""
-    return items.join(run_headers(items), ["text_id", "page"], "left")
+    """The items with known, the header keys that their run of pages shows.
+
+    Only review pages belong to runs; they are joined once and cut. Exports are whole texts, read as they are.
+    """
+    pages = items.where("origin = 'issue'")
+    joined_ = pages.join(run_headers(items), ["text_id", "page"], "left").select(*items.columns, "known")
+    whole = items.where("origin <> 'issue'").withColumn("known", F.lit(None).cast("array<string>"))
+    return whole.unionByName(cut(joined_))
 
 
 def _known(value: object) -> list[str]:
@@ -429,7 +435,7 @@ def look(items: DataFrame, frequent: set[str]) -> DataFrame:
 
 def defects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(origin, item_id, line_no, defect) of every noisy line, and (word, right) of the misread words."""
-    items = cut(with_headers(items))
+    items = with_headers(items)
     vocab = cut(vocabulary(items))
     frequent = {r.word for r in vocab.where(F.col("n") >= RATIO * FREQUENT).where("word rlike '^\\\\p{L}+$'").orderBy(F.desc("n"), "word").limit(TOP).collect()}
     fixes = cut(corrections(vocab))

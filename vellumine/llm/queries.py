@@ -53,21 +53,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _running(spark: SparkSession, d: str) -> DataFrame:
-    """origin, item_id, text of the exports that were not scanned and of the expected translations; repeats count once."""
+    """origin, item_id, text of the exports that were not scanned and of the expected translations."""
     exp = table(spark, d, "markdown_exports").where("ocr_pages = 0").select(F.lit("export").alias("origin"), F.col("export_id").cast("string").alias("item_id"), F.col("primary_markdown").alias("text"))
     case = table(spark, d, "translation_cases").select(F.lit("translation_case").alias("origin"), F.col("id").alias("item_id"), F.col("expected").alias("text"))
-    return exp.unionByName(case).where("item_id is not null and text is not null").dropDuplicates()
+    return exp.unionByName(case).where("item_id is not null and text is not null")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """origin, item_id, start_pos, end_pos of every sentence."""
-    return p3_sentences(spark, d).select("origin", "item_id", "start_pos", "end_pos").distinct()
+    items = _running(spark, d)
+    return sentences.split(items, sentences.learn(items), keep_text=False).distinct()
 
 
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence with its text."""
+    """Every sentence with its text; sentences of repeated rows count once."""
     items = _running(spark, d)
-    return sentences.split(items, sentences.learn(items))
+    return sentences.split(items, sentences.learn(items)).dropDuplicates(["origin", "item_id", "start_pos", "end_pos"])
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +96,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The numbered pieces of every item; an item within its limit is one piece."""
-    return splitting.split_items(_items(spark, d))
+    return splitting.split_items(_items(spark, d)).dropDuplicates(["origin", "item_id", "piece_no"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -130,14 +130,14 @@ def split_items(items: DataFrame) -> DataFrame:
 
 
 def sized_items(exports: DataFrame, chapters: DataFrame, limits: DataFrame) -> DataFrame:
-    """Exports and chapters with the limits of their kind; an exact repeat of an item counts once."""
+    """Exports and chapters with the limits of their kind."""
     e = exports.select(F.lit("export").alias("origin"), F.col("export_id").cast("string").alias("item_id"), F.col("primary_markdown").alias("text"))
     c = chapters.select(F.lit("chapter").alias("origin"), F.concat_ws("/", "export_id", "chapter_no").alias("item_id"), F.col("markdown").alias("text"))
     sizes = limits.select(F.col("item_kind").alias("origin"), "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
-    return e.unionByName(c).where("item_id is not null and text is not null").dropDuplicates().join(F.broadcast(sizes), "origin")
+    return e.unionByName(c).where("item_id is not null and text is not null").join(F.broadcast(sizes), "origin")
 
 
 def oversized(items: DataFrame) -> DataFrame:
-    """The items that the splitter had to cut, or whose text is longer than its limit all the same."""
+    """The items longer than their limit: those that the splitter cuts. Shorter ones are one piece and need no splitting."""
     long = items.where(F.length("text") > F.col("max_chars"))
     return split_items(long).where("piece_no = 1").select("origin", "item_id").distinct()
