@@ -34,4 +34,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     **{f"p1_table_{tag}": _flat(tag) for tag in nested.SCHEMAS},
 }
-SQL: dict[str, str] = {}
+def _open(j: str) -> str:
+    """One step towards the record: out of a string, a one-item list or a wrapping key."""
+    return f"""CASE json_type({j}) WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({j}, '$')) THEN CAST(json_extract_string({j}, '$') AS JSON) END
+        WHEN 'ARRAY' THEN CASE WHEN json_array_length({j}) = 1 THEN json_extract({j}, '$[0]') END
+        WHEN 'OBJECT' THEN CASE WHEN len(json_keys({j})) = 1 THEN coalesce(json_extract({j}, '$.job'), json_extract({j}, '$.review'), {j}) ELSE {j} END END"""
+
+
+def _member(key: str) -> str:
+    return f"json_extract(c, '$.\"' || {key} || '\"')"
+
+
+def _entries(relation: str, source: str, collection: str, key: str) -> str:
+    """Children of a collection that is a list of objects or pairs, one pair, one object, or a map."""
+    return f"""
+        SELECT '{relation}' AS relation, id AS parent_id, CASE json_type(x) WHEN 'ARRAY' THEN json_extract_string(x, '$[0]') ELSE json_extract_string(x, '$.{key}') END AS child_key, x AS node
+        FROM (SELECT id, unnest(CAST(json_extract(c, '$[*]') AS JSON[])) AS x FROM (SELECT id, {collection} AS c FROM {source}) WHERE json_type(c) = 'ARRAY' AND json_type(json_extract(c, '$[0]')) <> 'VARCHAR')
+        UNION ALL SELECT '{relation}', id, json_extract_string(c, '$[0]'), NULL FROM (SELECT id, {collection} AS c FROM {source}) WHERE json_type(c) = 'ARRAY' AND json_type(json_extract(c, '$[0]')) = 'VARCHAR'
+        UNION ALL SELECT '{relation}', id, json_extract_string(c, '$.{key}'), c FROM (SELECT id, {collection} AS c FROM {source}) WHERE json_type(c) = 'OBJECT' AND json_extract(c, '$.{key}') IS NOT NULL
+        UNION ALL SELECT '{relation}', id, k, {_member('k')} FROM (SELECT id, c, unnest(json_keys(c)) AS k FROM (SELECT id, {collection} AS c FROM {source}) WHERE json_type(c) = 'OBJECT' AND json_extract(c, '$.{key}') IS NULL)"""
+
+
+_LATEST = f"""
+    raw AS (
+        SELECT 'job' AS t, id, updated_at, trim(replace(payload, chr(65279), ''), ' ' || chr(9) || chr(10) || chr(13)) AS p FROM jobs
+        UNION ALL SELECT 'review', id, updated_at, trim(replace(payload, chr(65279), ''), ' ' || chr(9) || chr(10) || chr(13)) FROM reviews
+    ),
+    l0 AS (SELECT *, CASE WHEN p <> '' AND json_valid(p) THEN CAST(p AS JSON) END AS j FROM raw),
+    l1 AS (SELECT t, id, updated_at, p, {_open('j')} AS j FROM l0), l2 AS (SELECT t, id, updated_at, p, {_open('j')} AS j FROM l1),
+    l3 AS (SELECT t, id, updated_at, p, {_open('j')} AS j FROM l2), l4 AS (SELECT t, id, updated_at, p, {_open('j')} AS j FROM l3),
+    latest AS (SELECT t, id, first(j ORDER BY CAST(updated_at AS TIMESTAMPTZ) DESC, p DESC) AS j FROM l4 WHERE id IS NOT NULL AND json_type(j) = 'OBJECT' GROUP BY t, id),
+    jobs_ AS (SELECT id, j FROM latest WHERE t = 'job'), reviews_ AS (SELECT id, j FROM latest WHERE t = 'review')"""
+_FOUND = f"""
+    WITH {_LATEST},
+    stages_ AS ({_entries('stage', 'jobs_', "json_extract(j, '$.stages')", 'kind')}),
+    files AS (SELECT parent_id || '/' || child_key AS parent_id, coalesce(json_extract(node, '$.artifact_ids'), json_extract(node, '$.artifactIds')) AS a FROM stages_),
+    parts AS (SELECT id, json_extract(j, '$.configuration.ai.components') AS c FROM jobs_)
+    SELECT DISTINCT relation, parent_id, child_key FROM (
+        SELECT relation, parent_id, child_key FROM stages_
+        UNION ALL SELECT 'artifact', parent_id, unnest(json_extract_string(a, '$[*]')) FROM files WHERE json_type(a) = 'ARRAY'
+        UNION ALL SELECT 'artifact', parent_id, json_extract_string(a, '$') FROM files WHERE json_type(a) = 'VARCHAR'
+        UNION ALL SELECT relation, parent_id, child_key FROM ({_entries('glossary', 'jobs_', "json_extract(j, '$.configuration.translation.glossary')", 'source')})
+        UNION ALL SELECT relation, parent_id, child_key FROM ({_entries('signal', 'jobs_', "coalesce(json_extract(j, '$.review_recommendation.signal_counts'), json_extract(j, '$.reviewRecommendation.signalCounts'))", 'signal')})
+        UNION ALL SELECT relation, parent_id, child_key FROM ({_entries('unit', 'reviews_', "json_extract(j, '$.units')", 'id')})
+        UNION ALL SELECT 'component', id, 'translation' FROM parts WHERE json_type(json_extract(c, '$.translation')) <> 'NULL'
+        UNION ALL SELECT 'component', id, 'review' FROM parts WHERE json_type(json_extract(c, '$.review')) <> 'NULL'
+        UNION ALL SELECT 'component', id, 'visual_ocr' FROM parts WHERE coalesce(json_type(json_extract(c, '$.visual_ocr')), 'NULL') <> 'NULL' OR coalesce(json_type(json_extract(c, '$.visualOcr')), 'NULL') <> 'NULL' OR coalesce(json_type(json_extract(c, '$.visual')), 'NULL') <> 'NULL'
+        UNION ALL SELECT 'attempt', job_id, payload.attempt_id FROM job_events WHERE job_id IS NOT NULL AND trim(payload.attempt_id) <> ''
+    ) WHERE child_key IS NOT NULL"""
+
+SQL: dict[str, str] = {
+    "p1_found": _FOUND,
+    "p1_table_attempt": """
+        SELECT job_id AS parent_id, p.attempt_id AS child_key, p.attempt_id AS attempt_id, p.payload_version AS payload_version, p.stage AS stage, p.to_status AS to_status,
+            p.configuration_revision AS configuration_revision, p.error_code AS error_code
+        FROM (SELECT job_id, max_by(payload, sequence) AS p FROM job_events WHERE job_id IS NOT NULL AND trim(payload.attempt_id) <> '' GROUP BY job_id, payload.attempt_id)""",
+}

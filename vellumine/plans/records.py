@@ -16,7 +16,7 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_jobs(s: SparkSession, d: str) -> DataFrame:
-    return H.latest(table(s, d, "jobs").select("id", "order_index", instant(F.col("updated_at")).alias("at")), "id", [F.col("at"), F.col("order_index")], ["order_index", "at"]).orderBy("order_index", "id")
+    return H.latest(table(s, d, "jobs").select("id", "order_index", instant(F.col("updated_at")).alias("at")), "id", [F.col("at"), F.col("order_index")], ["order_index", "at"]).select("id", "order_index", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).orderBy("order_index", "id")
 
 
 def typed_events(s: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ EVENTS = "(SELECT DISTINCT ON (sequence, job_id, event_type, created_at) * FROM
 _AT = "CAST(updated_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
 
 SQL: dict[str, str] = {
-    "ordered_jobs": f"SELECT id, first(order_index ORDER BY {_AT} DESC, order_index DESC) AS order_index, max({_AT}) AS at FROM jobs WHERE id IS NOT NULL GROUP BY id",
+    "ordered_jobs": f"SELECT id, first(order_index ORDER BY {_AT} DESC, order_index DESC) AS order_index, strftime(max({_AT}), '%Y-%m-%d %H:%M:%S.%f') AS at FROM jobs WHERE id IS NOT NULL GROUP BY id",
     "typed_events": f"SELECT event_type, count(*) AS n, count(DISTINCT job_id) AS jobs, min(sequence) AS first, max(sequence) AS last FROM {EVENTS} WHERE event_type IS NOT NULL GROUP BY event_type",
     "bounded_history": f"SELECT sequence, job_id, event_type FROM {EVENTS} ORDER BY sequence DESC, job_id, event_type LIMIT 200",
     "recent_by_job": f"""

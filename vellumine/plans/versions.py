@@ -108,7 +108,14 @@ def _nblocks(c: str) -> str:
     return D.count_of(f"trim({D.unix(c)})", r"\n[ \t]*\n[ \t\n]*")
 
 
+def _pieces(c: str) -> str:
+    return f"list_filter(string_split_regex({D.unix(c)}, '\\n[ \\t\\f]*(?:\\n[ \\t\\f]*)+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(12)) <> '')"
+
+
 SQL: dict[str, str] = {
+    "block_alignment": f"""
+        SELECT id, len(a) AS source_blocks, len(b) AS target_blocks, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: trim(a[i], chr(10)) = trim(b[i], chr(10)))) AS unchanged
+        FROM (SELECT id, {_pieces('source')} AS a, {_pieces('expected')} AS b FROM {CASES}) WHERE len(a) > 0 OR len(b) > 0""",
     "number_conservation": _NUMBERS,
     "symbol_conservation": _conserved(f"regexp_extract_all({{}}, {D.q(T.SYMBOL)})"),
     "address_conservation": _URLS,
