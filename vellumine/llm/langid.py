@@ -33,6 +33,7 @@ EMBED, HIDDEN, BYTES = 12, 28, 30  # sizes of the network; bytes of a run
 STEPS, AGAIN, BATCH, RATE = 700, 300, 192, 0.02
 RUNS = 6000  # most frequent runs of a language that train
 MEMO = 400_000  # remembered runs of a worker
+SLICE = 1_000_000  # characters scored at a time
 MARGIN = 1.2  # log-odds by which a sentence has a language
 DOUBT = 3.0  # log-odds that a text's own language needs against the one of its label
 EVIDENCE = 5.0  # log-odds by which a block is in another language than its text
@@ -270,6 +271,16 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """[text, language] pooled log probabilities, not normalised; zero where a text has no letters."""
+        out = np.zeros((len(texts), len(self.network.languages)), np.float32)
+        first, size = 0, 0
+        for i, t in enumerate(texts):  # in slices, so that memory does not grow with the batch
+            size += len(t)
+            if size > SLICE or i == len(texts) - 1:
+                self._slice(texts[first : i + 1], out[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _slice(self, texts: list[str], out: np.ndarray) -> None:
         parts = [_runs(_clean(t)) for t in texts]
         distinct = set().union(*parts) if parts else set()
         for _ in range(2):  # once more where the memory was cleared
@@ -279,12 +290,10 @@ class Model:
         memo = self.memo
         ids = np.array([memo[r] for p in parts for r in p], np.int64)
         sizes = np.array([len(p) for p in parts])
-        out = np.zeros((len(texts), len(self.network.languages)), np.float32)
         if len(ids):
             has = np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[has]
             out[has] = np.add.reduceat(self.values[ids], starts, axis=0)
-        return out
 
     def best(self, scores: np.ndarray) -> tuple[list[str | None], np.ndarray]:
         """The language of each row of scores and its confidence, a probability."""
