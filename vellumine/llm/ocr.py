@@ -389,8 +389,14 @@ def corrections(vocab: DataFrame) -> DataFrame:
         & (F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.col("b"), F.substr(F.col("word"), i + F.length("a"))) == F.col("right")),
     )
     pairs = pairs.withColumn("place", F.try_element_at(fits, F.lit(1)) - 1).where("place is not null")
+    # a lost character stands for any one: equi-join on the rest of the word and its place
+    rest = lambda w, i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
+    lost = own.where("length(replace(word, '\ufffd', '')) = length(word) - 1 and length(word) > 3").withColumn("i", F.instr("word", "\ufffd"))
+    lost = lost.select("word", rest(F.col("word"), F.col("i")).alias("rest"), "i")
+    whole = good.select("right", "m", F.explode(F.sequence(F.lit(1), F.length("right"))).alias("i")).withColumn("rest", rest(F.col("right"), F.col("i")))
+    found = lost.join(whole, ["rest", "i"]).select("word", "right", "m", (F.col("i") - 1).alias("place"))
     best = F.max_by(F.struct("right", "place"), F.struct("m", "right"))
-    return pairs.groupBy("word").agg(best.alias("x")).select("word", "x.right", "x.place")
+    return pairs.select("word", "right", "m", "place").unionByName(found).groupBy("word").agg(best.alias("x")).select("word", "x.right", "x.place")
 
 
 LOOK = "origin string, item_id string, text_id bigint, page int, line_no int, kind string, word string, other string, line2 int, cut int"
@@ -486,21 +492,23 @@ def repair(text: str, drop: set[int], hyphens: set[int], right: dict[str, str])
         return good.upper() if w.isupper() and len(w) > 1 else good[:1].upper() + good[1:] if w[:1].isupper() else good
 
     out: list[str] = []
-    glue, held, gap = False, "", False
+    held, glue, blank, crossed = "", False, False, False
     for i, line in enumerate(lines):
-        if i in drop or _MARK.match(line):
-            continue
+        if i in drop or _MARK.match(line) or "\f" in line:
+            crossed = True
+            if i in drop or not line.replace("\f", "").strip() or _MARK.match(line):
+                continue
         s = line.replace("\f", "").strip()
         if not s:
-            # a page break inside a sentence is no paragraph's end
-            gap = bool(held) and bool(re.search(r"[.!?…:][\"”»)]*$", held))
+            blank = True
             continue
         s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s).replace("ﬁ", "fi").replace("ﬂ", "fl")
-        if gap and not glue:
+        # a blank line ends a paragraph, but not where a page breaks inside a sentence
+        if held and not glue and blank and (not crossed or re.search(r"[.!?…:][\"”»)]*$", held)):
             out.append(held)
             held = ""
         held = held + s if glue else f"{held} {s}".strip()
-        glue, gap = i in hyphens, False
+        glue, blank, crossed = i in hyphens, False, False
         if glue:
             held = held.rstrip()[:-1]
         elif s[-1:] in HYPHENS and len(s) > 1 and s[-2].isalpha():
@@ -517,7 +525,7 @@ def paragraphs(items: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("defect").isin("header", "page_number"), F.col("line_no"))).alias("drops"),
         F.collect_set(F.when(F.col("defect") == "hyphen", F.col("line_no"))).alias("hyphens"),
     )
-    tokens = items.select("origin", "item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)))).alias("word"))
+    tokens = items.select("origin", "item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}\\x{FFFD}]+)"), F.lit(1)))).alias("word"))
     right = tokens.join(fixes.select("word", "right"), "word").groupBy("origin", "item_id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
     rows = items.join(lines, ["origin", "item_id"], "left").join(right, ["origin", "item_id"], "left").select("origin", "item_id", "text", "drops", "hyphens", "fixes")
 
