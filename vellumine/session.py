@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set, as in tests."""
-    there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="vellumine-", dir=os.environ.get("TMPDIR"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(there)
-    return spark.sparkContext.getCheckpointDir() or there
+    """The shared folder that spark.checkpoint.dir names. Only a local master, as in tests, gets a private one where it is unset."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            there = tempfile.mkdtemp(prefix="vellumine-", dir=os.environ.get("TMPDIR"))
+        sc.setCheckpointDir(there)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
