@@ -78,6 +78,6 @@ def duplicate_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     One row per document: class sizes are joined back by hash, not by listing members, so a class may be of any size.
     """
-    h = df.where(F.col(text).isNotNull()).select(key, F.xxhash64(T.canonical(F.col(text))).alias("a"), F.sha2(T.canonical(F.col(text)), 256).alias("h")).drop("a")
+    h = df.where(F.col(text).isNotNull()).select(key, F.sha2(T.canonical(F.col(text)), 256).alias("h"))
     c = h.groupBy("h").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return h.join(c, "h").select(key, "class_id", "copies")

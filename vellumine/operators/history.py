@@ -1,4 +1,8 @@
-"""Keyed records over time: latest versions, bounded history, audits, durations, estimates, cohorts, samples, eviction."""
+"""Keyed records over time: latest versions, bounded history, audits, durations, estimates, cohorts, samples, eviction.
+
+A key may hold any share of all rows. What depends on a row's place in its key's order is computed in ranges of that
+order (neighbour, running, filled): ranges are separate tasks, and only one row of each range travels to the next ones.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+DAY = 86_400_000_000  # microseconds
+STEPS = 50_000  # sequence numbers of a range
+
+
+def micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def _ranges(df: DataFrame, order: Column, width: int) -> DataFrame:
+    return df.withColumn("_o", order).withColumn("_b", F.floor(F.col("_o") / width))
+
+
+def _with_edge(x: DataFrame, edge: DataFrame, key: list[str]) -> DataFrame:
+    """x with the edge value of each row's range; keys may be null."""
+    names = [*key, "_b"]
+    e = edge.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_e")
+    same = [x[c].eqNullSafe(e[f"_k{i}"]) for i, c in enumerate(names)]
+    return x.join(e, same, "left").drop(*[f"_k{i}" for i in range(len(names))])
+
+
+def neighbour(df: DataFrame, key: list[str], order: Column, value: Column, width: int, ties: tuple[str, ...] = (), ahead: bool = False) -> DataFrame:
+    """df with _near: the value of the row before (or after) in the key's order; null at its start (or end)."""
+    x = _ranges(df, order, width).withColumn("_v", F.struct(value.alias("v")))
+    step = F.lead if ahead else F.lag
+    x = x.withColumn("_n", step("_v").over(W.partitionBy(*key, "_b").orderBy("_o", *ties)))
+    place = F.struct("_o", *ties)
+    edge = x.groupBy(*key, "_b").agg((F.min_by("_v", place) if ahead else F.max_by("_v", place)).alias("_e"))
+    edge = edge.withColumn("_e", step("_e").over(W.partitionBy(*key).orderBy("_b")))
+    return _with_edge(x, edge, key).withColumn("_near", F.coalesce("_n", "_e").getField("v")).drop("_o", "_b", "_v", "_n", "_e")
+
+
+def running(df: DataFrame, key: list[str], order: Column, amount: Column, width: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with _sum: the sum of an amount over the key's rows up to and with this one."""
+    x = _ranges(df, order, width).withColumn("_v", amount)
+    x = x.withColumn("_n", F.sum("_v").over(W.partitionBy(*key, "_b").orderBy("_o", *ties).rowsBetween(W.unboundedPreceding, 0)))
+    edge = x.groupBy(*key, "_b").agg(F.sum("_v").alias("_e"))
+    edge = edge.withColumn("_e", F.sum("_e").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
+    return _with_edge(x, edge, key).withColumn("_sum", F.coalesce("_n", F.lit(0)) + F.coalesce("_e", F.lit(0))).drop("_o", "_b", "_v", "_n", "_e")
+
+
+def filled(df: DataFrame, key: list[str], order: Column, value: Column, width: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with _last: the latest value that is not null among the key's rows up to and with this one."""
+    x = _ranges(df, order, width).withColumn("_v", value)
+    x = x.withColumn("_n", F.last("_v", ignorenulls=True).over(W.partitionBy(*key, "_b").orderBy("_o", *ties).rowsBetween(W.unboundedPreceding, 0)))
+    known = F.when(F.col("_v").isNotNull(), F.struct("_o", *ties))
+    edge = x.groupBy(*key, "_b").agg(F.max_by("_v", known).alias("_e"))
+    edge = edge.withColumn("_e", F.last("_e", ignorenulls=True).over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
+    return _with_edge(x, edge, key).withColumn("_last", F.coalesce("_n", "_e")).drop("_o", "_b", "_v", "_n", "_e")
+
 
 def latest(df: DataFrame, key: str, order: list[Column], fields: list[str]) -> DataFrame:
     """One row for each key: its fields at the greatest order; combined before the shuffle, so hot keys cost no more."""
@@ -47,11 +100,11 @@ def changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> Data
     return both.select(key, change.alias("change")).where("change is not null")
 
 
-def audit(events: DataFrame, key: str, order: str, before: str, after: str) -> DataFrame:
-    """key, order, expected, stated: events whose stated earlier state is not the one that the event before left."""
-    w = W.partitionBy(key).orderBy(order)
-    e = events.where(F.col(before).isNotNull() & F.col(after).isNotNull()).select(key, order, F.col(before).alias("stated"), F.lag(after).over(w).alias("expected"))
-    return e.where("expected is not null and expected <> stated")
+def audit(events: DataFrame, key: str, order: str, before: str, after: str, width: int = STEPS) -> DataFrame:
+    """key, order, stated, expected: events whose stated earlier state is not the one that the event before left."""
+    e = events.where(F.col(before).isNotNull() & F.col(after).isNotNull())
+    e = neighbour(e, [key], F.col(order), F.col(after), width, (before, after))
+    return e.select(key, order, F.col(before).alias("stated"), F.col("_near").alias("expected")).where("expected is not null and expected <> stated")
 
 
 def transitions(events: DataFrame, before: str, after: str) -> DataFrame:
@@ -60,10 +113,10 @@ def transitions(events: DataFrame, before: str, after: str) -> DataFrame:
     return e.groupBy(F.col(before).alias("from_state"), F.col(after).alias("to_state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def spans(events: DataFrame, key: str, time: str, state: str) -> DataFrame:
+def spans(events: DataFrame, key: str, time: str, state: str, width: int = DAY) -> DataFrame:
     """state, visits, seconds: how often and how long keys were in each state; a key's last state has no end."""
-    w = W.partitionBy(key).orderBy(time, state)
-    e = events.select(key, F.col(state).alias("state"), (F.unix_micros(F.lead(time).over(w).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))).alias("d"))
+    e = neighbour(events.where(F.col(time).isNotNull()), [key], micros(time), micros(time), width, (state,), ahead=True)
+    e = e.select(F.col(state).alias("state"), (F.col("_near") - micros(time)).alias("d"))
     return e.groupBy("state").agg(F.count(F.lit(1)).alias("visits"), F.round(F.sum("d") / 1000000.0, 3).alias("seconds"))
 
 
@@ -96,38 +149,43 @@ def regressions(expected: DataFrame, actual: DataFrame, key: str, fields: list[s
     return both.where(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
-def spread_sample(df: DataFrame, by: str, order: str, parts: int) -> DataFrame:
-    """The rows at evenly spread ranks of each group: at most parts of each."""
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
-    r = F.row_number().over(W.partitionBy(by).orderBy(order)) - 1
-    x = df.withColumn("_n", n).withColumn("_r", r)
+def spread_sample(df: DataFrame, by: str, order: str, parts: int, width: int = STEPS) -> DataFrame:
+    """The rows at evenly spread ranks of each group, ordered by a number: at most parts of each."""
+    x = running(df, [by], F.col(order), F.lit(1), width)
+    n = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumnRenamed(by, "_by")
+    x = x.join(n, x[by].eqNullSafe(n["_by"])).drop("_by").withColumn("_r", F.col("_sum") - 1)
     step = lambda k: F.floor(k * parts / F.col("_n"))
-    return x.where((F.col("_r") == 0) | (step(F.col("_r")) != step(F.col("_r") - 1))).drop("_n", "_r")
+    return x.where((F.col("_r") == 0) | (step(F.col("_r")) != step(F.col("_r") - 1))).drop("_n", "_r", "_sum")
 
 
 def budget(df: DataFrame, by: str, score: str, tie: str, most: int, share: float) -> DataFrame:
-    """The rows of each group with the best scores: at most `most`, and at most the share of the group, at least one."""
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
-    r = F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), tie))
-    return df.withColumn("_n", n).withColumn("_r", r).where(F.col("_r") <= F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.col("_n") * share)))).drop("_n", "_r")
+    """The rows of each group with the best scores: at most `most`, and at most the share of the group, at least one.
+
+    The rank limit cuts each group before the shuffle; group sizes are counted apart.
+    """
+    top = bounded_by(df, by, [F.desc(score), F.col(tie)], most)
+    n = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    return top.join(n, top[by].eqNullSafe(n["_by"])).drop("_by").where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).drop("_n", "rank")
 
 
-def evict(cache: DataFrame, by: str, bytes_: str, used: str, key: str, limit: int) -> DataFrame:
+def evict(cache: DataFrame, by: str, bytes_: str, used: str, key: str, limit: int, width: int = 30 * DAY) -> DataFrame:
     """by, key of entries to drop: the longest unused ones, until each group's rest fits the limit."""
-    newest = W.partitionBy(by).orderBy(F.desc(used), key).rowsBetween(W.unboundedPreceding, 0)
-    return cache.withColumn("_kept", F.sum(bytes_).over(newest)).where(F.col("_kept") > limit).select(by, key)
+    return running(cache, [by], -micros(used), F.col(bytes_), width, (key,)).where(F.col("_sum") > limit).select(by, key)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str, width: int = DAY) -> DataFrame:
     """left with the value of the latest right row of the same key not later than it: a union and a running last, no range join."""
-    l = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_side", F.lit(1))
-    r = right.select(by, time, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_side")
-
-
-def sessions(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
-    """key, started, ended, n of runs of events without a gap of that length."""
-    s = events.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count(F.lit(1)).alias("n"))
-    return s.drop("w")
+    l = left.withColumn("_right", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_side", F.lit(1))
+    r = right.select(by, time, F.col(value).alias("_right")).withColumn("_side", F.lit(0))
+    both = filled(l.unionByName(r, allowMissingColumns=True), [by], micros(time), F.col("_right"), width, ("_side",))
+    return both.where("_side = 1").withColumnRenamed("_last", f"last_{value}").drop("_right", "_side")
+
+
+def sessions(events: DataFrame, key: str, time: str, gap_seconds: int, width: int = DAY) -> DataFrame:
+    """key, started, ended, n of runs of events of a key, parted where none comes for that long."""
+    e = events.where(F.col(time).isNotNull()).groupBy(key, time).agg(F.count(F.lit(1)).alias("_m"))
+    e = neighbour(e, [key], micros(time), micros(time), width)
+    opens = F.when(F.col("_near").isNull() | (micros(time) - F.col("_near") >= gap_seconds * 1_000_000), 1).otherwise(0)
+    e = running(e.withColumn("_opens", opens), [key], micros(time), F.col("_opens"), width)
+    return e.groupBy(key, "_sum").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.sum("_m").alias("n")).drop("_sum")

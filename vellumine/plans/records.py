@@ -100,7 +100,7 @@ def last_purchase(s: SparkSession, d: str) -> DataFrame:
 
 
 def user_sessions(s: SparkSession, d: str) -> DataFrame:
-    return H.sessions(table(s, d, "events").where("user_id is not null"), "user_id", "ts", "30 minutes")
+    return H.sessions(table(s, d, "events").where("user_id is not null"), "user_id", "ts", 1800)
 
 
 def hourly_counts(s: SparkSession, d: str) -> DataFrame:
