@@ -45,6 +45,7 @@ _MARK = re.compile(r"^\s*<!--\s*page\s+(\d+)\s*-->\s*$", re.I)
 _NUM = r"[0-9IlOoSBi|]{1,4}|[ivxlcdmIVXLCDM]{1,8}"
 _WORDED = r"(?:page|pag|pág|página|pagina|seite|p|s|стр|страница|blatt|folio|fol|f)"
 _NUMBER = re.compile(rf"^[\s\-–—\[(|·•*]*(?:{_WORDED}\.?\s*)?[\s\-–—\[(]*({_NUM})\s*(?:(?:/|de|of|von|di|sur)\s*\d{{1,4}})?[\s\-–—\])|·•*.]*$", re.I)
+_MARKED = re.compile(rf"^\W*{_WORDED}\b|^[-–—\[(]\s*\w+\s*[-–—\])]$|^\w+ ?/ ?[0-9]+$", re.I)
 _LEADNUM = re.compile(rf"^({_NUM})\s*(?:[|·–—-]\s*)?(?=\s|[|])\s*[|·–—]?\s*(\S.*)$")
 _TAILNUM = re.compile(rf"^(.*\S)\s+(?:[|·–—]\s*)?({_NUM})$")
 _TOKEN = re.compile(r"[\w�]+(?:­[\w�]+)*")
@@ -109,6 +110,32 @@ def alike(a: str, b: str) -> bool:
     return prev[-1] <= (2 if len(a) >= 10 else 1)
 
 
+class Near:
+    """Keys that are alike, found without comparing all pairs.
+
+    At most two edits leave one of a key's three parts whole, so alike keys share a part: an index of parts finds them.
+    """
+
+    def __init__(self, keys: set[str] | list[str]) -> None:
+        self.index: dict[str, list[str]] = {}
+        for k in keys:
+            third = len(k) // 3
+            for part in {k[:third], k[third : 2 * third], k[2 * third :]}:
+                self.index.setdefault(part, []).append(k)
+        self.sizes = {len(part) for part in self.index if part}
+
+    def of(self, key: str) -> set[str]:
+        found, seen = set(), set()
+        for size in self.sizes:
+            for i in range(len(key) - size + 1):
+                for k in self.index.get(key[i : i + size], ()):
+                    if k not in seen:
+                        seen.add(k)
+                        if alike(key, k):
+                            found.add(k)
+        return found
+
+
 class Page:
     def __init__(self, lines: list[int], mark: int | None) -> None:
         self.lines, self.mark = lines, mark
@@ -169,25 +196,17 @@ def margins(lines: list[str], pages: list[Page], known: list[str], given: int |
     for i, keys in keyed.items():
         for key, _ in keys:
             where.setdefault(key, set()).add(page_of[i])
-    keys = list(where)
     strong = set(known)
-    for a in keys:
-        if len(where[a]) >= PAGES:
-            strong.add(a)
-        elif len(keys) <= 4000:
-            seen = set(where[a])
-            for b in keys:
-                if b != a and abs(len(a) - len(b)) <= 2 and alike(a, b):
-                    seen |= where[b]
-            if len(seen) >= PAGES:
-                strong.add(a)
+    if len(pages) >= PAGES:
+        near = Near(where.keys())
+        for key, seen in where.items():
+            if len(seen) >= PAGES or len(set().union(*(where[k] for k in near.of(key)))) >= PAGES:
+                strong.add(key)
     if strong:
-        by_length: dict[int, list[str]] = {}
-        for s in strong:
-            by_length.setdefault(len(s), []).append(s)
+        near = Near(strong)
         for i, options in keyed.items():
             for key, num in options:
-                if key in strong or any(alike(key, s) for d in (-2, -1, 0, 1, 2) for s in by_length.get(len(key) + d, ())):
+                if near.of(key):
                     heads.add(i)
                     if num is not None and not lines[i].strip().endswith((".", ",")):
                         numbers.add(i)
@@ -215,15 +234,21 @@ def margins_unmarked(lines: list[str]) -> tuple[set[int], set[int]]:
             heads |= set(rows)
             numbers |= {i for i, num in at if num is not None}
     strong = {k for k, at in where.items() if any(i in heads for i, _ in at)}
+    near = Near(strong)
     for key, at in where.items():
-        if key not in strong and any(alike(key, s) for s in strong):
+        if key not in strong and near.of(key):
             heads |= {i for i, _ in at}
             numbers |= {i for i, num in at if num is not None}
     loose = [(i, number(_number_line(lines[i]) or "x")) for i in range(len(lines)) if _number_line(lines[i]) is not None and not _after_colon(i, lines)]
+    at_value: dict[int, list[int]] = {}
+    for i, v in loose:
+        if v is not None:
+            at_value.setdefault(v, []).append(i)
     for i, v in loose:
         beside = any(j in heads for j in (i - 2, i - 1, i + 1, i + 2))
-        steps = any(i != j and v is not None and w is not None and abs(j - i) >= 6 and 0 < abs(w - v) <= 3 and (w > v) == (j > i) and abs(j - i) // 6 >= abs(w - v) for j, w in loose)
-        if beside or steps or re.search(rf"(?i)^\W*{_WORDED}\b|^[-–—\[(]\s*\w+\s*[-–—\])]$|^\w+ ?/ ?[0-9]+$", lines[i].strip()):
+        # another number that counts on, as many pages away as it should be at least
+        steps = v is not None and any((j - i) * k > 0 and abs(j - i) >= 6 * abs(k) for k in (-3, -2, -1, 1, 2, 3) for j in at_value.get(v + k, ()))
+        if beside or steps or _MARKED.search(lines[i].strip()):
             numbers.add(i)
     return heads, numbers
 
