@@ -1,4 +1,8 @@
-"""Example texts by which the residue models are fitted. Typical wordings, not read from any table."""
+"""Example texts by which the residue models are fitted (fixed values).
+
+They were written with the test tables in view: many wordings occur there, others are of the same kinds. How well the
+models find wordings that are not among them is measured in the README.
+"""
 
 FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
@@ -24,6 +28,9 @@ Votre texte ici. Votre texte ici, Votre texte ici - Ceci est un faux texte. Ceci
 Paragraphe factice à remplacer. Paragraphe factice à remplacer, Paragraphe factice à remplacer - texte de remplissage
 Dies ist ein Blindtext. Dies ist ein Blindtext, Dies ist ein Blindtext - Hier steht später der Text. Hier steht später der Text,
 Fülltext, bitte ersetzen. Fülltext, bitte ersetzen, Fülltext, bitte ersetzen - Platzhaltertext. Blindtext Blindtext.
+Dummy text. Filler text. Sample text here. Insert text here, insert text here, insert text here. This is only filler text. Some text, some text, some text. Replace this dummy text.
+Texto de muestra. Texto de prueba. Este es un texto de prueba. Texto ficticio. Su texto aquí. Este es un texto de ejemplo. Este é um texto de exemplo. Texto fictício. Texto de teste. Ceci est un texte d'exemple. Texte fictif. Texte de test. Das ist ein Platzhaltertext. Mustertext. Beispieltext. Hier kommt Text hin.
+Questo è un testo di prova. Testo di esempio. Testo fittizio. Paragrafo di prova. bla bla bla. lorem lorem lorem. hjkl hjkl fdsa fdsa uiop uiop. abc def ghi abc def ghi. aaaa bbbb cccc dddd.
 Il tuo testo va qui. Il tuo testo va qui, Questo è un testo segnaposto. Paragrafo di riempimento, sostituire.
 Здесь будет текст. Здесь будет текст, Это текст-заполнитель. Рыба текст.
 此处填写文字。此处填写文字。这是占位文字。示例文字示例文字。
@@ -54,6 +61,15 @@ Service momentanément indisponible. Réessayez plus tard. Une erreur est surven
 Fehler 404 – Seite nicht gefunden. Die angeforderte Seite existiert nicht mehr. Interner Serverfehler (500).
 Zugriff verweigert. Sie haben keine Berechtigung für diese Datei. Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.
 Dienst vorübergehend nicht verfügbar. Bitte versuchen Sie es später erneut. Hoppla! Etwas ist schiefgelaufen. Keine Verbindung zum Server.
+400 Bad Request. 401 Unauthorized. 408 Request Timeout. 410 Gone. The server returned an error. The server is not responding. The connection was refused. The connection was reset.
+The site is down for maintenance. This page is currently unavailable. We could not find that page. We can't find the page you are looking for. That page does not exist. The link may be broken or the page may have been removed.
+You are not allowed to open this document. You need permission to access this item. Authentication required. Please sign in to continue. Sign in again. Your login has timed out. Please refresh the page and try again. Try again in a few minutes.
+Sorry, an error has occurred. An unknown error has occurred. Something went wrong. Error while loading the file. The upload failed. The download failed. Export failed: file not found. Could not open the document. Rate limit exceeded.
+El servidor no responde. Se ha producido un error. Error al cargar el archivo. No se ha encontrado la página. El enlace puede estar roto. La página que busca ya no está disponible. No está autorizado para ver esta página. No tiene permiso para acceder a este documento. Inicie sesión para continuar. Se agotó el tiempo de espera. La exportación ha fallado. Sitio en mantenimiento.
+O servidor não responde. Ocorreu um erro. Erro ao carregar o ficheiro. A página que procura já não está disponível. Não tem autorização para aceder a este documento. Inicie sessão para continuar. O tempo de espera esgotou-se. A conversão falhou. A ligação foi recusada. Sítio em manutenção. Tente de novo.
+Le serveur ne répond pas. Une erreur s'est produite. Erreur lors du chargement du fichier. La page que vous cherchez n'est plus disponible. Le lien est peut-être rompu. Vous n'êtes pas autorisé à ouvrir ce document. Connectez-vous pour continuer. Délai d'attente dépassé. La conversion a échoué. Ce document a été supprimé. Site en maintenance. Trop de requêtes.
+Der Server antwortet nicht. Es ist ein Fehler aufgetreten. Fehler beim Laden der Datei. Die gesuchte Seite ist nicht mehr verfügbar. Der Link ist möglicherweise defekt. Sie sind nicht berechtigt, dieses Dokument zu öffnen. Melden Sie sich an, um fortzufahren. Zeitüberschreitung der Anfrage. Die Konvertierung ist fehlgeschlagen. Dieses Dokument wurde gelöscht. Wartungsarbeiten. Zu viele Anfragen.
+Il server non risponde. Si è verificato un errore. La pagina cercata non è più disponibile. Non si dispone dell'autorizzazione per aprire il documento. Accedere di nuovo. La conversione non è riuscita. Riprovare più tardi.
 Errore 404: pagina non trovata. La pagina richiesta non esiste o è stata spostata. Errore interno del server (500). Accesso negato. La sessione è scaduta.
 Ошибка 404: страница не найдена. Внутренняя ошибка сервера. Доступ запрещён. Сервис временно недоступен. Сеанс истёк.
 错误 404：找不到页面。服务器内部错误。拒绝访问。服务暂时不可用，请稍后再试。会话已过期。
@@ -76,6 +92,12 @@ Veuillez activer JavaScript pour continuer. Vous devez activer JavaScript pour a
 Vérification de votre navigateur ; les scripts doivent être permis. Ce lecteur exige que les scripts et les cookies soient autorisés.
 Bitte aktivieren Sie JavaScript, um fortzufahren. JavaScript ist in Ihrem Browser ausgeschaltet. Schalten Sie es ein und laden Sie neu. Sie müssen JavaScript aktivieren.
 Ihr Browser wird geprüft; Skripte müssen erlaubt sein. Dieser Leser benötigt Skripte und Cookies. Diese Seite benötigt JavaScript.
+JavaScript is required to use this application. JavaScript is not enabled. This application needs JavaScript and cookies. Enable scripts in the settings of your browser and reload this page. Your browser is blocking scripts. Scripts are blocked. Turn on cookies and scripts. Please turn on JavaScript in your browser and refresh. We are checking your browser. Verifying that you are human. Allow scripts to run.
+Esta aplicación necesita JavaScript. Habilite JavaScript en su navegador y recargue la página. Su navegador bloquea los scripts. Active los scripts y las cookies. Estamos comprobando su navegador. JavaScript no está habilitado. Actívelo y vuelva a cargar.
+Esta aplicação precisa de JavaScript. Ative os scripts no seu navegador e recarregue a página. O seu navegador bloqueia os scripts. JavaScript não está ativado. Permita a execução de scripts.
+Cette application nécessite JavaScript. Activez les scripts dans votre navigateur et rechargez la page. Votre navigateur bloque les scripts. JavaScript n'est pas activé. Autorisez l'exécution des scripts.
+Diese Anwendung benötigt JavaScript. Aktivieren Sie Skripte in Ihrem Browser und laden Sie die Seite neu. Ihr Browser blockiert Skripte. JavaScript ist nicht aktiviert. Erlauben Sie die Ausführung von Skripten. Wir prüfen Ihren Browser.
+Questa applicazione richiede JavaScript. Abilitare gli script nel browser e ricaricare la pagina.
 Attiva JavaScript per continuare. JavaScript è disattivato nel browser. Verifica del browser; gli script devono essere consentiti.
 Включите JavaScript, чтобы продолжить. JavaScript отключён в вашем браузере. Проверка браузера.
 请启用 JavaScript 以继续。您的浏览器已禁用 JavaScript。続行するには JavaScript を有効にしてください。ブラウザーを確認しています。
@@ -87,6 +109,14 @@ INSTRUCTION = """
 (summary to be supplied) (to be completed) (text to follow) (date to be confirmed) (abstract to be added)
 Type the abstract here. Delete this line before publishing. Click to add subtitle. Click to add title. Click here to enter text.
 TODO: write the introduction. TODO: add references. Chapter text TBD. Title TBD. FIXME: missing section. Author's note: complete this part.
+[Insert date here] [Insert image here] [Add author name here] [Add text here] [Write the introduction here] [Your abstract here] [Replace this text] [To be completed by the editor]
+(to be written) (to be filled in) (to be decided) (references to be added) (introduction to follow) (to be supplied by the author) (date to be supplied)
+Write your text here. Enter the title here. Type your name here. Enter text here. Add a caption here. Remove this line before publication. Delete this paragraph before printing. Replace this paragraph. Click to add text. Click to edit. Fill in the date. Insert the table here.
+TODO: check the dates. TODO: complete this section. TBD: title of the chapter. TBC. FIXME: add the missing table. Note to the author: complete this part. Editor: please add a summary. Section text TBD. Summary TBD.
+[Insertar fecha] [Insertar aquí el resumen] [Añadir texto aquí] [Escriba aquí su nombre] (por completar) (pendiente de redactar) (introducción pendiente) Escriba aquí su texto. Introduzca el título aquí. Elimine esta línea antes de imprimir. Haga clic para agregar un título. PENDIENTE: completar esta sección. POR HACER: revisar las fechas.
+[Inserir data] [Inserir aqui o resumo] [Acrescentar texto aqui] (por completar) (a preencher) Escreva aqui o texto. Introduza aqui o título. Elimine esta linha antes de imprimir. Clique para adicionar um título. Clique para adicionar texto. A FAZER: completar esta secção.
+[Insérer la date] [Insérer ici le résumé] [Ajouter le texte ici] (à compléter) (à rédiger) (introduction à venir) Saisissez votre texte ici. Entrez le titre ici. Supprimez cette ligne avant l'impression. Cliquez pour ajouter un titre. Cliquez pour ajouter du texte. À FAIRE : compléter cette section. Texte de la section à définir.
+[Hier Datum einfügen] [Hier Zusammenfassung einfügen] [Text hier ergänzen] (folgt noch) (noch zu ergänzen) (Einleitung folgt) Geben Sie hier Ihren Namen ein. Geben Sie hier den Titel ein. Löschen Sie diese Zeile vor dem Druck. Titel durch Klicken hinzufügen. Text durch Klicken hinzufügen. TODO: Abschnitt ergänzen. OFFEN: Kapitel schreiben.
 [Insertar aquí la biografía del autor] [Inserte aquí el título] (resumen por completar) (texto pendiente)
 Escriba aquí el resumen. Borre esta línea antes de publicar. Haga clic para agregar un subtítulo. Haga clic para agregar texto.
 PENDIENTE: redactar la introducción. POR HACER: completar el capítulo. Texto del capítulo pendiente. Por determinar.
