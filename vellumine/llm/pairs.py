@@ -30,6 +30,7 @@ SHINGLE = 4  # characters of a refusal's shingle
 TOKENS = 3  # tokens of a copy's shingle
 COPY = 0.9  # least common subsequence of a copy, as a share of the longer side
 REFUSAL = 0.62  # least alignment of a sentence with a template
+COMPOSED = 0.88  # share of a composed refusal's tokens that are parts of refusals
 ODDS = 4.0  # log-odds by which an answer is in another language than asked for
 
 #: Answers that stand for nothing (fixed values).
@@ -91,6 +92,26 @@ Purtroppo questa richiesta è contraria alle mie linee guida.
 ในฐานะแบบจำลองภาษา ฉันไม่สามารถประมวลผลข้อความนี้ได้
 """.strip().split("\n")
 
+#: Parts of which refusals are composed (fixed values): the denied ability, and what stands around it.
+DENIALS = {
+    "en": "i cannot|i can't|i can not|i am unable to|i'm unable to|i am not able to|i'm not able to|i won't|i will not|i must decline|i would rather not|i prefer not to|i decline|i refuse|i'm afraid i can't|can't be handled|cannot be handled|goes against my|violates my",
+    "es": "no puedo|no me es posible|no soy capaz|no estoy en condiciones|prefiero no|me niego|no podré|no puede tratarse|en contra de mis",
+    "fr": "je ne peux pas|je ne peux|je ne suis pas en mesure|je ne suis pas capable|je préfère ne pas|je refuse|je ne pourrai pas|il ne m'est pas possible|contraire à mes",
+    "de": "ich kann nicht|kann ich nicht|ich kann diese|ich kann diesen|ich kann das|nicht möglich|ich bin nicht in der lage|ich möchte nicht|möchte darauf lieber nicht|ich möchte lieber nicht|muss ich ablehnen|gegen meine",
+    "pt": "não posso|não consigo|não sou capaz|não me é possível|prefiro não|recuso|não poderei|contra as minhas",
+    "it": "non posso|non sono in grado|non mi è possibile|preferisco non|mi rifiuto|non potrò|contraria alle mie|contro le mie",
+    "ru": "я не могу|не могу|я не в состоянии|предпочёл бы не|мне не разрешено|противоречит моим",
+}
+AROUND = {
+    "en": "sorry i'm i am afraid unfortunately apologies apologise apologize my but and no as an a ai language model assistant help assist you with answer answering process processing translate translating review correct complete provide comply fulfil fulfill do doing discuss handle handled respond responding to that this these the it your request requests passage text texts question questions content task guidelines guideline policy policies rules please ask something else for here be able any of such on kind",
+    "es": "lo siento lamento disculpe perdón perdone lamentablemente desgraciadamente por desgracia pero y no como un una ia modelo de lenguaje ayudar ayudarle ayudarte con responder responderle contestar procesar traducir corregir cumplir realizar atender tratar tratarse hacer hacerlo a la el los las esta este esa ese eso esto su petición solicitud pasaje texto contenido pregunta tarea mis normas directrices reglas política pregunte otra cosa favor aquí en va que puede",
+    "fr": "de du des désolé désolée je suis excusez moi malheureusement mais et en tant que un une ia modèle de langue langage vous aider avec répondre traiter traduire corriger satisfaire faire à la le les cette ce cet votre demande passage texte contenu question tâche mes règles consignes directives posez autre s'il plaît ici cela pas ne est d l",
+    "de": "es tut mir leid leider entschuldigung aber und als ein eine ki sprachmodell dabei damit ihnen helfen behilflich sein bei beantworten bearbeiten übersetzen korrigieren erfüllen antworten machen diese dieser diesem dieses die der das den ihre anfrage stelle text inhalt frage aufgabe meine richtlinien regeln verstößt bitte fragen sie etwas anderes hier nicht ist mir zu lieber darauf ich",
+    "pt": "desculpe desculpa lamento infelizmente mas e como um uma ia modelo de linguagem ajudar ajudá lo com responder processar traduzir corrigir atender cumprir fazer a o os as esse essa este esta isso isto seu sua pedido solicitação trecho texto conteúdo pergunta tarefa minhas diretrizes regras pergunte outra coisa por favor aqui vai",
+    "it": "mi dispiace spiacente scusi scusa purtroppo ma e come un una ia modello linguistico di lingua aiutare aiutarla con rispondere elaborare tradurre correggere soddisfare fare a il la lo le questo questa quel sua richiesta brano testo contenuto domanda compito linee guida regole chieda qualcos altro qualcosa per favore qui è",
+    "ru": "извините простите к сожалению но и как языковая модель ии помочь вам с этим выполнить эту этот этого обработать перевести ответить отвечать просьбу запрос отрывок текст вопрос правилам спросите что нибудь другое пожалуйста на",
+}
+
 _LANGUAGE = {name: code for code, names in NAMES.items() for name in names.split() if len(name) > 3 or not name.isascii()}
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[฀-๿]|[^\W_]+")
 _FENCE = re.compile(r"^\s*(?:```+|~~~+)[\w-]*[ \t]*\n?|\n?\s*(?:```+|~~~+)\s*$")
@@ -157,16 +178,35 @@ _TEMPLATES = [(shingles(c, SHINGLE), t) for c, t in _TEMPLATES]
 _KNOWN = frozenset(k for c, _ in _TEMPLATES for k in c)
 
 
+_DENIALS = {c: [tokens(d) for d in ds.split("|")] for c, ds in DENIALS.items()}
+_AROUND = {c: frozenset(tokens(ws)) | {w for d in _DENIALS[c] for w in d} for c, ws in AROUND.items()}
+
+
+def composed(t: list[str]) -> str | None:
+    """The language in which a sentence's tokens are parts of refusals, a denied ability among them in order; else None."""
+    for c, known in _AROUND.items():
+        if _parts_share(t, c) >= COMPOSED and any(common(t, d) == len(d) for d in _DENIALS[c]):
+            return c
+    return None
+
+
+def _parts_share(t: list[str], language: str) -> float:
+    known = _AROUND[language]
+    return sum(w in known for w in t) / len(t) if t else 0.0
+
+
 def is_refusal(answer: str) -> bool:
-    """Whether most of an answer's sentences align with refusal templates."""
+    """Whether most of an answer's sentences align with refusal templates or are composed as one."""
     said = total = 0
-    for s in _SENT.split(bare(answer)):
-        t = tokens(s)
-        if not t:
-            continue
+    parts_ = [t for t in map(tokens, _SENT.split(bare(answer))) if t]
+    language = next((c for c in map(composed, parts_) if c), None)
+    for t in parts_:
         chars = " ".join(t)
         mine = shingles(chars, SHINGLE)
         total += len(chars)
+        if language is not None and _parts_share(t, language) >= COMPOSED:
+            said += len(chars)
+            continue
         if sum(n for k, n in mine.items() if k in _KNOWN) < REFUSAL * 0.8 * sum(mine.values()):
             continue
         for c, tt in _TEMPLATES:
