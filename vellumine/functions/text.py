@@ -104,7 +104,8 @@ def quality(text: Column) -> Column:
         + F.lit(0.15) * F.least(F.lit(1.0), n / F.lit(80.0))
         + F.lit(0.15) * (1 - F.least(F.lit(1.0), suspicious(text) / F.lit(4.0)))
     )
-    return F.when((compact == 0) | (n == 0), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    whole = F.when((compact == 0) | (n == 0), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    return F.when(text.isNotNull(), whole)
 
 
 def damaged(text: Column) -> Column:
