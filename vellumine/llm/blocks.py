@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _GAP = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:(?:\r\n|\r|\n)[^\S\r\n]*)+")
 _LIST = re.compile(r"\s{0,3}(?:[-*+]\s|\d{1,9}[.)]\s)")
 _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
@@ -65,3 +68,8 @@ def blocks(text: str) -> list[Block]:
             out.append(Block(len(out), start, start + len(body), kind))
         at = after
     return out
+
+
+def wording(text: Column) -> Column:
+    """A text without regard to case and to the numbers and codes in it, so that copies that differ in these are one."""
+    return F.regexp_replace(F.lower(text), r"(?<![a-z0-9])[a-z]{0,16}[0-9][a-z0-9]*", "0")

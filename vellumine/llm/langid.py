@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import RUNNING, blocks
+from .blocks import RUNNING, blocks, wording
 
 SAMPLE = 120  # labelled rows of each language
 SAMPLE_CHARS = 1500  # characters of each sampled row that train the network
@@ -344,27 +344,26 @@ def code_column(label: Column) -> Column:
 
 
 def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most size (text, code) rows of each language, of least hash. sources: frames of id, text, lang.
+    """At most size (text, code) rows of each language, of least hash of their wording. sources: frames of id, text, lang.
 
-    A first pass over the labels alone counts the languages; the second reads texts only of ids whose hash falls in a
-    share that still holds some eight times the sample, so neither the sort nor the driver sees more at any size.
+    A text counts once for each language it is labelled with, however many ids have it. A first pass counts the wordings
+    of each language; the second keeps only those whose hash falls in a share that still holds some eight times the
+    sample, so neither the sort nor the driver sees more at any size.
     """
     from pyspark.sql import Window
 
-    known = [s.withColumn("code", code_column(F.col("lang"))).where("code is not null") for s in sources]
-    labels = known[0].select("code")
-    for s in known[1:]:
-        labels = labels.unionByName(s.select("code"))
-    counts = {r["code"]: r["n"] for r in labels.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a dozen rows
+    rows = None
+    for s in sources:
+        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null").where(F.length("text") > 20)
+        one = one.select("code", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.withColumn("h", F.xxhash64(wording(F.col("text"))))
+    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a dozen rows
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, n // (8 * size)))])
-    rows = None
-    for s in known:
-        one = s.where((F.pmod(F.xxhash64("id"), share[F.col("code")]) == 0) & (F.length("text") > 20))
-        one = one.select("code", F.xxhash64("id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        rows = one if rows is None else rows.unionByName(one)
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))).where(F.col("k") <= size)
+    once = rows.where(F.pmod("h", share[F.col("code")]) == 0).groupBy("code", "h").agg(F.min("text").alias("text"))
+    ranked = once.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("k") <= size)
     return [(t, c) for c, _, t in sorted((r["code"], r["h"], r["text"]) for r in ranked.select("code", "text", "h").collect())]
 
 
