@@ -42,6 +42,21 @@ def test_items_that_fit_nothing(spark):
     assert len(used) == 500
 
 
+def test_bins_that_only_fit_in_other_partitions(spark):
+    groups = [[(i, 1100) for i in range(6)], *[[(i, 900)] for i in range(6, 12)]]  # each group is a partition
+    df = spark.createDataFrame(spark.sparkContext.parallelize(groups, len(groups)).flatMap(list), "doc_id bigint, tokens bigint")
+    assert packing.pack(df).select("container").distinct().count() == 6
+
+
+def test_last_round_keeps_what_exceeds_a_batch(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(packing, "BATCH", 4)
+    rows = pd.DataFrame([(1100, [i], [0], [1100]) for i in range(9)] + [(5, [9], [0], [5])], columns=["size", "doc_ids", "pieces", "tokens"])
+    out = pd.concat(packing._pack(iter([rows[:5], rows[5:]]), 2048, 8, least=5, last=True))
+    assert out["full"].all() and sorted(i for d in out["doc_ids"] for i in d) == list(range(10))
+
+
 def test_edges(spark):
     check(spark, [], 1)
     check(spark, [None, 0], 2)

@@ -2,7 +2,7 @@
 
 Each partition packs its items best-fit, largest first, and emits the bins that are nearly full. Underfull bins travel
 on as items to a tree of fewer and fewer partitions, each packing best-fit again, until one partition is left. A bin
-also counts as finished where no other bin of its partition could take it. An item above the capacity is cut into
+also counts as finished where its room is smaller than every item of the round, in all partitions. An item above the capacity is cut into
 full pieces, which are containers by themselves, and a rest that is packed like any item.
 
 A container is named after its first member, so a recomputed partition gives the same names: rows are ordered before
@@ -51,8 +51,8 @@ def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, list]]:
     return done
 
 
-def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, last: bool) -> Iterator[pd.DataFrame]:
-    """Rows of finished bins (full true) and of underfull ones, which the next round takes."""
+def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, least: int, last: bool) -> Iterator[pd.DataFrame]:
+    """Rows of finished bins (full true) and of underfull ones, which the next round takes. least: the least size of all partitions."""
 
     def rows(bins: list[tuple[int, list]], full: bool) -> pd.DataFrame:
         out = []
@@ -68,9 +68,8 @@ def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, last: bool
     def settle(held: list[tuple], end: bool) -> tuple[list, list]:
         held.sort(key=lambda x: (-x[0], x[1][0][0], x[1][1][0]))
         bins = best_fit(held, capacity)
-        least = min((s for s, _ in bins if capacity - s > slack), default=capacity)
-        full = [b for b in bins if capacity - b[0] <= slack or (end and (last or capacity - b[0] < least))]
-        kept = [] if end and last else [b for b in bins if not (capacity - b[0] <= slack or (end and capacity - b[0] < least))]
+        done = [end and last or capacity - s <= slack or capacity - s < least for s, _ in bins]
+        full, kept = ([b for b, d in zip(bins, done) if d is want] for want in (True, False))
         return full, kept
 
     def flat(bins: list[tuple[int, list]]) -> list[tuple]:
@@ -84,7 +83,7 @@ def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, last: bool
             yield rows(full, True)
             held = flat(kept)
             if len(held) > BATCH // 2:  # bins that fit nothing here travel on, so that memory stays bounded
-                yield rows([(s, [m]) for s, m in held], False)
+                yield rows([(s, [m]) for s, m in held], last)
                 held = []
     full, kept = settle(held, True)
     yield rows(full, True)
@@ -114,7 +113,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
         ordered = ordered.sortWithinPartitions(F.desc("size"), F.col("doc_ids")[0], F.col("pieces")[0])
         if last and first:
             ordered = ordered.coalesce(1)
-        bins = cut(ordered.mapInPandas(lambda it, last=last: _pack(it, capacity, slack, last), BINS + ", full boolean"))
+        least = at.agg(F.min("size")).first()[0] or capacity
+        bins = cut(ordered.mapInPandas(lambda it, least=least, last=last: _pack(it, capacity, slack, least, last), BINS + ", full boolean"))
         done.append(bins.where("full").drop("full"))
         if last:
             break
