@@ -3,9 +3,9 @@ import random
 from vellumine.llm import packing
 
 
-def check(spark, sizes, parts, capacity=2048):
+def check(spark, sizes, parts, capacity=2048, **options):
     df = spark.createDataFrame([(i, n, "extra") for i, n in enumerate(sizes)], "doc_id bigint, tokens bigint, container string").repartition(parts)
-    rows = [tuple(r) for r in packing.pack(df, capacity=capacity).collect()]
+    rows = [tuple(r) for r in packing.pack(df, capacity=capacity, **options).collect()]
     by, used = {}, {}
     for d, piece, c, n in rows:
         by.setdefault(d, []).append((piece, n))
@@ -48,13 +48,36 @@ def test_bins_that_only_fit_in_other_partitions(spark):
     assert packing.pack(df).select("container").distinct().count() == 6
 
 
-def test_last_round_keeps_what_exceeds_a_batch(monkeypatch):
-    import pandas as pd
+def test_many_leaves_lose_nothing(spark):
+    random.seed(5)
+    sizes = [random.choice([1100, 1100, 1100, 900, 30, 1500]) for _ in range(4000)]
+    _, many = check(spark, sizes, 3, leaf=60, fan_in=3)  # 67 leaves, five rounds
+    _, one = check(spark, sizes, 3)
+    assert len(many) <= 1.05 * len(one)
 
-    monkeypatch.setattr(packing, "BATCH", 4)
-    rows = pd.DataFrame([(1100, [i], [0], [1100]) for i in range(9)] + [(5, [9], [0], [5])], columns=["size", "doc_ids", "pieces", "tokens"])
-    out = pd.concat(packing._pack(iter([rows[:5], rows[5:]]), 2048, 8, least=5, last=True))
-    assert out["full"].all() and sorted(i for d in out["doc_ids"] for i in d) == list(range(10))
+
+def test_large_items_beyond_every_bound(spark):
+    df = spark.range(260_000).selectExpr("id as doc_id", "1100L as tokens")
+    for parts in (1, 2):
+        out = packing.pack(df.repartition(parts))
+        assert out.count() == 260_000 and out.select("doc_id").distinct().count() == 260_000
+
+
+def test_what_stays_behind_could_not_be_filled():
+    bins = packing.settle([(1100, [(i, 0, 1100)]) for i in range(20)] + [(30, [(99, 0, 30)])], 2048, 8, 3, False)
+    travelling = sorted(s for s, _, full in bins if not full)
+    assert travelling == [1100, 1100, 1100, 1130] and len(bins) == 20
+
+
+def test_one_source_of_equal_sizes(spark):
+    sizes = [1100] * 300 + [900] * 300  # in order: partitions of equal sizes
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(sizes)), 4), "doc_id bigint, tokens bigint")
+    assert packing.pack(df, leaf=200).select("container").distinct().count() <= 320
+
+
+def test_repeated_keys_count_once(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (2, 5)], "doc_id bigint, tokens bigint")
+    assert sorted((r.doc_id, r.tokens) for r in packing.pack(df).collect()) == [(1, 12), (2, 5)]
 
 
 def test_edges(spark):
@@ -72,5 +95,7 @@ def test_query(spark, tiny, empty):
     from vellumine.llm.queries import QUERIES
 
     assert QUERIES["p8_containers"](spark, empty).count() == 0
+    row = QUERIES["p8_check"](spark, tiny).first()
+    assert row.documents_in == row.documents_out > 0 and row.wrong_sizes == row.wrong_pieces == row.overfull == 0
     n = QUERIES["p8_containers"](spark, tiny).groupBy("container").sum("tokens").where("`sum(tokens)` > 2048").count()
     assert n == 0

