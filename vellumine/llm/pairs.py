@@ -1,8 +1,8 @@
 """Defects of prompt and response pairs, by alignment.
 
-A response is aligned with its prompt and with refusal templates: shingle containment in both directions finds the
-candidates, the longest common subsequence of tokens confirms them. A copy is a response that aligns with the whole
-source, its passage or its question; a refusal one whose sentences align with templates, in whatever language. The
+A response is aligned with its prompt and with refusal templates. Copies: shingle containment in both directions finds
+the candidates, the longest common subsequence of tokens confirms them; a copy aligns with the whole source, its passage
+or its question. Refusals: sentences aligned with templates that have slots, in whatever language (see refusals). The
 language of a response is found by the language network (see langid) and compared with the one the source asks for;
 an answer breaks off where it has no end of its own, judged by its last mark, by the prompt's text that it follows and
 by sounder answers of the same pair.
@@ -24,100 +24,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .langid import NAMES, Model
+from .refusals import is_refusal
 from .sentences import MAYBE, NEVER
 
-SHINGLE = 4  # characters of a refusal's shingle
 TOKENS = 3  # tokens of a copy's shingle
 COPY = 0.9  # least common subsequence of a copy, as a share of the longer side
-REFUSAL = 0.62  # least alignment of a sentence with a template
-COMPOSED = 0.88  # share of a composed refusal's tokens that are parts of refusals
 ODDS = 4.0  # log-odds by which an answer is in another language than asked for
 
 #: Answers that stand for nothing (fixed values).
 NOTHING = frozenset("null none nil nan undefined n/a na n.a empty (empty) [empty] void blank missing no-answer (none) vacío leer vide vuoto vazio пусто 空 无 なし ... … - -- — . ? ! * _".split())
 
-#: Wordings of refusals (fixed values), by which sentences are aligned.
-REFUSALS = """
-I'm sorry, but I can't help with that.
-I'm sorry, but I cannot assist with that request.
-I cannot comply with this request.
-I am unable to help with this request.
-As a language model, I am unable to process this passage.
-As an AI language model, I cannot answer this.
-Sorry, no. This content can't be handled here.
-Unfortunately this request goes against my guidelines.
-I would rather not answer. Please ask something else.
-I can't translate this text.
-I won't be able to do that.
-Lo siento, pero no puedo ayudar con esa petición.
-No puedo cumplir esta solicitud.
-Como modelo de lenguaje, no me es posible procesar este pasaje.
-Disculpe, este contenido no puede tratarse aquí.
-Prefiero no responder. Pregunte otra cosa, por favor.
-Lamentablemente, esta petición va en contra de mis normas.
-Désolé, je ne peux pas répondre à cette demande.
-Je suis désolé, mais je ne peux pas vous aider avec cette demande.
-En tant que modèle de langue, je ne suis pas en mesure de traiter ce passage.
-Je préfère ne pas répondre. Posez une autre question.
-Malheureusement, cette demande est contraire à mes règles.
-Es tut mir leid, dabei kann ich nicht behilflich sein.
-Es tut mir leid, aber ich kann diese Anfrage nicht bearbeiten.
-Als Sprachmodell ist es mir nicht möglich, diese Stelle zu bearbeiten.
-Ich möchte darauf lieber nicht antworten. Bitte fragen Sie etwas anderes.
-Leider verstößt diese Anfrage gegen meine Richtlinien.
-Desculpe, mas não posso atender a esse pedido.
-Como modelo de linguagem, não consigo processar este trecho.
-Lamento, mas não posso ajudar com isso.
-Prefiro não responder. Pergunte outra coisa.
-Infelizmente, este pedido vai contra as minhas diretrizes.
-Mi dispiace, ma non posso aiutare con questa richiesta.
-Come modello linguistico non sono in grado di elaborare questo brano.
-Preferisco non rispondere. Chieda qualcos'altro.
-Purtroppo questa richiesta è contraria alle mie linee guida.
-Извините, но я не могу выполнить эту просьбу.
-Как языковая модель, я не могу обработать этот отрывок.
-К сожалению, я не могу помочь с этим.
-Я предпочёл бы не отвечать. Спросите что-нибудь другое.
-抱歉，我无法协助处理这个请求。
-对不起，我不能帮助您完成这个请求。
-作为语言模型，我无法处理这段文字。
-申し訳ありませんが、そのご依頼にはお応えできません。
-申し訳ございませんが、お手伝いできません。
-言語モデルとして、この文章を処理することはできません。
-क्षमा करें, मैं इस अनुरोध में सहायता नहीं कर सकता।
-आप के अनुरोध को पूरा करना मेरे लिए संभव नहीं है।
-عذرا، لا يمكنني المساعدة في هذا الطلب.
-بصفتي نموذجا لغويا لا أستطيع معالجة هذا النص.
-ขออภัย ฉันไม่สามารถช่วยเรื่องนี้ได้
-ในฐานะแบบจำลองภาษา ฉันไม่สามารถประมวลผลข้อความนี้ได้
-""".strip().split("\n")
-
-#: Parts of which refusals are composed (fixed values): the denied ability, and what stands around it.
-DENIALS = {
-    "en": "i cannot|i can't|i can not|i am unable to|i'm unable to|i am not able to|i'm not able to|i won't|i will not|i must decline|i would rather not|i prefer not to|i decline|i refuse|i'm afraid i can't|can't be handled|cannot be handled|goes against my|violates my",
-    "es": "no puedo|no me es posible|no soy capaz|no estoy en condiciones|prefiero no|me niego|no podré|no puede tratarse|en contra de mis",
-    "fr": "je ne peux pas|je ne peux|je ne suis pas en mesure|je ne suis pas capable|je préfère ne pas|je refuse|je ne pourrai pas|il ne m'est pas possible|contraire à mes",
-    "de": "ich kann nicht|kann ich nicht|ich kann diese|ich kann diesen|ich kann das|nicht möglich|ich bin nicht in der lage|ich möchte nicht|möchte darauf lieber nicht|ich möchte lieber nicht|muss ich ablehnen|gegen meine",
-    "pt": "não posso|não consigo|não sou capaz|não me é possível|prefiro não|recuso|não poderei|contra as minhas",
-    "it": "non posso|non sono in grado|non mi è possibile|preferisco non|mi rifiuto|non potrò|contraria alle mie|contro le mie",
-    "ru": "я не могу|не могу|я не в состоянии|предпочёл бы не|мне не разрешено|противоречит моим",
-}
-AROUND = {
-    "en": "sorry i'm i am afraid unfortunately apologies apologise apologize my but and no as an a ai language model assistant help assist you with answer answering process processing translate translating review correct complete provide comply fulfil fulfill do doing discuss handle handled respond responding to that this these the it your request requests passage text texts question questions content task guidelines guideline policy policies rules please ask something else for here be able any of such on kind",
-    "es": "lo siento lamento disculpe perdón perdone lamentablemente desgraciadamente por desgracia pero y no como un una ia modelo de lenguaje ayudar ayudarle ayudarte con responder responderle contestar procesar traducir corregir cumplir realizar atender tratar tratarse hacer hacerlo a la el los las esta este esa ese eso esto su petición solicitud pasaje texto contenido pregunta tarea mis normas directrices reglas política pregunte otra cosa favor aquí en va que puede",
-    "fr": "de du des désolé désolée je suis excusez moi malheureusement mais et en tant que un une ia modèle de langue langage vous aider avec répondre traiter traduire corriger satisfaire faire à la le les cette ce cet votre demande passage texte contenu question tâche mes règles consignes directives posez autre s'il plaît ici cela pas ne est d l",
-    "de": "es tut mir leid leider entschuldigung aber und als ein eine ki sprachmodell dabei damit ihnen helfen behilflich sein bei beantworten bearbeiten übersetzen korrigieren erfüllen antworten machen diese dieser diesem dieses die der das den ihre anfrage stelle text inhalt frage aufgabe meine richtlinien regeln verstößt bitte fragen sie etwas anderes hier nicht ist mir zu lieber darauf ich",
-    "pt": "desculpe desculpa lamento infelizmente mas e como um uma ia modelo de linguagem ajudar ajudá lo com responder processar traduzir corrigir atender cumprir fazer a o os as esse essa este esta isso isto seu sua pedido solicitação trecho texto conteúdo pergunta tarefa minhas diretrizes regras pergunte outra coisa por favor aqui vai",
-    "it": "mi dispiace spiacente scusi scusa purtroppo ma e come un una ia modello linguistico di lingua aiutare aiutarla con rispondere elaborare tradurre correggere soddisfare fare a il la lo le questo questa quel sua richiesta brano testo contenuto domanda compito linee guida regole chieda qualcos altro qualcosa per favore qui è",
-    "ru": "извините простите к сожалению но и как языковая модель ии помочь вам с этим выполнить эту этот этого обработать перевести ответить отвечать просьбу запрос отрывок текст вопрос правилам спросите что нибудь другое пожалуйста на",
-}
-
 _LANGUAGE = {name: code for code, names in NAMES.items() for name in names.split() if len(name) > 3 or not name.isascii()}
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[฀-๿]|[^\W_]+")
 _FENCE = re.compile(r"^\s*(?:```+|~~~+)[\w-]*[ \t]*\n?|\n?\s*(?:```+|~~~+)\s*$")
 _END = re.compile(r"[.!?。！？।؟۔]+[\s\"'”’»›)\]}」』）】]*$")
 _DOTS = re.compile(r"(?:…+|\.{3,})[\s\"'”’»›)\]}」』）】]*$")
-_SENT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？।؟])\s*")
 
 
 def bare(answer: str) -> str:
@@ -173,50 +94,6 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-_TEMPLATES = [(" ".join(tokens(t)), tokens(t)) for line in REFUSALS for t in [line, *(_SENT.split(line) if len(_SENT.split(line)) > 1 else [])] if len(tokens(t)) > 1 or len(t) > 8]
-_TEMPLATES = [(shingles(c, SHINGLE), t) for c, t in _TEMPLATES]
-_KNOWN = frozenset(k for c, _ in _TEMPLATES for k in c)
-
-
-_DENIALS = {c: [tokens(d) for d in ds.split("|")] for c, ds in DENIALS.items()}
-_AROUND = {c: frozenset(tokens(ws)) | {w for d in _DENIALS[c] for w in d} for c, ws in AROUND.items()}
-
-
-def composed(t: list[str]) -> str | None:
-    """The language in which a sentence's tokens are parts of refusals, a denied ability among them in order; else None."""
-    for c, known in _AROUND.items():
-        if _parts_share(t, c) >= COMPOSED and any(common(t, d) == len(d) for d in _DENIALS[c]):
-            return c
-    return None
-
-
-def _parts_share(t: list[str], language: str) -> float:
-    known = _AROUND[language]
-    return sum(w in known for w in t) / len(t) if t else 0.0
-
-
-def is_refusal(answer: str) -> bool:
-    """Whether most of an answer's sentences align with refusal templates or are composed as one."""
-    said = total = 0
-    parts_ = [t for t in map(tokens, _SENT.split(bare(answer))) if t]
-    language = next((c for c in map(composed, parts_) if c), None)
-    for t in parts_:
-        chars = " ".join(t)
-        mine = shingles(chars, SHINGLE)
-        total += len(chars)
-        if language is not None and _parts_share(t, language) >= COMPOSED:
-            said += len(chars)
-            continue
-        if sum(n for k, n in mine.items() if k in _KNOWN) < REFUSAL * 0.8 * sum(mine.values()):
-            continue
-        for c, tt in _TEMPLATES:
-            share = min(containment(mine, c), containment(c, mine))
-            if share >= REFUSAL * 0.8 and common(t, tt) / max(len(t), len(tt)) >= REFUSAL:
-                said += len(chars)
-                break
-    return bool(total) and said / total >= 0.7
-
-
 def parts(source: str, mode: str) -> tuple[str, str, list[str]]:
     """(instruction, passage, questions) of a source."""
     ps = [p.strip() for p in re.split(r"\n\s*\n", source.strip()) if p.strip()]
@@ -256,7 +133,7 @@ def is_copy(answer: str, source: str, passage: str, questions: list[str], mode:
         options += [tokens("\n".join(ps[1:])), tokens("\n".join(ps[:-1]))] + [tokens(q) for q in questions]
     mine = shingles(a, TOKENS)
     for o in options:
-        if not o or not 0.8 <= len(a) / len(o) <= 1.25:
+        if not o:
             continue
         theirs = shingles(o, TOKENS)
         if min(containment(mine, theirs), containment(theirs, mine)) >= 0.75 and common(a, o) / max(len(a), len(o)) >= COPY:
@@ -302,23 +179,29 @@ def is_truncated(answer: str, mode: str, passage: str, questions: list[str], oth
         return any(len(mine) < 0.9 * len(o) and o[: len(mine)] == mine for o in best)
     if mode != "question":
         return bool(_END.search(source_end) or _DOTS.search(source_end) or len(tokens(s)) < 0.9 * len(tokens(passage)) and mode == "review_content")
-    core, text = tokens(s), tokens(passage)
+    core = tokens(s)
     if not core:
         return False
-    for o in others:
-        ob = bare(o)
-        if tokens(ob) == core and _END.search(ob):
-            return False
-    at = _place(core, text)
-    if at is None or len(core) > 7:
-        return True
-    verb = next((t[1] for t in map(tokens, questions) if len(t) > 1), None)
-    if verb in core:  # a sentence without its end
-        return True
-    if verb is None:
-        return len(core) > 4
-    beside = any(text[i + len(core) : i + len(core) + 1] == [verb] or (i and text[i - 1] == verb) for i in at)
-    return not beside and len(core) > 3
+    if any(tokens(bare(o)) == core and _END.search(bare(o)) for o in others):
+        return False
+    return not stands_whole(core, passage, {w for q in questions for w in tokens(q)})
+
+
+def stands_whole(core: list[str], passage: str, asked: set[str]) -> bool:
+    """Whether an answer without an end mark is a whole part of the passage.
+
+    Such a part begins and ends at a sign, at the passage's edge, or beside a word of the question.
+    """
+    low = unicodedata.normalize("NFKC", passage).lower()
+    at = [(m.start(), m.end()) for m in _WORD.finditer(low)]
+    text = [low[a:b] for a, b in at]
+    for i in _place(core, text) or ():
+        j = i + len(core)
+        left = i == 0 or text[i - 1] in asked or re.search(r"[^\w\s]", low[at[i - 1][1] : at[i][0]])
+        right = j == len(at) or text[j] in asked or re.search(r"[^\w\s]", low[at[j - 1][1] : at[j][0]])
+        if left and right:
+            return True
+    return False
 
 
 def _place(core: list[str], text: list[str]) -> list[int] | None:
@@ -340,7 +223,7 @@ def judge(rows: list[tuple], model: Model) -> list[tuple[str, int, str]]:
         for no, answer in answers:
             if is_empty(answer):
                 out.append((name, no, "empty"))
-            elif is_refusal(answer):
+            elif is_refusal(bare(answer), passage):
                 out.append((name, no, "refusal"))
             elif not source or not words:
                 continue
