@@ -15,6 +15,7 @@ code; repeated rows give the same result and count once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,14 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import RUNNING, blocks, wording
 
 SAMPLE = 120  # labelled rows of each language
-SAMPLE_CHARS = 1500  # characters of each sampled row that train the network
-EMBED, HIDDEN, BYTES = 12, 28, 30  # sizes of the network; bytes of a run
+SAMPLE_CHARS = 20_000  # longest row that is sampled; rows train whole
+EMBED, HIDDEN = 12, 28  # sizes of the network
+RUN = 48  # characters of a run; longer ones are several
+LENGTHS = (14, 22, 34, 10**9)  # runs of a training batch are alike in length: bytes
 STEPS, AGAIN, BATCH, RATE = 700, 300, 192, 0.02
 RUNS = 6000  # most frequent runs of a language that train
 MEMO = 400_000  # remembered runs of a worker
@@ -60,9 +64,9 @@ SCRIPTS = {"Latin": LATIN, "Cyrillic": ("ru",), "Han": ("ja", "zh"), "Kana": ("j
 
 _RUN = re.compile(
     r"(?P<Kana>[぀-ヿㇰ-ㇿｦ-ﾟ]{1,8})|(?P<Han>[々㐀-䶿一-鿿豈-﫿]{1,8})|(?P<Thai>[฀-๿]{1,9})"
-    r"|(?P<Devanagari>[ऀ-ॣ॰-ॿ]+)|(?P<Arabic>[ؐ-ٟؠ-ۿݐ-ݿ]+)|(?P<Cyrillic>[Ѐ-ӿ]+)|(?P<Latin>[A-Za-zÀ-ÖØ-öø-ɏ]+)"
+    rf"|(?P<Devanagari>[ऀ-ॣ॰-ॿ]{{1,{RUN}}})|(?P<Arabic>[ؐ-ٟؠ-ۿݐ-ݿ]{{1,{RUN}}})|(?P<Cyrillic>[Ѐ-ӿ]{{1,{RUN}}})|(?P<Latin>[A-Za-zÀ-ÖØ-öø-ɏ]{{1,{RUN}}})"
 )
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LATIN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ɏ]{{1,{RUN}}}")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _OTHER = re.compile(r"[Ͱ-῿⺀-\uffff]")
 _NOISE = re.compile(r"https?://\S+|`[^`\n]*`|<[^<>\n]+>|\b\S+@\S+")
@@ -178,11 +182,16 @@ class Network:
         """targets: [run, language] probabilities. Adam, batches drawn by weight."""
         r = np.random.default_rng(seed)
         codes, live = encode(runs)
-        draw = weights / weights.sum()
+        sizes = live.sum(0)
+        classes = [c for c in (np.flatnonzero((sizes <= high) & (sizes > low)) for low, high in zip((0, *LENGTHS), LENGTHS)) if len(c)]
+        shares = np.array([weights[c].sum() for c in classes])
+        shares = shares / shares.sum()
+        draws = [weights[c] / weights[c].sum() for c in classes]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
-            at = r.choice(len(runs), BATCH, p=draw)
+            k = int(r.choice(len(classes), p=shares))
+            at = classes[k][r.choice(len(classes[k]), BATCH, p=draws[k])]
             top = int(live[:, at].sum(0).max())
             c, lv, y = codes[:top, at], live[:top, at], targets[at]
             out, h, x, tf, tb = self.logits(c, lv, keep=True)
@@ -197,11 +206,10 @@ class Network:
             grad["e"] = np.zeros_like(self.p["e"])
             np.add.at(grad["e"], c, dx)
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k in self.p:
-                g = grad[k]
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            for name, g in grad.items():
+                m[name] = 0.9 * m[name] + 0.1 * g
+                v[name] = 0.99 * v[name] + 0.01 * g * g
+                self.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
 
     def pooled(self, runs: list[str]) -> np.ndarray:
         """[run, language]: mean over the positions of their log probabilities."""
@@ -210,21 +218,20 @@ class Network:
         for a in range(0, len(order), 1024):
             at = order[a : a + 1024]
             codes, live = encode([runs[i] for i in at])
-            top = max(1, int(live.sum(0).max()))
-            z = self.logits(codes[:top], live[:top])[0]
+            z = self.logits(codes, live)[0]
             z = z - z.max(2, keepdims=True)
             z -= np.log(np.exp(z).sum(2, keepdims=True))
-            w = live[:top, :, None]
+            w = live[:, :, None]
             out[at] = (z * w).sum(0) / np.maximum(w.sum(0), 1)
         return out
 
 
 def encode(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and liveness, [time, run]; a run is wrapped in blanks."""
-    codes = np.zeros((BYTES, len(runs)), np.int64)
-    live = np.zeros((BYTES, len(runs)), np.float32)
-    for i, r in enumerate(runs):
-        b = b" " + r.lower().encode("utf-8", "replace")[: BYTES - 2] + b" "
+    """Bytes and liveness, [time, run]; a run is wrapped in blanks and read whole."""
+    raw = [b" " + r.lower().encode("utf-8", "replace") + b" " for r in runs]
+    codes = np.zeros((max(map(len, raw), default=1), len(runs)), np.int64)
+    live = np.zeros(codes.shape, np.float32)
+    for i, b in enumerate(raw):
         codes[: len(b), i] = np.frombuffer(b, np.uint8)
         live[: len(b), i] = 1
     return codes, live
@@ -253,13 +260,17 @@ class Model:
     def __getstate__(self) -> dict:
         return {"network": self.network, "masks": self.masks, "memo": {}, "values": self.values[:0], "filled": 0}
 
-    def _learn(self, runs: list[str]) -> None:
+    def _values(self, runs: list[str]) -> np.ndarray:
+        z = self.network.pooled(runs) + np.stack([self.masks[_script(r)] for r in runs])
+        z -= z.max(1, keepdims=True)
+        return np.maximum(z - np.log(np.exp(z).sum(1, keepdims=True)), -6.0)
+
+    def _remember(self, runs: list[str], z: np.ndarray) -> None:
         if len(self.memo) + len(runs) > MEMO:
             self.memo.clear()
             self.filled = 0
-        z = self.network.pooled(runs) + np.stack([self.masks[_script(r)] for r in runs])
-        z -= z.max(1, keepdims=True)
-        z = np.maximum(z - np.log(np.exp(z).sum(1, keepdims=True)), -6.0)
+        if len(runs) > MEMO:
+            return
         if self.filled + len(runs) > len(self.values):
             grown = np.empty((max(2 * len(self.values), self.filled + len(runs), 4096), z.shape[1]), np.float32)
             grown[: self.filled] = self.values[: self.filled]
@@ -282,18 +293,23 @@ class Model:
 
     def _slice(self, texts: list[str], out: np.ndarray) -> None:
         parts = [_runs(_clean(t)) for t in texts]
-        distinct = set().union(*parts) if parts else set()
-        for _ in range(2):  # once more where the memory was cleared
-            new = sorted(r for r in distinct if r not in self.memo)
-            if new:
-                self._learn(new)
-        memo = self.memo
-        ids = np.array([memo[r] for p in parts for r in p], np.int64)
+        distinct = sorted(set().union(*parts)) if parts else []
+        if not distinct:
+            return
+        known = np.array([self.memo.get(r, -1) for r in distinct])
+        values = np.empty((len(distinct), out.shape[1]), np.float32)
+        values[known >= 0] = self.values[known[known >= 0]]
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh = [distinct[i] for i in new.tolist()]
+            values[new] = self._values(fresh)
+            self._remember(fresh, values[new])
+        at = {r: i for i, r in enumerate(distinct)}
+        ids = np.array([at[r] for p in parts for r in p], np.int64)
         sizes = np.array([len(p) for p in parts])
-        if len(ids):
-            has = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[has]
-            out[has] = np.add.reduceat(self.values[ids], starts, axis=0)
+        has = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[has]
+        out[has] = np.add.reduceat(values[ids], starts, axis=0)
 
     def best(self, scores: np.ndarray) -> tuple[list[str | None], np.ndarray]:
         """The language of each row of scores and its confidence, a probability."""
@@ -309,7 +325,7 @@ def fit(rows: list[tuple[str, str]], languages: list[str] | None = None) -> Mode
     """rows: (text, code), of which some are labelled wrongly."""
     languages = sorted(languages or NAMES)
     at = {c: i for i, c in enumerate(languages)}
-    counts = [Counter(_runs(_clean(t[:SAMPLE_CHARS].lower()))) for t, _ in rows]
+    counts = [Counter(_runs(_clean(t.lower()))) for t, _ in rows]
     labels = [at[c] for _, c in rows]
     network = Network.new(languages)
 
@@ -330,12 +346,28 @@ def fit(rows: list[tuple[str, str]], languages: list[str] | None = None) -> Mode
 
     network.train(*examples(), STEPS, 1)
     model = Model(network)
-    named, sure = model.best(model.score([t[:SAMPLE_CHARS] for t, _ in rows])) if rows else ([], [])
+    named, sure = model.best(model.score([t for t, _ in rows])) if rows else ([], [])
     labels = [at[n] if n and s > 0.9 else k for n, s, k in zip(named, sure, labels)]
     network.train(*examples(), AGAIN, 2)
     return Model(network)
 
 
+def fit_once(spark: SparkSession, rows: list[tuple[str, str]]) -> Model:
+    """As fit, but a network that was fitted on the same rows before is loaded from the checkpoint folder."""
+    from ..session import checkpoint_dir
+
+    said = hashlib.sha256(repr((STEPS, AGAIN, BATCH, EMBED, HIDDEN, RUN, rows)).encode("utf-8", "surrogatepass")).hexdigest()[:24]
+    path = f"{checkpoint_dir(spark).rstrip('/').rsplit('/', 1)[0]}/fitted-langid-{said}"
+    try:
+        kept = {r.name: np.frombuffer(r.data, np.float32).reshape(tuple(r.shape)).copy() for r in spark.read.parquet(path).collect()}  # a dozen arrays
+        return Model(Network(sorted(NAMES), kept))
+    except AnalysisException:
+        model = fit(rows)
+    arrays = [(k, v.astype(np.float32).tobytes(), list(v.shape)) for k, v in model.network.p.items()]
+    spark.createDataFrame(arrays, "name string, data binary, shape array<int>").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
+
+
 def code_column(label: Column) -> Column:
     """code_of as a column; null where it gives None or '?'."""
     table = F.create_map(*[F.lit(x) for kv in _CODE.items() for x in kv])
@@ -354,8 +386,8 @@ def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]
 
     rows = None
     for s in sources:
-        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null").where(F.length("text") > 20)
-        one = one.select("code", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null").where((F.length("text") > 20) & (F.length("text") <= SAMPLE_CHARS))
+        one = one.select("code", "text")
         rows = one if rows is None else rows.unionByName(one)
     rows = rows.withColumn("h", F.xxhash64(wording(F.col("text"))))
     counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a dozen rows
