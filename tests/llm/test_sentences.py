@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -56,16 +57,35 @@ def test_thai(spark, small):
     assert len(set(got) & set(parts)) >= 2  # a lexicon of a few dozen texts
 
 
-def test_lattice_finds_words():
-    from collections import Counter
-
-    lex = S.Lexicon()
+def test_lattice_finds_words(spark):
     words = ["บรรณารักษ์", "เปิด", "แผนที่", "ปิด", "ผู้แปล", "จดหมาย", "ขาย"]
-    runs = Counter(a + b + c for a in (words[0], words[4]) for b in (words[1], words[3], words[6]) for c in (words[2], words[5]))
-    lex._dictionary(Counter({r: 5 for r in runs}))
+    runs = [a + b + c for a in (words[0], words[4]) for b in (words[1], words[3], words[6]) for c in (words[2], words[5])]
+    lex = S.dictionary(spark.createDataFrame([(r,) for r in runs * 5], "text string"))
     assert lex.words("ผู้แปลขายแผนที่")[0].startswith("ผู้แปล") and "".join(lex.words("ผู้แปลขายแผนที่")) == "ผู้แปลขายแผนที่"
 
 
+def test_statistics_are_of_all_texts(spark):
+    """What stands at the end of long texts, and beyond any number of texts, teaches as well."""
+    body = "ผู้แปล เปิด แผนที่ แล้ว " * 3000
+    texts = [body + f"ท้าย{'กขคงจฉช'[i]}" for i in range(7)]
+    lex = S.learn(spark.createDataFrame([("x", str(i), t) for i, t in enumerate(texts)], "origin string, item_id string, text string"))
+    assert sum(lex.ends.values()) == 7 and sum(lex.after.values()) > 7 * 11_000
+
+
+def test_long_thai_is_linear():
+    text = "บรรณารักษ์เปิดแผนที่ ผู้แปลขายจดหมายในตอนเช้า (เหลือ 3 เล่ม) " * 6000
+    t = time.perf_counter()
+    S.sentences(text, LEX)
+    assert len(text) > 344_000 and time.perf_counter() - t < 5
+
+
+def test_a_long_quotation_is_one_sentence():
+    inner = " ".join(f"Line {i} was read." for i in range(40))
+    parts = ["It was late.", f"“{inner}” said Anna, and left.", "The end came."]
+    assert split(" ".join(parts)) == parts
+    assert len(split("An open (bracket. " + "It goes on. " * 30)) > 20  # one that never closes holds nothing together
+
+
 def test_queries(spark, tiny, empty, clashing):
     from vellumine.llm.queries import QUERIES as Q
 

@@ -32,6 +32,7 @@ from .blocks import RUNNING, blocks, wording
 SAMPLE = 120  # labelled rows of each language
 SAMPLE_CHARS = 20_000  # longest row that is sampled; rows train whole
 EMBED, HIDDEN = 12, 28  # sizes of the network
+WORD = 2  # characters of a word of a spaceless script
 RUN = 48  # characters of a run; longer ones are several
 LENGTHS = (14, 22, 34, 10**9)  # runs of a training batch are alike in length: bytes
 STEPS, AGAIN, BATCH, RATE = 700, 300, 192, 0.02
@@ -68,6 +69,7 @@ _RUN = re.compile(
 )
 _LATIN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ɏ]{{1,{RUN}}}")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
+_SPACELESS = re.compile(r"[\u0e00-\u0e7f\u3040-\u9fff\uff66-\uff9f]")
 _OTHER = re.compile(r"[Ͱ-῿⺀-\uffff]")
 _NOISE = re.compile(r"https?://\S+|`[^`\n]*`|<[^<>\n]+>|\b\S+@\S+")
 _STOP = re.compile(r"(?<=[.!?…])[\"”’»“)\]]*\s+|(?<=[。！？।؟])[”’」』»）)]*\s*|\n(?=[-*|#>])")
@@ -303,7 +305,9 @@ class Model:
         if len(new):
             fresh = [distinct[i] for i in new.tolist()]
             values[new] = self._values(fresh)
-            self._remember(fresh, values[new])
+            self._remember(fresh, values[new].copy())
+        wide = np.array([max(1.0, len(r) / WORD) if r[0] > "\u0dff" and _SPACELESS.match(r) else 1.0 for r in distinct], np.float32)
+        values *= wide[:, None]  # a run of a spaceless script is as many words as it is long
         at = {r: i for i, r in enumerate(distinct)}
         ids = np.array([at[r] for p in parts for r in p], np.int64)
         sizes = np.array([len(p) for p in parts])

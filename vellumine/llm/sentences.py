@@ -5,8 +5,7 @@ how well it begins and ends and by whether its brackets and quotations close; th
 Spaceless scripts with sentence marks use the same lattice, over their own marks. Scripts that only set blanks between
 sentences (Thai) are cut into words by a lattice over a dictionary of words, and each blank is classified by the word
 that ends before it and the word that opens after it: a blank parts sentences where the left word is one that ends
-texts and the right word one that begins them. The dictionary and these counts are learned from a bounded sample of
-the texts (SAMPLE texts).
+texts and the right word one that begins them. The dictionary and these counts are learned from all texts.
 
 Only running text counts (see blocks). Null, empty and blank texts and texts without running text give nothing.
 Positions count characters from 0, end exclusive, without surrounding white space.
@@ -18,16 +17,21 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import RUNNING, blocks
 
-SAMPLE = 1500  # texts of unspaced or unicased scripts that teach words and openings
+WORDS = 50_000  # most frequent words of the dictionary
+KEYS = 100_000  # most frequent words whose places at edges are kept
+LONGEST = 16  # characters of a dictionary word
+ROUNDS = 2  # times that the runs are read to prune the dictionary
 PRIOR = 0.15  # such a share of a word of which little is known
 RARE = 0.02  # share of texts' edges below which a word neither ends nor opens a sentence
 REACH = 14  # nodes that an arc may pass
@@ -52,7 +56,7 @@ _ENDS = {v: k for k, v in _PAIR.items() if v != "“"}
 _THAI = re.compile(r"[฀-๿]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _UNICASE = re.compile(r"[֐-ۿऀ-෿฀-๿]")
-_WORD = re.compile(r"[^\W_]+(?:[.\-’'][^\W_]+)*", re.U)
+_PIECE = re.compile(r"\S+")
 
 
 # ---- dictionary and word lattice ---------------------------------------------------------------------------------
@@ -91,66 +95,10 @@ class Lexicon:
         return out[::-1]
 
     @classmethod
-    def learn(cls, texts: list[str]) -> "Lexicon":
-        runs: Counter = Counter(r for t in texts for r in _RUN.findall(t))
-        lex = cls()
-        lex._dictionary(runs)
-        gaps: Counter = Counter()
-        for t in texts:
-            for b in blocks(t):
-                if b.kind != RUNNING:
-                    continue
-                body = t[b.start : b.end]
-                if not _UNICASE.search(body):
-                    continue
-                pieces = body.split()
-                lex.opens[lex.opening(pieces[0])] += 1
-                lex.ends[lex.ending(pieces[-1])] += 1
-                for a, z in zip(pieces, pieces[1:]):
-                    gaps[lex.ending(a), lex.opening(z)] += 1
-        edges = [(a, z, k) for (a, z), k in gaps.items() if not (z == "<name>" and a in ("<name>", "<initial>"))]
-        for a, z, k in edges:
-            lex.after[z] += k
-            lex.before[a] += k
-        # once more, counting a word only beside words that let a sentence end or begin there
-        may_end = {a for a, _, _ in edges if (lex.rate(lex.ends, lex.before, a) or 0) > RARE}
-        may_open = {z for _, z, _ in edges if (lex.rate(lex.opens, lex.after, z) or 0) > RARE / 2}
-        lex.after, lex.before = Counter(), Counter()
-        for a, z, k in edges:
-            if a in may_end or z not in may_open:
-                lex.after[z] += k
-            if z in may_open or a not in may_end:
-                lex.before[a] += k
-        return lex
-
-    def _dictionary(self, runs: Counter, longest: int = 16, rounds: int = 3) -> None:
-        """Substrings that many different characters precede and follow, then pruned by reading the runs with them."""
-        count: Counter = Counter()
-        left: dict[str, set] = {}
-        right: dict[str, set] = {}
-        for r, k in runs.items():
-            n = len(r)
-            for i in range(n):
-                if r[i] in _FOLLOWS:
-                    continue
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    if r[j - 1] in _LEADS or (j < n and r[j] in _FOLLOWS):
-                        continue
-                    w = r[i:j]
-                    count[w] += k
-                    left.setdefault(w, set()).add(r[i - 1] if i else " ")
-                    right.setdefault(w, set()).add(r[j] if j < n else " ")
-        words = {w: c for w, c in count.items() if c >= 3 and len(left[w]) >= 2 and len(right[w]) >= 2}
-        words |= {r: k for r, k in runs.items() if k >= 3 and len(r) <= longest}
-        for _ in range(rounds):
-            total = sum(words.values()) or 1
-            self.cost = {w: math.log(total / c) + 1 for w, c in words.items()}
-            self.longest = max((len(w) for w in words), default=1)
-            used: Counter = Counter()
-            for r, k in runs.items():
-                for w in self.words(r):
-                    used[w] += k
-            words = {w: c for w, c in used.items() if c >= 2 and (len(w) > 1 or w not in _FOLLOWS)}
+    def of(cls, words: dict[str, int]) -> "Lexicon":
+        """A dictionary of counted words: each costs the logarithm of its rarity."""
+        total = sum(words.values()) or 1
+        return cls({w: math.log(total / c) + 1 for w, c in words.items()}, max((len(w) for w in words), default=1))
 
     def opening(self, piece: str) -> str:
         """The key of the word that opens a piece between blanks."""
@@ -194,31 +142,29 @@ THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "นะ", "แล้ว", "
 
 
 def _thai(text: str, start: int, end: int, lex: Lexicon) -> list[tuple[int, int]]:
-    body = text[start:end]
-    gaps = [(m.start(), m.end()) for m in re.finditer(r"\s+", body)]
-    cuts, depth_at = [], 0
-    stack = 0
-    for a, b in gaps:
-        stack = sum(body[:a].count(o) for o in "(“[") - sum(body[:a].count(c) for c in ")”]")
-        if stack > 0:
+    """One pass over the pieces between blanks, with the depth of open brackets; each gap is classified by its words."""
+    pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text, start, end)]
+    out: list[tuple[int, int]] = []
+    at, depth = start, 0
+    for (a, b), (a2, b2) in zip(pieces, pieces[1:]):
+        left = text[a:b]
+        depth += sum(map(left.count, "(“[")) - sum(map(left.count, ")”]"))
+        if depth > 0:
             continue
-        left = body[:a].split()[-1]
-        right = body[b:].split()[0]
+        right = text[a2:b2]
         l, r = lex.ending(left), lex.opening(right)
+        if l == "<initial>" or (l == "<name>" and r == "<name>"):
+            continue
         pe, po = lex.rate(lex.ends, lex.before, l), lex.rate(lex.opens, lex.after, r)
         if pe is None:
             pe = 0.0 if left.endswith(("”", ".")) or l == "<name>" else 0.3 if l in THAI_FINAL else PRIOR
         if po is None:
             po = 0.0 if right.startswith(THAI_WITHIN) or r in ("<number>", "<code>") else PRIOR
-        if l == "<initial>" or (l == "<name>" and r == "<name>"):
-            continue
         if pe > RARE and (po > RARE or right[0] in "(“"):
-            cuts.append((a, b))
-    out, at = [], 0
-    for a, b in [*cuts, (len(body), len(body))]:
-        if body[at:a].strip():
-            out.append((start + at, start + a))
-        at = b
+            out.append((at, b))
+            at = a2
+    if pieces:
+        out.append((at, pieces[-1][1]))
     return out
 
 
@@ -320,9 +266,38 @@ def _open_marks(body: str, marks: list[tuple[int, str]], start: int) -> int:
 _BRACKET = re.compile("[" + re.escape("".join(c for c in {*_PAIR, *_ENDS} if c not in "‘’")) + "]")
 
 
+def _inside(body: str) -> list[tuple[int, int]]:
+    """The outermost stretches between a quotation mark or bracket and the one that closes it, in order."""
+    stack: list[tuple[str, int]] = []
+    out: list[tuple[int, int]] = []
+    for m in _BRACKET.finditer(body):
+        ch, i = m.group(), m.start()
+        if ch == "“" and any(o == "„" for o, _ in stack):
+            opener = "„"
+        elif ch in _PAIR:
+            stack.append((ch, i))
+            continue
+        else:
+            opener = _ENDS[ch]
+        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == opener), None)
+        if at is not None:
+            first = stack[at][1]
+            del stack[at:]
+            while out and out[-1][0] > first:
+                out.pop()
+            out.append((first, i))
+    return out
+
+
+def _within(stretches: list[tuple[int, int]], at: int) -> bool:
+    k = bisect_left(stretches, (at,)) - 1
+    return k >= 0 and at <= stretches[k][1]
+
+
 def _lattice(text: str, start: int, end: int, lex: Lexicon) -> list[tuple[int, int]]:
     body = text[start:end]
-    nodes = [(0, 0, 0.0), *_nodes(body, lex), (len(body), len(body), 3.0)]
+    inner = _inside(body)
+    nodes = [(0, 0, 0.0), *(n for n in _nodes(body, lex) if not _within(inner, n[0])), (len(body), len(body), 3.0)]
     k = len(nodes)
     best, back = [0.0] + [-math.inf] * (k - 1), [0] * k
     brackets = [(m.start(), m.group()) for m in _BRACKET.finditer(body)]
@@ -373,16 +348,156 @@ def sentences(text: str | None, lex: Lexicon) -> list[tuple[int, int]]:
 # ---- operator ----------------------------------------------------------------------------------------------------
 
 
-def learn(items: DataFrame, size: int = SAMPLE) -> Lexicon:
-    """The lexicon of a bounded sample of the texts that have scripts without case: those of least hash.
+def _counted(rows: DataFrame, count: Callable[[Iterator[pd.DataFrame]], Iterator[Counter]], keys: list[str]) -> DataFrame:
+    """keys and n: what count finds in the rows, combined in the workers and then over all of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in count(batches):
+            out = pd.DataFrame(list(c), columns=keys) if c else pd.DataFrame({k: pd.Series(dtype=object) for k in keys})
+            out["n"] = list(c.values())
+            yield out.astype({"n": "int64"})
+
+    counted = rows.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", n bigint")
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+HELD = 200_000  # entries of a worker's counter before it is passed on
+
+
+def _thai_runs(texts: DataFrame) -> DataFrame:
+    """run, n: the runs of Thai letters of all texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[Counter]:
+        c: Counter = Counter()
+        for b in batches:
+            for t in b["text"]:
+                c.update((r,) for r in _RUN.findall(t))
+            if len(c) > HELD:
+                yield c
+                c = Counter()
+        yield c
+
+    return _counted(texts, count, ["run"])
+
+
+def candidates(runs: DataFrame) -> DataFrame:
+    """word, n: substrings of the runs that at least two different characters precede and two follow, and whole runs."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: dict[tuple[str, str, str], int] = {}
+            for r, k in zip(b["run"], b["n"].tolist()):
+                n = len(r)
+                for i in range(n):
+                    if r[i] in _FOLLOWS:
+                        continue
+                    for j in range(i + 1, min(n, i + LONGEST) + 1):
+                        if r[j - 1] in _LEADS or (j < n and r[j] in _FOLLOWS) or (j == i + 1 and n > 1):
+                            continue
+                        key = r[i:j], r[i - 1] if i else " ", r[j] if j < n else " "
+                        rows[key] = rows.get(key, 0) + k
+                if len(rows) > HELD:
+                    yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["word", "l", "r", "n"])
+                    rows = {}
+            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["word", "l", "r", "n"]).astype({"n": "int64"})
+
+    parts = runs.mapInPandas(cut_up, "word string, l string, r string, n bigint")
+    # the characters beside a word are those of one script: these sets are small
+    words = parts.groupBy("word").agg(F.sum("n").alias("n"), F.size(F.collect_set("l")).alias("lefts"), F.size(F.collect_set("r")).alias("rights"))
+    inner = words.where("n >= 3 and lefts >= 2 and rights >= 2 and length(word) >= 2").select("word", "n")
+    whole = runs.where(f"n >= 3 and length(run) <= {LONGEST}").select(F.col("run").alias("word"), "n")
+    return inner.unionByName(whole).groupBy("word").agg(F.max("n").alias("n"))
+
+
+def _most(words: DataFrame, bound: int) -> dict[str, int]:
+    """At most bound words, the most frequent ones."""
+    return {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(bound).collect()}
+
+
+def dictionary(texts: DataFrame) -> Lexicon:
+    """The dictionary of the texts' spaceless words: candidates counted over all texts, pruned by reading the runs with them."""
+    from ..session import cut
+
+    runs = cut(_thai_runs(texts))
+    words = _most(candidates(runs), 4 * WORDS)
+    for _ in range(ROUNDS):
+        lex = runs.sparkSession.sparkContext.broadcast(Lexicon.of(words))
+
+        def read(batches: Iterator[pd.DataFrame], lex: Broadcast = lex) -> Iterator[Counter]:
+            for b in batches:
+                c: Counter = Counter()
+                for r, n in zip(b["run"], b["n"].tolist()):
+                    for w in lex.value.words(r):
+                        c[w,] += n
+                yield c
+
+        words = _most(_counted(runs, read, ["word"]).where("n >= 2").where(~F.col("word").isin(list(_FOLLOWS))), WORDS)
+    return Lexicon.of(words)
+
+
+def _edges(texts: DataFrame, lex: Lexicon) -> DataFrame:
+    """kind, a, z, n: the words that open and end the blocks of all texts, and the pairs beside each gap."""
+    shared = texts.sparkSession.sparkContext.broadcast(lex)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[Counter]:
+        known = shared.value
+        ending, opening = lru_cache(HELD)(known.ending), lru_cache(HELD)(known.opening)
+        c: Counter = Counter()
+        for b in batches:
+            for t in b["text"]:
+                for block in blocks(t):
+                    if block.kind != RUNNING:
+                        continue
+                    body = t[block.start : block.end]
+                    if not _UNICASE.search(body):
+                        continue
+                    pieces = body.split()
+                    c["open", opening(pieces[0]), ""] += 1
+                    c["end", ending(pieces[-1]), ""] += 1
+                    c.update(("gap", ending(a), opening(z)) for a, z in zip(pieces, pieces[1:]))
+            if len(c) > HELD:
+                yield c
+                c = Counter()
+        yield c
+
+    return _counted(texts, count, ["kind", "a", "z"])
+
+
+def learn(items: DataFrame) -> Lexicon:
+    """The lexicon of all texts that have scripts without case.
 
-    The texts are counted first; then only those in a share of the hash range that holds some four times the sample are
-    sorted.
+    Runs, candidates, edges and gaps are counted over all of them; only the dictionary (WORDS entries at most) and the
+    edge counts of frequent words (KEYS entries of each kind at most) come to the driver and to the workers. Rarer words
+    are treated as unknown ones.
     """
-    rows = items.where("text is not null").select("text").where(F.col("text").rlike("[\\u0590-\\u06ff\\u0e00-\\u0e7f]"))
-    share = max(1, rows.count() // (4 * size))
-    few = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(share)) == 0).select("h", F.substring("text", 1, 3000).alias("text")).distinct()
-    return Lexicon.learn([r.text for r in few.orderBy("h", "text").limit(size).collect()])
+    from ..session import cut
+
+    texts = items.where("text is not null").select("text").where(F.col("text").rlike("[\\u0590-\\u06ff\\u0900-\\u0dff\\u0e00-\\u0e7f]")).distinct()  # copies teach once; they are combined before the shuffle
+    texts = cut(texts)
+    lex = dictionary(texts.where(F.col("text").rlike("[\\u0e00-\\u0e7f]")))
+    seen = cut(_edges(texts, lex))
+    gaps = seen.where("kind = 'gap' and not (z = '<name>' and a in ('<name>', '<initial>'))")
+    opens, ends = (seen.where(F.col("kind") == k).select(F.col("a").alias("word"), F.col("n").alias("here")) for k in ("open", "end"))
+
+    def rate(here: DataFrame, beside: DataFrame) -> DataFrame:
+        """The words that are an edge often enough."""
+        both = beside.join(here, "word", "left").na.fill(0, ["here"])
+        return both.where("n + here >= 6").withColumn("rate", (F.col("here") + 3 * PRIOR) / (F.col("n") + F.col("here") + 3))
+
+    after = gaps.groupBy(F.col("z").alias("word")).agg(F.sum("n").alias("n"))
+    before = gaps.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
+    # once more, counting a word only beside words that let a sentence end or begin there
+    may_end = rate(ends, before).where(F.col("rate") > RARE).select(F.col("word").alias("a"), F.lit(True).alias("ends"))
+    may_open = rate(opens, after).where(F.col("rate") > RARE / 2).select(F.col("word").alias("z"), F.lit(True).alias("opens"))
+    gaps = gaps.join(may_end, "a", "left").join(may_open, "z", "left").na.fill(False, ["ends", "opens"])
+    after = gaps.where("ends or not opens").groupBy(F.col("z").alias("word")).agg(F.sum("n").alias("n"))
+    before = gaps.where("opens or not ends").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
+    parts = [d.select(F.lit(k).alias("part"), "word", "n") for k, d in (("opens", opens.withColumnRenamed("here", "n")), ("ends", ends.withColumnRenamed("here", "n")), ("after", after), ("before", before))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    ranked = every.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))).where(F.col("k") <= KEYS)
+    for r in ranked.select("part", "word", "n").collect():
+        getattr(lex, r.part)[r.word] = r.n
+    return lex
 
 
 def split(items: DataFrame, lex: Lexicon, keep_text: bool = True) -> DataFrame:
