@@ -72,3 +72,56 @@ def test_queries(spark, tiny, empty, clashing):
     assert a and {x for x in a if x[3] in still} == {x for x in b if x[3] in still}
     assert Q["p4_found"](spark, empty).count() == 0
     assert Q["p4_paragraphs"](spark, tiny).count() > 0 and Q["p4_paragraphs"](spark, empty).count() == 0
+
+
+def test_headers_of_any_length_and_ending(spark):
+    long_head = "Proceedings of the society for the history of printing and of the libraries of the northern provinces"
+    ended = "Annals of the Old Library Soc."
+
+    words = "amber bridge candle dragon ember falcon garden harbour island jasmine kettle lantern meadow nutmeg orchard pepper quarry ribbon saddle thistle".split()
+
+    def book(head):
+        lines = [[f"the {words[(3 * i + 7 * j) % 20]} of {words[(5 * i + j) % 20]} lay in {words[(i + 11 * j) % 20]}" for j in range(6)] for i in range(6)]
+        return "\n".join(f"<!-- page {i + 1} -->\n{head}\n" + "\n".join(own) for i, own in enumerate(lines))
+
+    rows = [("export", "1", 1, None, book(long_head)), ("export", "2", 2, None, book(ended))]
+    items = spark.createDataFrame(rows, "origin string, item_id string, text_id bigint, page int, text string")
+    got = {(r.item_id, r.line_no) for r in O.defects(items)[0].where("defect = 'header'").collect()}
+    assert got == {(i, 8 * k + 1) for i in "12" for k in range(6)}
+
+
+def test_headers_of_distant_pages_and_damaged_ones(spark):
+    body = "the clerk kept a map of the {} town\nand nothing else was said of it"
+    far = [("issue", f"f{p}", 1, p, "The Harbour Book\n" + body.format("abc"[k])) for k, p in enumerate((1, 60, 190))]
+    heads = ("Register of Maps", "Regisler of Maps", "Register 0f Naps")
+    near = [("issue", f"n{p}", 2, p, heads[k] + "\n" + body.format("def"[k])) for k, p in enumerate((5, 6, 7))]
+    items = spark.createDataFrame(far + near, "origin string, item_id string, text_id bigint, page int, text string")
+    got = {r.item_id for r in O.defects(items)[0].where("defect = 'header' and line_no = 0").collect()}
+    assert got == {"f1", "f60", "f190", "n5", "n6", "n7"}
+
+
+def test_filter_lets_every_word_pass(spark):
+    words = spark.range(20_000).selectExpr("concat('wort', cast(id as string), 'ß') as word")
+    f = O.word_filter(words, 1 << 18)
+    assert all(f"wort{i}ß" in f for i in range(0, 20_000, 7))
+    assert sum(f"anders{i}" in f for i in range(2000)) < 200
+
+
+def test_alike_is_a_bounded_edit_distance():
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    random.seed(3)
+    for _ in range(3000):
+        a = "".join(random.choice("abc") for _ in range(random.randint(6, 13)))
+        b = "".join(c for c in a if random.random() > 0.1) + random.choice(["", "a", "bc"])
+        want = a == b or (abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) >= 6 and distance(a, b) <= (2 if len(a) >= 10 else 1))
+        assert O.alike(a, b) == want

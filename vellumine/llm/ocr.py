@@ -18,9 +18,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ PAGES = 3  # pages on which a header repeats
 NEAR = 24  # pages that a run's headers lie within
 RATIO = 10  # times that a word is more frequent than its misread form
 FREQUENT = 5  # least count of a word that corrects another
-TOP = 60_000  # most frequent words, which are not looked at as candidates; the others all are
+OFTEN = 0.4  # share of the pages on which a line repeats that ends as a sentence does, yet is a header
+FILTER = 1 << 25  # bits of the filter of misread words
+PROBES = 3
 EDGE = 2  # lines at a page's top and bottom where headers and numbers stand
 
 #: Character groups as misread, and as they were (fixed values).
@@ -48,6 +53,7 @@ _NUMBER = re.compile(rf"^[\s\-–—\[(|·•*]*(?:{_WORDED}\.?\s*)?[\s\-–—\
 _MARKED = re.compile(rf"^\W*{_WORDED}\b|^[-–—\[(]\s*\w+\s*[-–—\])]$|^\w+ ?/ ?[0-9]+$", re.I)
 _LEADNUM = re.compile(rf"^({_NUM})\s*(?:[|·–—-]\s*)?(?=\s|[|])\s*[|·–—]?\s*(\S.*)$")
 _TAILNUM = re.compile(rf"^(.*\S)\s+(?:[|·–—]\s*)?({_NUM})$")
+_ENDED = re.compile(r"[.,;:!?…]\s*$")
 _TOKEN = re.compile(r"[\w�]+(?:­[\w�]+)*")
 _CODE = re.compile(r"^(?:[^\W\d]?\d+[^\W\d]?|_+)$")
 _SPACED = re.compile(r"(?<![\w.'’])(?:[^\W\d_] ){2,}[^\W\d_](?![\w'’]|\.\s?\w)")
@@ -80,7 +86,7 @@ def head_keys(line: str) -> list[tuple[str, str | None]]:
     """(key, number text) readings of a line as a header, with and without a number beside it."""
     s = line.strip()
     out = []
-    if not s or len(s) > 80 or s[-1] in ".,;:!?…":
+    if not s:
         return out
     for pattern, rest, num in ((_TAILNUM, 1, 2), (_LEADNUM, 2, 1)):
         if (m := pattern.match(s)) and number(m.group(num)) is not None and any(c.isdigit() for c in m.group(num)) | (len(m.group(num)) > 1) | (m.group(num) in "Il"):
@@ -99,40 +105,58 @@ def alike(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 6:
         return False
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-        if min(cur) > 2:
-            return False
-        prev = cur
-    return prev[-1] <= (2 if len(a) >= 10 else 1)
+    most = 2 if len(a) >= 10 else 1
+    at = 0
+    while at < min(len(a), len(b)) and a[at] == b[at]:
+        at += 1
+    return _edits(a, b, at, most)
+
+
+def _edits(a: str, b: str, at: int, most: int) -> bool:
+    """Whether a and b, equal up to a place, differ by at most so many edits: each edit goes on along the equal rest."""
+    here = {0: at}  # diagonal -> how far a is read
+    for left in range(most, -1, -1):
+        nxt: dict[int, int] = {}
+        for d, i in here.items():
+            while i < len(a) and 0 <= i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            if i == len(a) and i + d == len(b):
+                return True
+            if left:
+                for dd, ii in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
+                    if ii <= len(a) and ii + dd <= len(b) and ii > nxt.get(dd, -1):
+                        nxt[dd] = ii
+        here = nxt
+    return False
 
 
 class Near:
     """Keys that are alike, found without comparing all pairs.
 
-    At most two edits leave one of a key's three parts whole, so alike keys share a part: an index of parts finds them.
+    At most two edits leave one of a key's three parts whole, moved by two places at most: an index of parts finds them.
     """
 
-    def __init__(self, keys: set[str] | list[str]) -> None:
-        self.index: dict[str, list[str]] = {}
-        for k in keys:
-            third = len(k) // 3
-            for part in {k[:third], k[third : 2 * third], k[2 * third :]}:
-                self.index.setdefault(part, []).append(k)
-        self.sizes = {len(part) for part in self.index if part}
+    def __init__(self, keys: Iterable[str]) -> None:
+        self.keys = set(keys)
+        self.index: dict[tuple[int, int, str], list[str]] = {}
+        for k in self.keys:
+            if len(k) >= 6:
+                third = len(k) // 3
+                for i, part in enumerate((k[:third], k[third : 2 * third], k[2 * third :])):
+                    self.index.setdefault((len(k), i, part), []).append(k)
 
     def of(self, key: str) -> set[str]:
-        found, seen = set(), set()
-        for size in self.sizes:
-            for i in range(len(key) - size + 1):
-                for k in self.index.get(key[i : i + size], ()):
-                    if k not in seen:
-                        seen.add(k)
-                        if alike(key, k):
-                            found.add(k)
+        found = {key} if key in self.keys else set()
+        seen = set(found)
+        for n in range(max(6, len(key) - 2), len(key) + 3):
+            third = n // 3
+            for i, size in ((0, third), (1, third), (2, n - 2 * third)):
+                for at in range(max(0, i * third - 2), i * third + 3):
+                    for k in self.index.get((n, i, key[at : at + size]), ()):
+                        if k not in seen:
+                            seen.add(k)
+                            if alike(key, k):
+                                found.add(k)
         return found
 
 
@@ -199,8 +223,10 @@ def margins(lines: list[str], pages: list[Page], known: list[str], given: int |
     strong = set(known)
     if len(pages) >= PAGES:
         near = Near(where.keys())
+        ended = {key for i, keys in keyed.items() if _ENDED.search(lines[i]) for key, _ in keys}
         for key, seen in where.items():
-            if len(seen) >= PAGES or len(set().union(*(where[k] for k in near.of(key)))) >= PAGES:
+            found = seen if len(seen) >= PAGES and key not in ended else set().union(*(where[k] for k in near.of(key)))
+            if len(found) >= PAGES and (key not in ended or len(found) >= OFTEN * len(pages)):
                 strong.add(key)
     if strong:
         near = Near(strong)
@@ -262,7 +288,7 @@ def read(text: str, origin: str, known: list[str] | None = None, given: int | No
     """What a scanned text's lines hold: margins, words, words cut at line ends, spaced-out words."""
     lines = text.split("\n")
     pages = pages_of(lines)
-    if origin == "export" and len(pages) == 1 and len(lines) > 12:
+    if origin == "export" and len(pages) == 1:
         heads, numbers = margins_unmarked(lines)
         if not heads and not numbers:
             heads, numbers = margins(lines, pages, known or [], given)
@@ -324,29 +350,50 @@ def scanned(exports: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def run_headers(items: DataFrame) -> DataFrame:
-    """text_id, page, known: the header keys of each page of a run of pages, counted over the run's neighbouring pages.
+    """text_id, page, known: the header keys of each page of a run of pages.
 
-    Keys are counted in overlapping ranges of pages, so an export with any number of pages is many small groups.
+    A key is a header where it stands on PAGES pages of its text, or where it and the keys alike to it stand on as many
+    pages of a range. Ranges of NEAR pages overlap, so an export with any number of pages is many small groups; a page
+    gets the headers that stand in its ranges. Lines that end as a sentence does need OFTEN of the pages of their range.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows = set()
             for text_id, page, text in b.itertuples(index=False):
                 lines = text.split("\n")
                 for p in pages_of(lines):
                     for i in edges(p, lines):
                         if _number_line(lines[i]) is None:
-                            rows += {(text_id, page, key) for key, _ in head_keys(lines[i])}
-            yield pd.DataFrame(rows, columns=["text_id", "page", "key"])
+                            rows |= {(text_id, page, key, _ENDED.search(lines[i]) is not None) for key, _ in head_keys(lines[i])}
+            yield pd.DataFrame(sorted(rows), columns=["text_id", "page", "key", "ended"])
+
+    def ranged(df: DataFrame) -> DataFrame:
+        return df.withColumn("range", F.explode(F.array((F.col("page") / NEAR).cast("int") * 2, ((F.col("page") + NEAR // 2) / NEAR).cast("int") * 2 + 1)))
+
+    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text_id, range_, keys in b.itertuples(index=False):
+                pages = {k["key"]: set(k["pages"]) for k in keys}
+                every = len(set().union(*pages.values()))
+                near = Near(pages)
+                for k in keys:
+                    n = len(set().union(*(pages[x] for x in near.of(k["key"]))))
+                    if n >= PAGES and (not k["ended"] or n >= OFTEN * every):
+                        out.append((text_id, range_, k["key"]))
+            yield pd.DataFrame(out, columns=["text_id", "range", "key"])
 
     issue = items.where("origin = 'issue' and page is not null and text_id is not null").select("text_id", "page", "text")
-    at = issue.mapInPandas(keys, "text_id bigint, page int, key string").distinct()
-    ranges = at.withColumn("range", F.explode(F.array((F.col("page") / NEAR).cast("int") * 2, ((F.col("page") + NEAR // 2) / NEAR).cast("int") * 2 + 1)))
-    strong = ranges.groupBy("text_id", "range", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= PAGES).select("text_id", "range", "key")
-    pages = issue.select("text_id", "page").distinct()
-    pages = pages.withColumn("range", F.explode(F.array((F.col("page") / NEAR).cast("int") * 2, ((F.col("page") + NEAR // 2) / NEAR).cast("int") * 2 + 1)))
-    return pages.join(strong, ["text_id", "range"]).groupBy("text_id", "page").agg(F.collect_set("key").alias("known"))
+    at = cut(issue.mapInPandas(keys, "text_id bigint, page int, key string, ended boolean").groupBy("text_id", "page", "key").agg(F.bool_or("ended").alias("ended")))
+    in_range = ranged(at).groupBy("text_id", "range", "key").agg(F.collect_set("page").alias("pages"), F.bool_or("ended").alias("ended"))
+    groups = in_range.groupBy("text_id", "range").agg(F.collect_list(F.struct("key", "pages", "ended")).alias("keys"))  # of NEAR pages at most
+    groups = groups.where(F.size(F.array_distinct(F.flatten("keys.pages"))) >= PAGES)
+    alike_ = groups.mapInPandas(united, "text_id bigint, range int, key string")
+    whole = at.groupBy("text_id", "key").agg(F.countDistinct("page").alias("n"), F.bool_or("ended").alias("ended")).where((F.col("n") >= PAGES) & ~F.col("ended"))
+    exact = ranged(at).join(whole.select("text_id", "key"), ["text_id", "key"], "left_semi").select("text_id", "range", "key")
+    strong = alike_.unionByName(exact).distinct()
+    return ranged(issue.select("text_id", "page").distinct()).join(strong, ["text_id", "range"]).groupBy("text_id", "page").agg(F.collect_set("key").alias("known"))
 
 
 def with_headers(items: DataFrame) -> DataFrame:
@@ -427,12 +474,40 @@ def corrections(vocab: DataFrame) -> DataFrame:
 LOOK = "origin string, item_id string, text_id bigint, page int, line_no int, kind string, word string, other string, line2 int, cut int"
 
 
-def look(items: DataFrame, frequent: set[str]) -> DataFrame:
-    """The margin lines, and what has to be looked up: words that are not frequent, cut words, spaced-out words."""
-    shared = items.sparkSession.sparkContext.broadcast(frequent)  # at most TOP words
+class Filter:
+    """A Bloom filter of words, of fixed size whatever their number: it lets every one of them pass, and few others."""
+
+    def __init__(self, cells: list[tuple[int, int]], bits: int) -> None:
+        self.bits = bits
+        self.cells = np.zeros(bits // 64, np.int64)
+        for at, mask in cells:
+            self.cells[at] = mask
+
+    def __contains__(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        low, high = h & 0xFFFFFFFF, h >> 32
+        for i in range(PROBES):
+            at = (low + i * high) % self.bits
+            if not int(self.cells[at >> 6]) >> (at & 63) & 1:
+                return False
+        return True
+
+
+def word_filter(words: DataFrame, bits: int = FILTER) -> Filter:
+    """The filter of the distinct words of a frame. At most bits / 64 cells come to the driver (4 MB)."""
+    h = F.xxhash64("word")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    at = words.select(F.explode(F.array(*[F.pmod(low + high * i, F.lit(bits)) for i in range(PROBES)])).alias("at"))
+    cells = at.groupBy(F.expr("at div 64").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    return Filter([tuple(r) for r in cells.collect()], bits)
+
+
+def look(items: DataFrame, misread: Filter) -> DataFrame:
+    """The margin lines, and what has to be looked up: words that may be misread, cut words, spaced-out words."""
+    shared = items.sparkSession.sparkContext.broadcast(misread)  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = shared.value
+        passes = lru_cache(200_000)(shared.value.__contains__)
         for b in batches:
             rows: list[tuple] = []
             for origin, item, text_id, page, known, text in zip(b["origin"], b["item_id"], b["text_id"], b["page"], b["known"], b["text"]):
@@ -442,8 +517,8 @@ def look(items: DataFrame, frequent: set[str]) -> DataFrame:
                 rows += [(*me, i, "header", None, None, None, None) for i in r["heads"]]
                 rows += [(*me, i, "page_number", None, None, None, None) for i in r["numbers"]]
                 for i, w in set(r["words"]):
-                    if w not in top:
-                        bad = "�" in w or "ﬁ" in w or "ﬂ" in w
+                    bad = "�" in w or "ﬁ" in w or "ﬂ" in w
+                    if bad or passes(w):
                         rows.append((*me, i, "char" if bad else "word", w, None, None, None))
                 rows += [(*me, i, "char" if len(w) > 3 else "spaced", w, None, None, None) for i, w in r["spaced"]]
                 for i, k, part, rest, _ in r["cuts"]:
@@ -452,7 +527,7 @@ def look(items: DataFrame, frequent: set[str]) -> DataFrame:
                     if "�" in w or "ﬁ" in w or "ﬂ" in w:
                         at = next(p for p, ch in enumerate(w) if ch in "�ﬁﬂ")
                         rows.append((*me, i if at < len(part) else k, "char", w, None, None, None))
-                    elif rest[:1].islower() or rest[:1].isdigit():
+                    elif (rest[:1].islower() or rest[:1].isdigit()) and passes(w):
                         rows.append((*me, i, "word", w, None, k, len(part)))
                 if r["tail"] is not None:
                     rows.append((*me, r["tail"][0], "tail", r["tail"][1], None, None, None))
@@ -468,11 +543,8 @@ def defects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(origin, item_id, line_no, defect) of every noisy line, and (word, right) of the misread words."""
     items = with_headers(items)
     vocab = cut(vocabulary(items))
-    frequent = {r.word for r in vocab.where(F.col("n") >= RATIO * FREQUENT).where("word rlike '^\\\\p{L}+$'").orderBy(F.desc("n"), "word").limit(TOP).collect()}
     fixes = cut(corrections(vocab))
-    # a frequent word can itself be a misread form of a far more frequent one; those are looked up as well
-    frequent -= {r.word for r in fixes.join(vocab, "word").where(F.col("n") >= RATIO * FREQUENT).orderBy(F.desc("n"), "word").select("word").limit(TOP).collect()}
-    seen = cut(look(items, frequent))
+    seen = cut(look(items, word_filter(fixes)))
     margin = seen.where("kind in ('header', 'page_number')").select("origin", "item_id", "line_no", F.col("kind").alias("defect"))
     direct = seen.where("kind = 'char'").select("origin", "item_id", "line_no", F.lit("char").alias("defect"))
     words = seen.where("kind = 'word'").join(fixes, "word")
