@@ -1,4 +1,4 @@
-"""The text functions' patterns in the DuckDB dialect, for checking results with an independent engine."""
+"""SQL of the text rules for DuckDB. The rules are written out here on their own, not built from the functions they check."""
 
 from __future__ import annotations
 
@@ -19,8 +19,16 @@ def replaced(x: str, chain: tuple[tuple[str, str], ...]) -> str:
     return x
 
 
+#: The prose projection, step by step. Fences of each length are dropped from the longest one on, as this dialect has no back-references.
+_STEPS = (
+    *((rf"(?ms)^[ \t]{{0,3}}{m}{{{n},}}[^\n]*$.*?(?:^[ \t]{{0,3}}{m}{{{n},}}[ \t]*$|\z)", " ") for n in (6, 5, 4, 3) for m in "`~"),
+    (r"(?s)<!--.*?-->", " "), (r"(?m)^[ \t]{0,3}\[[^\]\n]+\]:[^\n]*$", " "), (r"`[^`\n]+`", " "), (r"!?\[([^\]\n]*)\]\([^)\n]*\)", "$1"), (r"</?[A-Za-z][^<>\n]*>", " "),
+    (r"(?:https?://|mailto:)[^ \t\n)>\]]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "), (r"[\\`*_~#>\[\]{}|]", " "), (r"[+-]?[0-9]+(?:[.,:/-][0-9]+)*", " "), (r"[ \t\n\r\f]+", " "),
+)
+
+
 def prose(x: str) -> str:
-    return f"trim({replaced(unix(x), text.PROSE)})"
+    return f"trim({replaced(unix(x), _STEPS)})"
 
 
 def letters(x: str) -> str:
@@ -32,7 +40,15 @@ def count_of(x: str, pattern: str) -> str:
 
 
 def number_tokens(x: str) -> str:
-    return f"regexp_extract_all(regexp_replace({x}, '([0-9])[+]', '\\1 ', 'g'), {q(text.NUMBER)})"
+    plain = f"regexp_replace({x}, '&#([0-9]+|[xX][0-9A-Fa-f]+);', ' ', 'g')"
+    plain = f"translate(regexp_replace({plain}, '([ÃÂ])[⁰¹²³⁴-⁹]', '\\1', 'g'), '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789')"
+    return f"regexp_extract_all(regexp_replace({plain}, '([0-9])[+]', '\\1 ', 'g'), '[+-]?[0-9]+(?:[.,:/-][0-9]+)*')"
+
+
+def symbol_tokens(x: str) -> str:
+    for a, b in (("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"), ("&percnt;", "%"), ("&dollar;", "$"), ("&permil;", "‰"), ("&#36;", "$"), ("&#37;", "%"), ("&#8364;", "€")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"regexp_extract_all({x}, '[$€£¥₹₿%‰‱]')"
 
 
 def suspicious(x: str) -> str:
@@ -45,7 +61,7 @@ def suspicious(x: str) -> str:
 
 
 def quality(x: str) -> str:
-    v = replaced(x, text.VISIBLE)
+    v = replaced(x, ((r"(?s)<!--.*?-->", " "), (r"[`#*_|>\[\]()]", " ")))
     compact = f"length(regexp_replace({v}, '[ \\t\\n\\r\\f]', '', 'g'))"
     words = f"regexp_extract_all({v}, '\\p{{L}}+')"
     short = f"CASE WHEN len({words}) = 0 THEN 1.0 ELSE len(list_filter({words}, lambda w: length(w) = 1))::DOUBLE / len({words}) END"

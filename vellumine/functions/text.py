@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 #: Ordered replacements of the prose projection (pattern, replacement); their order changes the result.
 PROSE = (
-    (r"(?ms)^[ \t]{0,3}```[^\n]*$.*?(?:^[ \t]{0,3}```+[ \t]*$|\z)", " "),
-    (r"(?ms)^[ \t]{0,3}~~~[^\n]*$.*?(?:^[ \t]{0,3}~~~+[ \t]*$|\z)", " "),
+    (r"(?ms)^[ \t]{0,3}(`{3,}|~{3,})[^\n]*$.*?(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\z)", " "),
     (r"(?s)<!--.*?-->", " "),
     (r"(?m)^[ \t]{0,3}\[[^\]\n]+\]:[^\n]*$", " "),
     (r"`[^`\n]+`", " "),
@@ -67,13 +66,55 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    """The numbers of a text: a sign counts unless it follows a digit."""
-    return matches(F.regexp_replace(text, r"([0-9])[+]", "$1 "), NUMBER)
+    """The numbers of a text: a sign counts unless it follows a digit.
+
+    Numeric HTML entities are none; superscript digits are digits, but not after the letters that wrong decoding leaves.
+    """
+    plain = F.regexp_replace(text, r"&#(?:[0-9]+|[xX][0-9A-Fa-f]+);", " ")
+    plain = F.translate(F.regexp_replace(plain, "([ÃÂ])[⁰¹²³⁴-⁹]", "$1"), "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
+    return matches(F.regexp_replace(plain, r"([0-9])[+]", "$1 "), NUMBER)
 
 
 def symbol_tokens(text: Column) -> Column:
-    """Currency and share signs."""
-    return matches(text, SYMBOL)
+    """Currency and share signs, also where they are written as HTML entities."""
+    return matches(unescape_html(text), SYMBOL)
+
+
+def roman_references(text: Column) -> Column:
+    """The values of the capital roman numerals of two marks or more, and of single ones after a word that counts, per line order."""
+    found = matches(text, r"(?:^|[^\p{L}\p{N}_])((?:X{0,3}(?:IX|IV|V?I{2,3}|VI?)|X{1,3}|XL|LX{0,3}|XC|C{1,3})(?:$|[^\p{L}\p{N}_]))", 1)
+    return F.filter(F.transform(found, lambda x: roman_value(F.regexp_replace(x, r"[^IVXLC]", ""))), lambda v: v.isNotNull() & (v > 1))
+
+
+def code_spans(text: Column) -> Column:
+    """What stands in backticks."""
+    return matches(text, r"`([^`\n]+)`", 1)
+
+
+def comments(text: Column) -> Column:
+    """What stands in HTML comments, trimmed."""
+    return F.transform(matches(text, r"(?s)<!--(.*?)-->", 1), F.trim)
+
+
+def publication_year(text: Column) -> Column:
+    """The last year from 1450 to 2099 that a text names; null where it names none."""
+    years = matches(F.regexp_replace(text, r"[0-9]{5,}", " "), r"(?:1[4-9]|20)[0-9]{2}")
+    plausible = F.filter(F.transform(years, lambda y: y.cast("int")), lambda y: y >= 1450)
+    return F.when(F.size(plausible) > 0, F.get(plausible, F.size(plausible) - 1))
+
+
+def keep_upper_case(before: Column, after: Column) -> Column:
+    """The second text, in capitals where the first one is in capitals."""
+    return F.when(F.coalesce(upper_case(before), F.lit(False)), F.upper(after)).otherwise(after)
+
+
+def work_units(kind: Column, pages: Column, size: Column) -> Column:
+    """The units of work of a file: its pages, or its bytes by the size of a unit of its kind; at least 1.
+
+    The sizes of units are fixed values.
+    """
+    divisor = F.when(kind == "txt", 3500).when(kind == "md", 4000).when(kind == "docx", 16000).when(kind == "epub", 24000)
+    return F.greatest(F.lit(1), F.when(kind == "pdf", pages).otherwise(F.ceil(size / divisor))).cast("int")
 
 
 def link_targets(markdown: Column) -> Column:
@@ -208,7 +249,7 @@ def escape_html(text: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")), text)
+    return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"), ("&cent;", "¢"), ("&percnt;", "%"), ("&dollar;", "$"), ("&permil;", "‰"), ("&#36;", "$"), ("&#37;", "%"), ("&#8364;", "€"), ("&amp;", "&")), text)
 
 
 def is_subsequence(part: Column, whole: Column) -> Column:

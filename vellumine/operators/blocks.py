@@ -6,6 +6,7 @@ and headings inside fenced code part nothing.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,19 +151,29 @@ def page_fill(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "line_no", "line", F.last("mark", ignorenulls=True).over(order).alias("page"))
 
 
-def plan_chunks(blocks: DataFrame, key: str, size: int = 4000) -> DataFrame:
-    """key, position, chunk_no: blocks packed greedily, in order, into chunks of at most size characters.
+def plan_chunks(blocks: DataFrame, key: str, size: int = 4000, values: int = 16) -> DataFrame:
+    """key, position, chunk_no, chars: blocks packed greedily, in order, into chunks.
 
-    The greedy fold runs over the ordered lengths of one text at a time; a block above the size is a chunk of its own.
+    A chunk holds at most size characters and at most so many numbers, signs and addresses that must be conserved. A
+    heading and a table stand alone, and so does a block above the size. Only lengths and counts of a text's blocks
+    are put together, and folded once.
     """
-    lens = F.array_sort(F.collect_list(F.struct("position", F.length("block").alias("n"))))
-    packed = blocks.groupBy(key).agg(lens.alias("b"))
-    zero = F.struct(F.lit(-1).alias("chunk"), F.lit(size + 1).cast("bigint").alias("used"), F.expr("cast(array() as array<struct<position:bigint,chunk_no:int>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a.used + x.n + 2 <= size
-        chunk = F.when(fits, a.chunk).otherwise(a.chunk + 1)
-        used = F.when(fits, a.used + x.n + 2).otherwise(x.n.cast("bigint"))
-        return F.struct(chunk.alias("chunk"), used.cast("bigint").alias("used"), F.array_append(a.out, F.struct(x.position.cast("bigint").alias("position"), chunk.alias("chunk_no"))).alias("out"))
-
-    return packed.select(key, F.explode(F.aggregate("b", zero, step, lambda a: a.out)).alias("p")).select(key, "p.*")
+    kept = T.count_of(F.col("block"), T.NUMBER) + T.count_of(F.col("block"), T.SYMBOL) + T.count_of(F.col("block"), r"https?://")
+    alone = role(F.col("block")).isin("heading", "table")
+    facts = F.array_sort(F.collect_list(F.struct("position", F.length("block").alias("n"), kept.alias("v"), alone.alias("alone"))))
+
+    @F.pandas_udf("array<int>")
+    def fold(rows: pd.Series) -> pd.Series:
+        def chunks(items: list) -> list[int]:
+            out, chunk, used, held, closed = [], -1, 0, 0, True
+            for x in items:
+                if closed or x["alone"] or used + x["n"] + 2 > size or held + x["v"] > values:
+                    chunk, used, held = chunk + 1, -2, 0
+                used, held, closed = used + x["n"] + 2, held + x["v"], bool(x["alone"])
+                out.append(chunk)
+            return out
+
+        return rows.map(chunks)
+
+    packed = blocks.groupBy(key).agg(facts.alias("b")).withColumn("c", fold("b"))
+    return packed.select(key, F.explode(F.arrays_zip(F.col("b.position").alias("position"), F.col("c").alias("chunk_no"), F.col("b.n").alias("chars"))).alias("p")).select(key, "p.*")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbers import written_values
 from .blocks import explode_blocks
 
 LOOK_BACK = 12  # blocks that a near-duplicate may lie back
@@ -36,6 +37,22 @@ def conservation(pairs: DataFrame, key: str, source: Column, target: Column) ->
     return d.select(key, "token", F.greatest("d", F.lit(0)).alias("missing"), F.greatest(-F.col("d"), F.lit(0)).alias("added"))
 
 
+def number_fidelity(pairs: DataFrame, key: str, source: str, target: str, source_language: str, target_language: str) -> DataFrame:
+    """key, token, missing, added, explained: numbers that source and target hold unequally often.
+
+    An added plain number is explained where the source writes its value as a word more often than the target does; each
+    such word explains one number. Tokens of equal value are explained in alphabetical order.
+    """
+    numbers = conservation(pairs, key, T.number_tokens(F.col(source)), T.number_tokens(F.col(target)))
+    words = lambda c, lang: F.transform(written_values(F.col(c), F.col(lang)), lambda v: v.cast("string"))
+    spoken = conservation(pairs, key, words(source, source_language), words(target, target_language)).where("missing > 0")
+    value = F.when(F.regexp_like("token", F.lit("^[0-9]{1,9}$")) & (F.col("added") > 0), F.col("token").cast("int").cast("string"))
+    x = numbers.withColumn("value", value).join(spoken.select(key, F.col("token").alias("value"), F.col("missing").alias("spoken")), [key, "value"], "left")
+    before = F.coalesce(F.sum("added").over(W.partitionBy(key, "value").orderBy("token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    explained = F.when(F.col("spoken").isNotNull(), F.greatest(F.lit(0), F.least(F.col("added"), F.col("spoken") - before))).otherwise(F.lit(0))
+    return x.select(key, "token", "missing", "added", explained.cast("int").alias("explained"))
+
+
 def coverage(pairs: DataFrame, key: str, source: str, target: str) -> DataFrame:
     """key, source_letters, target_letters, issue: null, short or long.
 
@@ -94,28 +111,65 @@ def protected_terms(text: Column) -> Column:
     return F.array_sort(found)
 
 
-def revision_risk(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """key, risk, reason: the first of the rules numbers, emptied, names, length, blocks that a revision breaks, else low."""
+def heading_levels_of(text: Column) -> Column:
+    """The levels of a text's headings, in order."""
+    return F.transform(T.matches(T.lines_unix(text), r"(?m)^[ \t]{0,3}(#{1,6})[ \t]", 1), lambda x: F.length(x))
+
+
+def breaks_hierarchy(before: Column, after: Column) -> Column:
+    """Whether a revision's headings jump down by more than one level, or go below level 3 where there were no headings."""
+    a, b = heading_levels_of(before), heading_levels_of(after)
+    jumps = lambda levels: F.exists(F.sequence(F.lit(1), F.size(levels)), lambda i: F.coalesce(F.get(levels, i) - F.get(levels, i - 1) > 1, F.lit(False)))
+    return (jumps(b) & ~jumps(a)) | ((F.size(a) == 0) & F.coalesce(F.array_max(b) > 3, F.lit(False)))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """Share of words of two texts that match in sequence, 2·matches/total."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, list(p), list(q), autojunk=False).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def revision_risk(pairs: DataFrame, key: str | list[str], before: str, after: str) -> DataFrame:
+    """key, risk, reason: the first of the rules that a revision breaks, else low.
+
+    numbers: their multisets differ. structure: a heading level is skipped, or deep headings appear where none were.
+    emptied: one side is blank. names: protected terms differ. headings: both are nothing but headings, and differ.
+    blocks: their number differs. length: from 8 words on, a ratio outside .8 to 1.25. rewritten: from 10 words on, a
+    word similarity below .55; only rows that no other rule hits are compared by words.
+    """
+    keys = [key] if isinstance(key, str) else key
     a, b = F.col(before), F.col(after)
     na, nb = F.array_sort(T.number_tokens(a)), F.array_sort(T.number_tokens(b))
     wa, wb = F.size(words_of(a)), F.size(words_of(b))
     blocks = lambda c: T.count_of(F.trim(T.lines_unix(c)), r"\n[ \t]*\n[ \t\n]*") + 1
+    only = lambda c: ~F.exists(F.split(T.lines_unix(c), "\n"), lambda x: (F.trim(x) != "") & ~F.regexp_like(x, F.lit(r"^[ \t]{0,3}#{1,6}[ \t]")))
     reason = (
         F.when(na != nb, "numbers")
+        .when(breaks_hierarchy(a, b), "structure")
         .when((F.trim(a) == "") != (F.trim(b) == ""), "emptied")
         .when(protected_terms(a) != protected_terms(b), "names")
-        .when((wa >= 8) & ((wb / wa < 0.8) | (wb / wa > 1.25)), "length")
+        .when(only(a) & only(b) & (F.trim(a) != "") & (T.canonical(a) != T.canonical(b)), "headings")
         .when(blocks(a) != blocks(b), "blocks")
+        .when((wa >= 8) & ((wb / wa < 0.8) | (wb / wa > 1.25)), "length")
     )
-    return pairs.where(a.isNotNull() & b.isNotNull()).select(key, F.when(reason.isNull(), "low").otherwise("high").alias("risk"), F.coalesce(reason, F.lit("none")).alias("reason"))
+    x = pairs.where(a.isNotNull() & b.isNotNull()).select(*keys, before, after, reason.alias("reason"))
+    open_ = F.col("reason").isNull() & (wa >= 10) & (words_of(a) != words_of(b))
+    same = word_similarity(F.when(open_, words_of(a)), F.when(open_, words_of(b)))
+    x = x.withColumn("reason", F.coalesce("reason", F.when(same < 0.55, "rewritten")))
+    return x.select(*keys, F.when(F.col("reason").isNull(), "low").otherwise("high").alias("risk"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
-def hunks(pairs: DataFrame, key: str, before: str, after: str, bound: int = 100_000) -> DataFrame:
+def hunks(pairs: DataFrame, key: str | list[str], before: str, after: str, bound: int | None = None) -> DataFrame:
     """key, hunk_no, before_start, before_end, after_start, after_end of line hunks that differ.
 
-    Equal heads and tails are cut first; up to bound line pairs are matched in sequence, beyond it equal counts are
-    compared by place and others are one hunk.
+    Equal heads and tails are cut first, the rest is matched in sequence, in memory linear in the lines. With a bound,
+    more line pairs than it are not matched: equal counts are then compared by place, others are one hunk.
     """
+    keys = [key] if isinstance(key, str) else key
 
     def diff(x: list[str], y: list[str]) -> list[tuple[int, int, int, int]]:
         lo = 0
@@ -127,7 +181,7 @@ def hunks(pairs: DataFrame, key: str, before: str, after: str, bound: int = 100_
         p, q = x[lo : len(x) - hi], y[lo : len(y) - hi]
         if not p and not q:
             return []
-        if len(p) * len(q) <= bound:
+        if bound is None or len(p) * len(q) <= bound:
             ops = [o[1:] for o in SequenceMatcher(None, p, q, autojunk=False).get_opcodes() if o[0] != "equal"]
         elif len(p) == len(q):
             ops = [(i, i + 1, i, i + 1) for i in range(len(p)) if p[i] != q[i]]
@@ -137,16 +191,21 @@ def hunks(pairs: DataFrame, key: str, before: str, after: str, bound: int = 100_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            rows = [(k, i, *h) for k, x, y in t.itertuples(index=False) for i, h in enumerate(diff((x or "").split("\n"), (y or "").split("\n")))]
-            yield pd.DataFrame(rows, columns=["k", "hunk_no", "before_start", "before_end", "after_start", "after_end"])
+            rows = [(*k, i, *h) for *k, x, y in t.itertuples(index=False) for i, h in enumerate(diff((x or "").split("\n"), (y or "").split("\n")))]
+            yield pd.DataFrame(rows, columns=[*keys, "hunk_no", "before_start", "before_end", "after_start", "after_end"])
 
-    kind = dict(pairs.dtypes)[key]
-    changed = pairs.where(~F.col(before).eqNullSafe(F.col(after))).select(F.col(key).alias("k"), before, after)
-    return changed.mapInPandas(run, f"k {kind}, hunk_no int, before_start int, before_end int, after_start int, after_end int").withColumnRenamed("k", key)
+    kinds = dict(pairs.dtypes)
+    changed = pairs.where(~F.col(before).eqNullSafe(F.col(after))).select(*keys, before, after)
+    return changed.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", hunk_no int, before_start int, before_end int, after_start int, after_end int")
 
 
-def overlap(pairs: DataFrame, key: str, part: str, whole: str) -> DataFrame:
-    """key, tokens, shared, share: how many distinct words of a part its whole holds."""
-    p, w = F.array_distinct(words_of(F.col(part))), F.array_distinct(words_of(F.col(whole)))
-    x = pairs.where(F.col(part).isNotNull() & F.col(whole).isNotNull()).select(key, F.size(p).alias("tokens"), F.size(F.array_intersect(p, w)).alias("shared"))
-    return x.where("tokens > 0").withColumn("share", F.round(F.col("shared") / F.col("tokens"), 6))
+def overlap(parts: DataFrame, wholes: DataFrame, part_key: str, key: str, part: str, whole: str) -> DataFrame:
+    """part_key, tokens, shared, share: how many distinct words of a part its whole holds.
+
+    Words meet by equi-join on (key, word), so a whole with many parts is sent once, as words.
+    """
+    p = parts.where(F.col(part).isNotNull()).select(part_key, key, F.explode(F.array_distinct(words_of(F.col(part)))).alias("word"))
+    w = wholes.where(F.col(whole).isNotNull()).select(key, F.explode(F.array_distinct(words_of(F.col(whole)))).alias("word")).distinct().withColumn("_in", F.lit(1))
+    known = wholes.where(F.col(whole).isNotNull()).select(key).distinct()
+    x = p.join(known, key, "left_semi").join(w, [key, "word"], "left").groupBy(part_key).agg(F.countDistinct("word").alias("tokens"), F.countDistinct(F.when(F.col("_in") == 1, F.col("word"))).alias("shared"))
+    return x.withColumn("share", F.round(F.col("shared") / F.col("tokens"), 6))

@@ -21,8 +21,14 @@ def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def corpus_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """word, n, documents over the whole corpus; combined per document first, then before the shuffle."""
-    return word_counts(df, key, text).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    """word, n, documents over the whole corpus.
+
+    Each text's words are sorted within its row, so that the first of each word counts the text: one shuffle, by word.
+    """
+    words = F.array_sort(T.matches(F.lower(F.col(text)), r"\p{L}+"))
+    firsts = F.transform(words, lambda w, i: F.named_struct(F.lit("word"), w, F.lit("first"), ~F.get(words, i - 1).eqNullSafe(w)))
+    x = df.where(F.col(text).isNotNull()).select(F.explode(firsts).alias("x")).select("x.*")
+    return x.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("documents"))
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,22 +46,54 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
 def spelling_outliers(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, word, right: capitalised words of 7 letters or more seen once, one edit from exactly one word seen 4 times or more.
 
-    Pairs meet by equi-join on document, first three and last two letters.
+    An edit is a letter more, less or other, or two neighbours that changed places. Pairs meet by equi-join on document,
+    first three and last two letters.
     """
     w = df.where(F.col(text).isNotNull()).select(key, F.explode(T.matches(F.col(text), r"\p{Lu}\p{L}{6,}")).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     w = w.withColumn("edge", F.concat(F.lower(F.substring("word", 1, 3)), F.lower(F.expr("right(word, 2)"))))
     rare = w.where("n = 1").select(key, "edge", "word")
     good = w.where("n >= 4").select(key, "edge", F.col("word").alias("right"))
-    near = rare.join(good, [key, "edge"]).where(F.levenshtein("word", "right") == 1)
+    low, other = F.lower("word"), F.lower("right")
+    swapped = F.exists(
+        F.sequence(F.lit(1), F.length("word") - 1),
+        lambda i: F.concat(F.substr(low, F.lit(1), i - 1), F.substr(low, i + 1, F.lit(1)), F.substr(low, i, F.lit(1)), F.substr(low, i + 2)) == other,
+    )
+    near = rare.join(good, [key, "edge"]).where((F.levenshtein(low, other) == 1) | ((F.length("word") == F.length("right")) & (low != other) & swapped))
     return near.groupBy(key, "word").agg(F.min("right").alias("right"), F.count(F.lit(1)).alias("_k")).where("_k = 1").select(key, "word", "right")
 
 
+#: What no glossary term is looked for in: fences, code, addresses, tags and the targets of links.
+_OUTSIDE = (r"(?dms)^[ \t]{0,3}(`{3,}|~{3,})[^\n]*$.*?(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\z)", r"`[^`\n]+`", r"\]\([^)\n]*\)", r"https?://[^ \t\n)>]+", r"</?[A-Za-z][^<>\n]*>")
+#: Letters, digits and marks of scripts that set blanks between words.
+_INSIDE = r"[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]"
+
+
+def whole_words(text: Column, terms: Column) -> Column:
+    """Which of the terms a text holds as whole words, lower-case: the longest first, so that none is found inside another.
+
+    Terms are plain text, not patterns. Scripts without blanks have no word edges.
+    """
+    for p in _OUTSIDE:
+        text = F.regexp_replace(text, p, " ")
+    known = F.array_distinct(F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: t.isNotNull() & (t != "")))
+    order = F.array_sort(F.transform(known, lambda t: F.named_struct(F.lit("a"), -F.length(t), F.lit("t"), t)))
+    quoted = F.transform(order, lambda x: F.concat(F.lit("\\Q"), F.replace(x.t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit(f"(?<!{_INSIDE})("), F.array_join(quoted, "|"), F.lit(f")(?!{_INSIDE})"))
+    return F.when(F.size(known) > 0, F.array_distinct(F.regexp_extract_all(F.lower(text), pattern, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
 def glossary_hits(cases: DataFrame, key: str, source: str, target: str, glossary: str) -> DataFrame:
-    """key, term, wanted, in_source, in_target: glossary entries whose term a source holds, and whether its target has the wanted one."""
-    g = cases.where(F.col(glossary).isNotNull()).select(key, source, target, F.explode(glossary).alias("g"))
-    g = g.select(key, F.col("g.source").alias("term"), F.col("g.target").alias("wanted"), F.lower(source).alias("s"), F.lower(target).alias("t")).distinct()
-    inside = F.contains(F.col("s"), F.lower("term"))
-    return g.where(F.trim("term") != "").where(inside).select(key, "term", "wanted", F.coalesce(F.contains(F.col("t"), F.lower("wanted")), F.lit(False)).alias("in_target"))
+    """key, term, wanted, in_target: glossary entries whose term a source holds as a whole word, and whether its target has the wanted one.
+
+    Rows that are equal count once. Everything happens inside the row; nothing is shuffled but for that.
+    """
+    g = cases.where(F.col(glossary).isNotNull() & F.col(source).isNotNull()).select(key, source, target, glossary).distinct()
+    inside = whole_words(F.col(source), F.transform(glossary, lambda x: x["source"]))
+    wanted = whole_words(F.coalesce(F.col(target), F.lit("")), F.transform(glossary, lambda x: x["target"]))
+    x = g.select(key, inside.alias("_s"), wanted.alias("_t"), F.explode(F.array_distinct(glossary)).alias("g"))
+    x = x.where(F.array_contains("_s", F.lower(F.trim("g.source"))))
+    has = F.coalesce(F.array_contains("_t", F.lower(F.trim("g.target"))), F.lit(False))
+    return x.select(key, F.col("g.source").alias("term"), F.col("g.target").alias("wanted"), has.alias("in_target")).distinct()
 
 
 def glossary_duplicates(cases: DataFrame, key: str, glossary: str) -> DataFrame:

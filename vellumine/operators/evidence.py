@@ -13,25 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbers import written_values
 from .blocks import explode_blocks, role
 
 #: Headings of contents lists (fixed values).
 CONTENTS = ("contents", "table of contents", "contenido", "índice", "contenidos", "sommaire", "table des matières", "inhalt", "inhaltsverzeichnis", "conteúdo", "sumário", "sommario", "indice", "содержание", "оглавление", "目录", "目次", "المحتويات", "สารบัญ", "विषय-सूची")
 
-#: Written numbers and their values (fixed values).
-NUMBER_WORDS = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12, "twenty": 20, "hundred": 100, "first": 1, "second": 2, "third": 3,
-    "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "primera": 1, "segunda": 2, "tercer": 3,
-    "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9, "dix": 10, "première": 1, "seconde": 2, "troisième": 3,
-    "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10, "ersten": 1, "zweiten": 2, "dritte": 3,
-}
-
-
-def written_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, value, n of each number that a text writes as a word; the dictionary is a constant inside the plan."""
-    table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    words = df.where(F.col(text).isNotNull()).select(key, F.explode(T.matches(F.lower(text), r"\p{L}+")).alias("w"))
-    return words.select(key, F.try_element_at(table, "w").alias("value")).where("value is not null").groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"))
+def written_numbers(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
+    """key, value, n of each number that a text writes in words of its language, compounds included."""
+    values = written_values(F.col(text), F.col(language))
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(values).alias("value")).groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def contents_entries(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -59,17 +50,23 @@ def untranslated(pairs: DataFrame, key: str, source: str, target: str, least: in
     return x.where(F.contains(F.col("_t"), F.col("sentence"))).select(key, "sentence").distinct()
 
 
+def _shortened(word: Column) -> Column:
+    """A word and what is left of it without one of its letters: words one edit apart share one of these."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.array_distinct(F.concat(F.array(word), cut))
+
+
 def token_consensus(parts: DataFrame, wholes: DataFrame, part_key: str, key: str, part: str, whole: str, support: int = 3) -> DataFrame:
     """part_key, token, right: words of a part that its whole lacks, one edit from exactly one word that the whole has often.
 
-    ASCII words of 5 letters or more; pairs meet on key, first two letters and last letter.
+    Words of 5 letters or more of any script. Pairs meet by equi-join on what is left of both without one letter.
     """
-    words = lambda c: T.matches(F.lower(c), r"[a-z]{5,}")
+    words = lambda c: T.matches(F.lower(c), r"\p{L}{5,}")
     w = wholes.where(F.col(whole).isNotNull()).select(key, F.explode(words(F.col(whole))).alias("right")).groupBy(key, "right").agg(F.count(F.lit(1)).alias("n"))
-    p = parts.where(F.col(part).isNotNull()).select(part_key, key, F.explode(F.array_distinct(words(F.col(part)))).alias("token"))
+    p = parts.where(F.col(part).isNotNull()).select(part_key, key, F.explode(F.array_distinct(words(F.col(part)))).alias("token")).distinct()
     p = p.join(w.select(key, F.col("right").alias("token")), [key, "token"], "left_anti")
-    edge = lambda c: F.concat(F.substring(c, 1, 2), F.expr(f"right({c}, 1)"))
-    near = p.withColumn("e", edge("token")).join(w.where(F.col("n") >= support).withColumn("e", edge("right")), [key, "e"]).where(F.levenshtein("token", "right", 1) == 1)
+    near = p.withColumn("e", F.explode(_shortened(F.col("token")))).join(w.where(F.col("n") >= support).withColumn("e", F.explode(_shortened(F.col("right")))), [key, "e"])
+    near = near.where(F.levenshtein("token", "right", 1) == 1)
     return near.groupBy(part_key, "token").agg(F.min("right").alias("right"), F.countDistinct("right").alias("_k")).where("_k = 1").select(part_key, "token", "right")
 
 

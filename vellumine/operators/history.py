@@ -120,26 +120,72 @@ def spans(events: DataFrame, key: str, time: str, state: str, width: int = DAY)
     return e.groupBy("state").agg(F.count(F.lit(1)).alias("visits"), F.round(F.sum("d") / 1000000.0, 3).alias("seconds"))
 
 
-def estimate(facts: DataFrame, keys: list[str], units: str, seconds: str, wanted: float, base: float) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: Column, shares: tuple[float, ...], step: float) -> DataFrame:
+    """keys, samples, q: exact quantiles of a value, interpolated between neighbours, in the order of the shares.
+
+    Equal values are counted before they move, and ranks come from counts that run over ranges of the value (step wide),
+    so a key that holds any share of all rows is many small tasks and no state grows with it.
+    """
+    n = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_x")).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    total = n.groupBy(*keys).agg(F.sum("_c").alias("samples"))
+    ranked = running(n, keys, F.col("_x"), F.col("_c"), step)
+    x = ranked.alias("r").join(total.alias("t"), [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).select(*[F.col(f"r.{k}") for k in keys], "_x", "_c", "_sum", "samples")
+    at = lambda rank: F.max(F.when((F.col("_sum") - F.col("_c") <= rank) & (rank < F.col("_sum")), F.col("_x")))
+    place = [(F.col("samples") - 1) * F.lit(q) for q in shares]
+    g = x.groupBy(*keys).agg(F.max("samples").alias("samples"), *[at(F.floor(p)).alias(f"_l{i}") for i, p in enumerate(place)], *[at(F.ceil(p)).alias(f"_h{i}") for i, p in enumerate(place)])
+    between = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * ((F.col("samples") - 1) * F.lit(q) - F.floor((F.col("samples") - 1) * F.lit(q))) for i, q in enumerate(shares)]
+    return g.select(*keys, "samples", F.array(*between).alias("q"))
+
+
+def estimate(facts: DataFrame, keys: list[str], units: str, seconds: str, wanted: float, base: float, step: float = 100.0) -> DataFrame:
     """keys, samples, lower, likely, upper: seconds for wanted units, from the rates of earlier runs of the same keys.
 
     The median rate is weighed against a base rate that counts max(0, 3 − n) times. From four runs on the band comes
-    from the quartiles, with fewer it is a fixed share.
+    from the quartiles, with fewer it is a fixed share. step: width of the ranges of rates that are ranked together.
     """
-    rate = F.col(seconds) / F.col(units)
-    g = facts.where((F.col(units) > 0) & F.col(seconds).isNotNull()).select(*keys, rate.alias("rate")).groupBy(*keys)
-    g = g.agg(F.count(F.lit(1)).alias("samples"), F.median("rate").alias("mid"), F.percentile("rate", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    g = quantiles(facts.where(F.col(units) > 0), keys, F.col(seconds) / F.col(units), (0.5, 0.25, 0.75), step)
     n, prior = F.col("samples"), F.greatest(F.lit(0), 3 - F.col("samples"))
-    mid = (F.col("mid") * n + base * prior) / (n + prior)
+    mid = (F.col("q")[0] * n + base * prior) / (n + prior)
     likely = F.greatest(F.lit(15.0), F.bround(8 + mid * wanted))
-    lower = F.when(n >= 4, (8 + F.col("q")[0] * wanted) * 0.85).otherwise(likely * 0.65)
-    upper = F.when(n >= 4, (8 + F.col("q")[1] * wanted) * 1.2).otherwise(likely * 1.55)
+    lower = F.when(n >= 4, (8 + F.col("q")[1] * wanted) * 0.85).otherwise(likely * 0.65)
+    upper = F.when(n >= 4, (8 + F.col("q")[2] * wanted) * 1.2).otherwise(likely * 1.55)
     return g.select(*keys, "samples", F.greatest(F.lit(10.0), F.round(F.least(lower, likely), 3)).alias("lower"), likely.alias("likely"), F.round(F.greatest(likely, upper), 3).alias("upper"))
 
 
-def cohorts(df: DataFrame, by: list[str], value: str, good: Column) -> DataFrame:
+def combined(estimates: DataFrame, weak: int = 3) -> DataFrame:
+    """One row: the sums of several estimates and the smallest number of samples behind any of them.
+
+    sure: whether every part rests on at least weak samples. Nothing to add gives nulls and no samples.
+    """
+    return estimates.agg(F.round(F.sum("lower"), 3).alias("lower"), F.sum("likely").alias("likely"), F.round(F.sum("upper"), 3).alias("upper"), F.coalesce(F.min("samples"), F.lit(0)).alias("samples"), F.coalesce(F.min("samples") >= weak, F.lit(False)).alias("sure"))
+
+
+def remaining(df: DataFrame, lower: str, likely: str, upper: str, elapsed: str, in_stage: str, current: str, total: str) -> DataFrame:
+    """df with left_lower, left_likely, left_upper: what is left of an estimate after some seconds.
+
+    Elapsed seconds are subtracted, not below zero. From ten seconds in a stage on, with at least two steps of which
+    some are done, the rate observed in the stage counts as well: the band is widened to .75 and 1.35 of it, and the
+    likely value is the mean of both, inside the band.
+    """
+    less = lambda c: F.greatest(F.lit(0.0), F.col(c) - F.col(elapsed))
+    seen = F.when((F.col(in_stage) >= 10) & (F.col(current) > 0) & (F.col(current) < F.col(total)) & (F.col(total) >= 2), F.col(in_stage) * (F.col(total) - F.col(current)) / F.col(current))
+    low = F.when(seen.isNotNull(), F.least(less(lower), 0.75 * seen)).otherwise(less(lower))
+    high = F.when(seen.isNotNull(), F.greatest(less(upper), 1.35 * seen)).otherwise(less(upper))
+    mid = F.when(seen.isNotNull(), F.least(high, F.greatest(low, (less(likely) + seen) / 2))).otherwise(less(likely))
+    return df.select("*", F.round(low, 3).alias("left_lower"), F.round(mid, 3).alias("left_likely"), F.round(high, 3).alias("left_upper"))
+
+
+def checked_early(kind: Column, units: Column, heavy: Column) -> Column:
+    """Whether a job is tried on a few pages first: a PDF of 120 units, or of 60 with a heavy step."""
+    return F.coalesce((kind == "pdf") & ((units >= 120) | ((units >= 60) & heavy)), F.lit(False))
+
+
+def cohorts(df: DataFrame, by: list[str], value: str, good: Column, step: float = 100.0) -> DataFrame:
     """by, n, good, median, greatest of each cohort."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.round(F.median(value), 6).alias("median"), F.max(value).alias("greatest"))
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.max(value).alias("greatest"))
+    q = quantiles(df, by, F.col(value), (0.5,), step)
+    j = g.alias("g").join(q.alias("q"), [F.col(f"g.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by], "left")
+    return j.select(*[F.col(f"g.{k}") for k in by], "n", "good", F.round(F.get("q", F.lit(0)), 6).alias("median"), "greatest")
 
 
 def regressions(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -169,9 +215,35 @@ def budget(df: DataFrame, by: str, score: str, tie: str, most: int, share: float
     return top.join(n, top[by].eqNullSafe(n["_by"])).drop("_by").where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).drop("_n", "rank")
 
 
-def evict(cache: DataFrame, by: str, bytes_: str, used: str, key: str, limit: int, width: int = 30 * DAY) -> DataFrame:
-    """by, key of entries to drop: the longest unused ones, until each group's rest fits the limit."""
-    return running(cache, [by], -micros(used), F.col(bytes_), width, (key,)).where(F.col("_sum") > limit).select(by, key)
+def evict(cache: DataFrame, by: str, bytes_: str, used: str, key: str, limit: int, width: int = 30 * DAY, now: Column | None = None, stale: int = 30 * DAY, fresh: int = DAY) -> DataFrame:
+    """by, key of entries to drop: the stale ones, then the longest unused ones until each group's rest fits the limit.
+
+    Entries unused for the stale time go whatever the size; entries used within the fresh time stay whatever the size.
+    now: the present; without it no entry is stale or fresh.
+    """
+    age = F.lit(None).cast("bigint") if now is None else F.unix_micros(now) - micros(used)
+    x = cache.withColumn("_age", age)
+    live = x.where(F.coalesce(F.col("_age") < stale, F.lit(True)))
+    big = running(live, [by], -micros(used), F.col(bytes_), width, (key,)).where((F.col("_sum") > limit) & F.coalesce(F.col("_age") >= fresh, F.lit(True)))
+    return x.where(F.col("_age") >= stale).select(by, key).unionByName(big.select(by, key))
+
+
+def prepend(history: DataFrame, new: DataFrame, by: str, identity: list[Column], order: str, size: int = 20) -> DataFrame:
+    """by, order and the fields of a history with new rows put in front: of equal rows the first stays, at most size of each group.
+
+    order: place in the history and among the new rows, from 0; new rows stand before all others.
+    """
+    both = new.withColumn("_side", F.lit(0)).unionByName(history.withColumn("_side", F.lit(1)))
+    first = W.partitionBy(by, *identity).orderBy("_side", order)
+    once = both.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    return once.withColumn(order, (F.row_number().over(W.partitionBy(by).orderBy("_side", order)) - 1).cast(dict(history.dtypes)[order])).where(F.col(order) < size).drop("_side")
+
+
+def merged_strides(chapters: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """by, order, group: chapters beyond a number of files are merged by a fixed stride, so that at most so many are left."""
+    n = chapters.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = chapters.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1).join(n, by)
+    return ranked.select(by, order, F.floor(F.col("_r") / F.ceil(F.col("_n") / F.lit(most))).cast("int").alias("group"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str, width: int = DAY) -> DataFrame:

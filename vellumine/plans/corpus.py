@@ -116,8 +116,8 @@ def page_marks(s: SparkSession, d: str) -> DataFrame:
 
 def chunk_plan(s: SparkSession, d: str) -> DataFrame:
     b = B.explode_blocks(_exports(s, d), "export_id", "primary_markdown")
-    p = B.plan_chunks(b, "export_id").join(b, ["export_id", "position"])
-    return p.groupBy("export_id", "chunk_no").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("block")).alias("chars"))
+    p = B.plan_chunks(b, "export_id")
+    return p.groupBy("export_id", "chunk_no").agg(F.count(F.lit(1)).alias("blocks"), F.sum("chars").alias("chars"))
 
 
 def word_counts(s: SparkSession, d: str) -> DataFrame:
@@ -198,9 +198,9 @@ SQL: dict[str, str] = {
             FROM documents WHERE title IS NOT NULL)""",
     "language_codes": f"SELECT {D.language_code('lang')} AS code, count(*) AS docs FROM documents GROUP BY 1",
     "number_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({D.number_tokens('text')}) AS token FROM {DOCS}) GROUP BY ALL",
-    "symbol_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {D.q(T.SYMBOL)})) AS token FROM {DOCS}) GROUP BY ALL",
+    "symbol_tokens": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({D.symbol_tokens('text')}) AS token FROM {DOCS}) GROUP BY ALL",
     "link_targets": f"""
-        SELECT export_id, target, count(*) AS n FROM (SELECT export_id, unnest(regexp_extract_all({D.unix('primary_markdown')}, {D.q(T.LINK)}, 1)) AS target FROM {EXPORTS}) GROUP BY ALL""",
+        SELECT export_id, target, count(*) AS n FROM (SELECT export_id, unnest(regexp_extract_all({D.unix('primary_markdown')}, {D.q(r'!?\[[^\]\n]*\]\(<?([^)>\n]+)>?\)')}, 1)) AS target FROM {EXPORTS}) GROUP BY ALL""",
     "title_lines": f"""
         WITH {_LINES} SELECT export_id, line_no::INT AS line_no, line FROM fenced WHERE NOT fenced AND (
             regexp_matches(line, '^[ \\t]{{0,3}}#{{1,6}}[ \\t]') OR ({D.letters('line')} > 0 AND {D.count_of('line', '[^ \\t\\n]+')} <= 12
@@ -248,18 +248,22 @@ SQL: dict[str, str] = {
             OVER (PARTITION BY export_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM lines)
         SELECT export_id, page, count(*) AS lines, min(line_no) AS first_line FROM pages WHERE page IS NOT NULL GROUP BY ALL""",
     "chunk_plan": f"""
-        WITH RECURSIVE {_BLOCKS}, walk AS (
-            SELECT export_id, position, 0 AS chunk_no, length(block) AS used, length(block) AS n FROM blocks WHERE position = 0
+        WITH RECURSIVE {_BLOCKS}, facts AS (
+            SELECT export_id, position, length(block) AS n, len(regexp_extract_all(block, '[+-]?[0-9]+(?:[.,:/-][0-9]+)*')) + len(regexp_extract_all(block, '[$€£¥₹₿%‰‱]')) + len(regexp_extract_all(block, 'https?://')) AS v,
+                NOT regexp_matches(block, '^[ \\t]*<!--') AND NOT regexp_matches(block, '^[ \\t]{{0,3}}(?:```|~~~)') AND NOT regexp_matches(block, '^[ \\t]*!\\[[^\\]]*\\]\\([^)]*\\)[ \\t]*$')
+                AND (regexp_matches(block, '(?m)^[ \\t]*\\|?[ \\t]*:?-{{3,}}:?[ \\t]*(?:\\|[ \\t]*:?-{{3,}}:?[ \\t]*)+\\|?[ \\t]*$')
+                    OR (regexp_matches(block, '^[ \\t]{{0,3}}#{{1,6}}[ \\t]') AND NOT regexp_matches(block, '^[ \\t]*(?:Note|Notes|Nota|Notas|Hinweis|Remarque)[ \\t]*[:.]'))) AS alone FROM blocks),
+        walk AS (
+            SELECT export_id, position, 0 AS chunk_no, n AS used, v AS held, n, alone FROM facts WHERE position = 0
             UNION ALL
-            SELECT b.export_id, b.position, CASE WHEN w.used + length(b.block) + 2 <= 4000 THEN w.chunk_no ELSE w.chunk_no + 1 END,
-                   CASE WHEN w.used + length(b.block) + 2 <= 4000 THEN w.used + length(b.block) + 2 ELSE length(b.block) END, length(b.block)
-            FROM walk w JOIN blocks b ON b.export_id = w.export_id AND b.position = w.position + 1)
+            SELECT f.export_id, f.position, CASE WHEN s.fits THEN w.chunk_no ELSE w.chunk_no + 1 END, CASE WHEN s.fits THEN w.used + f.n + 2 ELSE f.n END, CASE WHEN s.fits THEN w.held + f.v ELSE f.v END, f.n, f.alone
+            FROM walk w JOIN facts f ON f.export_id = w.export_id AND f.position = w.position + 1, LATERAL (SELECT NOT w.alone AND NOT f.alone AND w.used + f.n + 2 <= 4000 AND w.held + f.v <= 16 AS fits) s)
         SELECT export_id, chunk_no, count(*) AS blocks, sum(n)::BIGINT AS chars FROM walk GROUP BY ALL""",
     "word_counts": f"""
         SELECT word, sum(n)::BIGINT AS n, count(*) AS documents FROM (
             SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM {DOCS}) GROUP BY ALL) GROUP BY word""",
     "doc_terms": f"""
-        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({D.prose('text')}, {D.q(C.TERM)})) AS term FROM {DOCS}),
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({D.prose('text')}, {D.q(r'\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+')})) AS term FROM {DOCS}),
         spelt AS (SELECT doc_id, lower(term) AS low, term, count(*) AS n FROM t WHERE length(term) <= 80 GROUP BY ALL),
         best AS (SELECT doc_id, low, sum(n)::BIGINT AS n, first(term ORDER BY spelt.n DESC, term) AS term FROM spelt GROUP BY ALL HAVING sum(n) >= 2)
         SELECT doc_id, term, n FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(term) DESC, term) <= 50""",

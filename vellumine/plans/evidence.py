@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialect as D
+from ..functions import text as T
 from ..operators import evidence as E
 from ..session import table
-from .corpus import _BLOCKS, DOCS, EXPORTS, _documents, _exports
+from .corpus import _BLOCKS, EXPORTS, _exports
+from .versions import FLAT_WORDS, NUMBERS
 
 
 def written_numbers(s: SparkSession, d: str) -> DataFrame:
-    return E.written_numbers(_documents(s, d), "doc_id", "text")
+    documents = table(s, d, "documents").select("doc_id", "text", T.language_code(F.col("lang")).alias("code")).distinct()
+    return E.written_numbers(documents, "doc_id", "text", "code")
 
 
 def contents_entries(s: SparkSession, d: str) -> DataFrame:
@@ -49,8 +52,8 @@ def event_violations(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-_WORDS = ", ".join(f"({D.q(w)}, {v})" for w, v in E.NUMBER_WORDS.items())
-_TITLES = ", ".join(D.q(t) for t in E.CONTENTS)
+#: Headings of contents lists, written out here on their own.
+_TITLES = ", ".join(D.q(t) for t in "contents|table of contents|contenido|índice|contenidos|sommaire|table des matières|inhalt|inhaltsverzeichnis|conteúdo|sumário|sommario|indice|содержание|оглавление|目录|目次|المحتويات|สารบัญ|विषय-सूची".split("|"))
 _ENTRIES = (
     _BLOCKS
     + f""",
@@ -64,7 +67,9 @@ _FLAT = "trim(regexp_replace(lower({}), '[ \\t]+', ' ', 'g'))"
 
 SQL: dict[str, str] = {
     "written_numbers": f"""
-        SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM {DOCS}) JOIN (VALUES {_WORDS}) v(word, value) ON w = word GROUP BY ALL""",
+        WITH {NUMBERS}, said AS (SELECT doc_id, lang, unnest(regexp_extract_all({FLAT_WORDS.format('text')}, pattern, 1)) AS w
+            FROM (SELECT DISTINCT doc_id, text, {D.language_code('lang')} AS code FROM documents WHERE text IS NOT NULL) JOIN runs ON runs.lang = code)
+        SELECT doc_id, v::INT AS value, count(*) AS n FROM said JOIN words ON words.lang = said.lang AND words.w = replace(said.w, '  ', ' ') GROUP BY ALL""",
     "contents_entries": f"WITH {_ENTRIES} SELECT export_id, entry_no, label FROM entries",
     "contents_match": f"""
         WITH {_ENTRIES}, t AS (SELECT export_id, {_FLAT.format('title')} AS flat, min(chapter_no) AS chapter_no FROM (SELECT DISTINCT export_id, chapter_no, title FROM markdown_chapters WHERE title IS NOT NULL) GROUP BY ALL HAVING count(*) = 1)
@@ -73,10 +78,10 @@ SQL: dict[str, str] = {
         SELECT DISTINCT id, sentence FROM (SELECT id, expected, trim(unnest(regexp_extract_all({D.unix('source')}, '[^.!?…\\n]+[.!?…]'))) AS sentence FROM translation_cases WHERE source IS NOT NULL AND expected IS NOT NULL)
         WHERE {D.letters('sentence')} >= 24 AND contains(expected, sentence)""",
     "token_consensus": f"""
-        WITH w AS (SELECT export_id, t AS good, count(*) AS n FROM (SELECT export_id, unnest(regexp_extract_all(lower(primary_markdown), '[a-z]{{5,}}')) AS t FROM {EXPORTS}) GROUP BY ALL),
-        p AS (SELECT DISTINCT identifier, export_id, unnest(regexp_extract_all(lower(markdown), '[a-z]{{5,}}')) AS token FROM pdf_review_issues WHERE markdown IS NOT NULL),
+        WITH w AS (SELECT export_id, t AS good, count(*) AS n FROM (SELECT export_id, unnest(regexp_extract_all(lower(primary_markdown), '\\p{{L}}{{5,}}')) AS t FROM {EXPORTS}) GROUP BY ALL),
+        p AS (SELECT DISTINCT identifier, export_id, unnest(regexp_extract_all(lower(markdown), '\\p{{L}}{{5,}}')) AS token FROM pdf_review_issues WHERE markdown IS NOT NULL),
         q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.export_id = p.export_id AND w.good = p.token)),
-        near AS (SELECT identifier, token, good FROM q JOIN w ON q.export_id = w.export_id AND left(q.token, 2) = left(w.good, 2) AND right(q.token, 1) = right(w.good, 1) WHERE n >= 3 AND levenshtein(token, good) = 1)
+        near AS (SELECT identifier, token, good FROM q JOIN w ON q.export_id = w.export_id WHERE abs(length(token) - length(good)) <= 1 AND n >= 3 AND levenshtein(token, good) = 1)
         SELECT identifier, token, min(good) AS "right" FROM near GROUP BY ALL HAVING count(DISTINCT good) = 1""",
     "emphasis_spans": f"""
         SELECT export_id, {D.count_of('t', r'\*\*[^*\n]+\*\*')} AS strong, {D.count_of(f"regexp_replace(t, {D.q(r'\*\*[^*\n]+\*\*')}, ' ', 'g')", r'\*[^* \t\n][^*\n]*\*')} AS light, {D.count_of('t', r'`[^`\n]+`')} AS code
