@@ -12,9 +12,10 @@ list, one bare item, or a map from key to item; children without a key give noth
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -61,6 +62,15 @@ def _fields(node: dict) -> dict:
     return {snake(k): v for k, v in node.items()}
 
 
+def _flat(node: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
+    """The scalar fields of a record and of the objects inside it, under joined names; lists are other tables' rows."""
+    for k, v in _fields(node).items():
+        if isinstance(v, dict):
+            yield from _flat(v, f"{prefix}{k}_")
+        elif not isinstance(v, list):
+            yield f"{prefix}{k}", v
+
+
 def _scalars(node: object) -> str | None:
     if not isinstance(node, dict):
         return None if node is None else json.dumps({"value": node}, ensure_ascii=False)
@@ -72,7 +82,8 @@ class Child:
     """One flat table: where its rows hang in a record and how they are keyed.
 
     path: field names from the record down to the collection. key: name of the key field; None where the collection's
-    own keys or plain values are the keys. pairs: the collection is a list of (key, value) pairs or a map.
+    own keys or plain values are the keys. pairs: the collection is a list of (key, value) pairs or a map; value: the name
+    of the value in a pair that is written as an object.
     alias: older spellings of keys. skip_null: a null child is absent. nested: tables below each row; their parent key
     is `parent/key`.
     """
@@ -81,6 +92,7 @@ class Child:
     path: tuple[str, ...]
     key: str | None = None
     pairs: bool = False
+    value: str | None = None
     skip_null: bool = False
     alias: dict[str, str] = field(default_factory=dict)
     nested: tuple["Child", ...] = ()
@@ -150,6 +162,8 @@ def visit(node: dict, parent: str, children: tuple[Child, ...]) -> Iterator[tupl
                 continue
             name = str(key)
             name = child.alias.get(snake(name), child.alias.get(name, name))
+            if child.value and isinstance(item, dict):
+                item = _fields(item).get(child.value)
             yield child.tag, parent, name, _scalars(item)
             if child.nested and isinstance(item, dict):
                 yield from visit(item, f"{parent}/{name}", child.nested)
@@ -182,8 +196,12 @@ def latest_readable(df: DataFrame, wrappers: tuple[str, ...], marks: tuple[str,
     return kept.groupBy("id").agg(newest).select("id", F.col("v.payload").alias("payload"))
 
 
-def emit(df: DataFrame, children: tuple[Child, ...], wrappers: tuple[str, ...] = (), marks: tuple[str, ...] = ()) -> DataFrame:
-    """The tagged rows of each (id, payload) row; see the module's text for shapes and odd cases."""
+def emit(df: DataFrame, children: tuple[Child, ...], wrappers: tuple[str, ...] = (), marks: tuple[str, ...] = (), root: tuple[str, str | None] | None = None) -> DataFrame:
+    """The tagged rows of each (id, payload) row; see the module's text for shapes and odd cases.
+
+    root: the tag of the record's own row, whose payload are its scalar fields at any depth, and the field that names
+    its parent, if it has one.
+    """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -192,6 +210,10 @@ def emit(df: DataFrame, children: tuple[Child, ...], wrappers: tuple[str, ...] =
                 if ident is None or (record := record_of(payload, wrappers, marks)) is None:
                     continue
                 seen = set()
+                if root is not None:
+                    own = dict(_flat(record))
+                    parent = own.get(root[1]) if root[1] else None
+                    rows.append((root[0], None if parent is None else str(parent), ident, json.dumps(own, ensure_ascii=False)))
                 for row in visit(record, ident, children):
                     if row[:3] not in seen:
                         seen.add(row[:3])
@@ -202,6 +224,7 @@ def emit(df: DataFrame, children: tuple[Child, ...], wrappers: tuple[str, ...] =
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
+    """Writes a stream of tagged rows as one folder for each tag."""
     tagged.write.mode("overwrite").partitionBy("tag").parquet(path)
 
 
@@ -211,20 +234,45 @@ def read_tag(tagged: DataFrame, tag: str, schema: str) -> DataFrame:
     return rows.select("parent_id", "child_key", F.from_json("payload", schema).alias("p")).select("parent_id", "child_key", "p.*")
 
 
+def written_once(tagged: Callable[[], DataFrame], inputs: list[DataFrame], folder: str) -> DataFrame:
+    """The tagged rows from a folder below the given one, written on the first call for these input files.
+
+    The folder's name is a digest of the files' names, sizes and times, so changed files are read anew.
+    """
+    spark = inputs[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    facts = []
+    for name in sorted(f for df in inputs for f in df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        facts.append((name, status.getLen(), status.getModificationTime()))
+    target = f"{folder}/tagged-{hashlib.sha256(repr((SCHEMAS, facts)).encode()).hexdigest()[:24]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        write_tagged(tagged(), target)
+    return spark.read.schema(EMITTED).parquet(target)
+
+
 ARTIFACTS = Child("artifact", ("artifact_ids",))
 JOB = (
     Child("stage", ("stages",), key="kind", nested=(ARTIFACTS,)),
-    Child("glossary", ("configuration", "translation", "glossary"), key="source", pairs=True),
-    Child("signal", ("review_recommendation", "signal_counts"), key="signal", pairs=True),
+    Child("glossary", ("configuration", "translation", "glossary"), key="source", pairs=True, value="target"),
+    Child("signal", ("review_recommendation", "signal_counts"), key="signal", pairs=True, value="count"),
     Child("component", ("configuration", "ai", "components"), key="component", pairs=True, skip_null=True, alias={"visual": "visual_ocr", "visual_ocr": "visual_ocr"}),
 )
 REVIEW = (Child("unit", ("units",), key="id"),)
-EVENT = (Child("attempt", ("attempt",), key="attempt_id"),)
+CHILDREN = ("stage", "artifact", "glossary", "signal", "component", "unit", "attempt")
 JOB_MARKS = ("payload_version", "id", "stages", "configuration", "source")
 REVIEW_MARKS = ("payload_version", "id", "units", "job_id", "stage")
 
 #: Typed fields of each flat table.
 SCHEMAS = {
+    "job": "payload_version int, order bigint, source_path string, source_format string, source_size_bytes bigint, source_modified_ns bigint, source_content_sha256 string, configuration_revision int, "
+    "configuration_output_configured boolean, configuration_output_format string, configuration_output_directory string, configuration_output_title string, configuration_output_author string, "
+    "configuration_output_include_images boolean, configuration_output_preserve_styles boolean, configuration_output_markdown_organization string, configuration_output_cover_strategy string, "
+    "configuration_ai_model string, configuration_ai_context_window int, configuration_translation_enabled boolean, configuration_translation_method string, configuration_translation_target_language string, "
+    "configuration_plan string, configuration_page_range_first_page int, configuration_page_range_last_page int, configuration_force_pdf_ocr boolean, review_recommendation_scope_fingerprint string, result_path string",
+    "review": "payload_version int, stage string, kind string, status string, input_artifact_id string, input_version int, created_at string, updated_at string",
     "stage": "kind string, availability string, status string, progress_current int, progress_total int, progress_message string, attempt int, review_id string, error_code string, error_message string, started_at string, finished_at string",
     "artifact": "value string",
     "glossary": "value string",
@@ -236,22 +284,31 @@ SCHEMAS = {
 
 
 def job_tables(jobs: DataFrame) -> DataFrame:
-    return emit(latest_readable(jobs, ("job",), JOB_MARKS), JOB, ("job",), JOB_MARKS)
+    return emit(latest_readable(jobs, ("job",), JOB_MARKS), JOB, ("job",), JOB_MARKS, ("job", None))
 
 
 def review_tables(reviews: DataFrame) -> DataFrame:
-    return emit(latest_readable(reviews, ("review",), REVIEW_MARKS), REVIEW, ("review",), REVIEW_MARKS)
+    return emit(latest_readable(reviews, ("review",), REVIEW_MARKS), REVIEW, ("review",), REVIEW_MARKS, ("review", "job_id"))
 
 
-def attempt_tables(events: DataFrame) -> DataFrame:
-    """One attempt row of each (job, attempt); the fields are those of its event with the highest sequence.
+def attempts(events: DataFrame) -> DataFrame:
+    """parent_id, child_key and the fields of each (job, attempt): those of its event with the highest sequence.
 
-    Events are combined per attempt before the shuffle, so the hot job costs no more than any other.
+    Events are combined per attempt before the shuffle, so the hot job costs no more than any other. All of it is a
+    projection of the struct; no record is taken apart.
     """
     attempt = F.col("payload.attempt_id")
     usable = events.where(F.col("job_id").isNotNull() & attempt.isNotNull() & (F.trim(F.regexp_replace(attempt, r"\s", "")) != ""))
-    last = usable.groupBy("job_id", attempt.alias("attempt_id")).agg(F.max_by(F.struct("payload.*"), "sequence").alias("p"))
-    return emit(last.select(F.col("job_id").alias("id"), F.to_json(F.struct(F.col("p").alias("attempt"))).alias("payload")), EVENT)
+    fields = [x.split(" ") for x in SCHEMAS["attempt"].split(", ")]
+    known = set(events.schema["payload"].dataType.names)
+    last = usable.groupBy(F.col("job_id").alias("parent_id"), attempt.alias("child_key")).agg(F.max_by(F.struct("payload.*"), "sequence").alias("p"))
+    return last.select("parent_id", "child_key", *[(F.col(f"p.{f}") if f in known else F.lit(None)).cast(kind).alias(f) for f, kind in fields])
+
+
+def attempt_tables(events: DataFrame) -> DataFrame:
+    """The attempts as tagged rows."""
+    a = attempts(events)
+    return a.select(F.lit("attempt").alias("tag"), "parent_id", "child_key", F.to_json(F.struct(*[c for c in a.columns if c not in ("parent_id", "child_key")])).alias("payload"))
 
 
 def tagged_tables(jobs: DataFrame, reviews: DataFrame, events: DataFrame) -> DataFrame:

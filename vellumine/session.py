@@ -43,6 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the checkpoints itself, for tables and models that several queries share."""
+    return checkpoint_dir(spark).rstrip("/").rsplit("/", 1)[0]
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """A reliable checkpoint of df, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
