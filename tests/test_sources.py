@@ -93,7 +93,7 @@ def test_streams(spark, tmp_path):
     rows = lambda x: spark.createDataFrame(x, "job_id string, sequence bigint, to_status string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     rows([("a", 1, "ready", "2024-01-01 00:00:00"), ("a", 2, "running", "2024-01-01 00:10:00"), ("b", 1, "ready", "2024-01-01 01:00:00"), (None, 1, "x", "2024-01-01 00:00:00")]).coalesce(1).write.mode("append").parquet(str(src))
     read = lambda: spark.readStream.schema(schema).parquet(str(src))
-    q = flows.snapshot_sink(read(), "job_id", "sequence", ["to_status"], str(tmp_path / "snap"), str(tmp_path / "cp"), "0 seconds")
+    q = flows.snapshot_sink(read(), "job_id", "sequence", ["to_status"], str(tmp_path / "snap"), str(tmp_path / "cp"), "0 seconds", every=2)
     f = flows.state_fold(read(), {("ready", "running")}).writeStream.outputMode("update").format("memory").queryName("folds").option("checkpointLocation", str(tmp_path / "cp2")).start()
     q.processAllAvailable()
     f.processAllAvailable()
@@ -102,11 +102,44 @@ def test_streams(spark, tmp_path):
     f.processAllAvailable()
     q.stop()
     f.stop()
-    last = max((tmp_path / "snap").iterdir(), key=lambda p: int(p.name) if p.name.isdigit() else -1)
-    assert sorted((r.job_id, r.sequence) for r in spark.read.parquet(str(last)).collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    snap = str(tmp_path / "snap")
+    rows_now = lambda: sorted((r.job_id, r.sequence) for r in flows.read_snapshot(spark, snap, "job_id", "sequence").collect())
+    assert rows_now() == [("a", 3), ("b", 1), ("c", 1)]
+    assert len(list((tmp_path / "snap" / "base").iterdir())) == 1 and flows.drop_merged(spark, snap) == 2
+    assert rows_now() == [("a", 3), ("b", 1), ("c", 1)]
     folds = {(r.job_id, r.events): (r.state, r.illegal) for r in spark.sql("select * from folds").collect()}
     assert folds["a", 3] == ("ready", 1) and folds["a", 2] == ("running", 0)
     w = flows.windowed_counts(flows.once(read(), ["job_id", "sequence"], "ts", "1 hour"), "ts", "to_status", "1 hour", None)
     s = w.writeStream.outputMode("append").format("memory").queryName("wins").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     s.awaitTermination(60)
     assert sorted((r.to_status, r.n) for r in spark.sql("select * from wins").collect()) == [("ready", 1), ("running", 1), ("x", 1)]
+
+
+def test_late_events_do_not_set_a_state_back(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    schema = "job_id string, sequence bigint, to_status string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+    put([("a", 1, "ready"), ("a", 3, "done")])
+    f = flows.state_fold(spark.readStream.schema(schema).parquet(str(src)), {("ready", "running"), ("running", "done")})
+    q = f.writeStream.outputMode("update").format("memory").queryName("late_folds").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    put([("a", 2, "running"), ("a", 4, "ready")])
+    q.processAllAvailable()
+    q.stop()
+    last = max(spark.sql("select * from late_folds").collect(), key=lambda r: r.events)
+    assert (last.state, last.events, last.illegal, last.late) == ("ready", 4, 2, 1)
+
+
+def test_epub_navigation_and_metadata(spark):
+    data = sinks.epub_bytes("The Map", [("One", "a\n\nb"), ("Two", "c")])
+    meta, nav = archive.epub_metadata(data), archive.epub_navigation(data)
+    assert meta["title"] == ["The Map"] and nav == [(0, "One", "c0.xhtml", ""), (0, "Two", "c1.xhtml", "")]
+    ncx = io.BytesIO()
+    with zipfile.ZipFile(ncx, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/b.opf"/></rootfiles></container>')
+        z.writestr("OEBPS/b.opf", '<package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>A. Weiss</dc:creator><dc:language>en</dc:language></metadata><manifest><item id="x" href="c1.xhtml"/><item id="n" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="n"><itemref idref="x"/></spine></package>')
+        z.writestr("OEBPS/c1.xhtml", "<html><body><h1>A</h1></body></html>")
+        z.writestr("OEBPS/toc.ncx", '<ncx><navMap><navPoint playOrder="1"><navLabel><text> Part </text></navLabel><content src="c1.xhtml#a"/><navPoint><navLabel><text>Inner</text></navLabel><content src="c1.xhtml#b"/></navPoint></navPoint></navMap></ncx>')
+    assert archive.epub_navigation(ncx.getvalue()) == [(0, "Part", "OEBPS/c1.xhtml", "a"), (1, "Inner", "OEBPS/c1.xhtml", "b")]
+    assert archive.epub_metadata(ncx.getvalue()) == {"creator": ["A. Weiss"], "language": ["en"]}

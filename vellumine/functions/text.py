@@ -190,6 +190,19 @@ def safe_token(text: Column, size: int = 64) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")) & (F.length(text) <= size), F.lit(False))
 
 
+def safe_path(text: Column) -> Column:
+    """Whether a path stays inside its folder: relative, with no step up, no drive and no control character."""
+    bad = F.regexp_like(text, F.lit(r"(?:^|[/\\\\])\.\.(?:$|[/\\\\])|^[/\\\\]|^[A-Za-z]:|[\x00-\x1f]"))
+    return F.coalesce((text != "") & ~bad, F.lit(False))
+
+
+def safe_url(text: Column) -> Column:
+    """Whether an address may be written into a document: http, https, mailto, a fragment, or a safe relative path."""
+    low = F.lower(F.trim(text))
+    absolute = F.regexp_like(low, F.lit(r"^(?:https?://[^ \t\n<>\"]+|mailto:[^ \t\n<>\"@]+@[^ \t\n<>\"@]+|#[^ \t\n<>\"]+)$"))
+    return F.coalesce(absolute | (~F.regexp_like(low, F.lit(r"^[a-z][a-z0-9+.-]*:|[ \t\n<>\"]")) & safe_path(F.trim(text))), F.lit(False))
+
+
 def upper_case(text: Column) -> Column:
     """Whether a text has letters and none in lower case."""
     return (letters(text) > 0) & (F.upper(text) == text)

@@ -59,3 +59,16 @@ def restore(text: Column, values: Column, mark: str = "\ue000") -> Column:
     whole = F.array_sort(F.transform(seen, lambda x: x.cast("int"))) == F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
     filled = F.aggregate(F.sequence(F.lit(0), F.size(values)), text, lambda s, i: F.when(i < F.size(values), F.replace(s, F.concat(F.lit(mark), i.cast("string"), F.lit(mark)), F.get(values, i))).otherwise(s))
     return F.when(whole, F.when(F.size(values) == 0, text).otherwise(filled))
+
+
+def protect_terms(text: Column, terms: Column, mark: str = "\ue000") -> tuple[Column, Column]:
+    """As protect, for terms given as an array of plain texts, as whole words and the longest first."""
+    from .consensus import whole_words
+
+    held = F.array_sort(F.transform(whole_words(text, terms), lambda t: F.named_struct(F.lit("a"), -F.length(t), F.lit("t"), t)))
+    quoted = F.transform(held, lambda x: F.concat(F.lit("\\Q"), x["t"], F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}_])("), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}_])"))
+    values = F.when(F.size(held) > 0, F.regexp_extract_all(text, pattern, F.lit(1))).otherwise(F.array().cast("array<string>"))
+    pieces = F.split(text, F.when(F.size(held) > 0, pattern).otherwise(F.lit("(?!)")))
+    marked = F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 1), F.get(pieces, F.lit(0)), lambda s, i: F.concat(s, F.lit(mark), (i - 1).cast("string"), F.lit(mark), F.get(pieces, i)))
+    return F.when(F.size(values) == 0, text).otherwise(marked), values

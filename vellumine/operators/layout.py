@@ -6,6 +6,7 @@ bottom. Rows with null geometry give nothing.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,17 +33,22 @@ def margin_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"([0-9])[ \t]+(?=[0-9])", "$1")
 
 
+def _at_edge() -> Column:
+    """Lines in the top tenth or the bottom sixth of their page, and short ones in capitals in its top 18 in a hundred."""
+    upper = (F.col("top") <= 0.18 * F.col("page_height")) & (F.length("text") <= 80) & T.upper_case(F.col("text"))
+    return (F.col("top") <= 0.1 * F.col("page_height")) | (F.col("bottom") >= 0.84 * F.col("page_height")) | upper
+
+
 def margin_lines(lines: DataFrame, least: int = 3) -> DataFrame:
-    """The lines in the top tenth or the bottom sixth of their page whose key stands on at least so many pages."""
-    edge = lines.where((F.col("top") <= 0.1 * F.col("page_height")) | (F.col("bottom") >= 0.84 * F.col("page_height"))).withColumn("key", margin_key(F.col("text"))).where("key <> ''")
+    """The lines at the edge of their page whose key stands on at least so many pages."""
+    edge = lines.where(_at_edge()).withColumn("key", margin_key(F.col("text"))).where("key <> ''")
     strong = edge.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= least).select("doc_id", "key")
     return edge.join(strong, ["doc_id", "key"], "left_semi").select("doc_id", "page", "line_no", "key")
 
 
 def folios(lines: DataFrame) -> DataFrame:
     """doc_id, page, line_no, folio: margin numbers, misread digits included, whose offset from the page is confirmed on two pages by clean ones."""
-    edge = lines.where((F.col("top") <= 0.1 * F.col("page_height")) | (F.col("bottom") >= 0.84 * F.col("page_height")))
-    c = edge.select("doc_id", "page", "line_no", F.trim("text").alias("t")).withColumn("folio", T.confusable_digits(F.col("t"))).where("folio is not null").withColumn("offset", F.col("folio") - F.col("page"))
+    c = lines.where(_at_edge()).select("doc_id", "page", "line_no", F.trim("text").alias("t")).withColumn("folio", T.confusable_digits(F.col("t"))).where("folio is not null").withColumn("offset", F.col("folio") - F.col("page"))
     ok = c.where(F.regexp_like("t", F.lit("^[0-9]+$"))).groupBy("doc_id", "offset").agg(F.countDistinct("page").alias("n")).where("n >= 2").select("doc_id", "offset")
     return c.join(ok, ["doc_id", "offset"], "left_semi").select("doc_id", "page", "line_no", "folio")
 
@@ -68,11 +74,67 @@ def box_pairs(left: DataFrame, right: DataFrame, by: list[str], share: float = 0
     return j.where(common > share * F.least(area("l"), area("r"))).drop("_cx", "_cy")
 
 
-def dedupe_characters(chars: DataFrame) -> DataFrame:
-    """The characters, one of each pile: equal text, font and rounded size at nearly the same place; the first stays."""
-    place = [F.round("size", 2).alias("_s"), F.round(F.col("x0") * 2).alias("_gx"), F.round(F.col("top") * 2).alias("_gy")]
-    w = W.partitionBy("doc_id", "page", "text", "font", "upright", "_s", "_gx", "_gy").orderBy("line_no", "char_no")
-    return chars.select("*", *place).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_s", "_gx", "_gy")
+def dedupe_characters(chars: DataFrame, share: float = 0.5) -> DataFrame:
+    """The characters, one of each pile: equal text, font, uprightness and rounded size, overlapping by a share of the smaller.
+
+    Characters of a line are joined, by top and left edge, to the first pile that any of whose members they overlap; the
+    one nearest to the pile's median place stays, in a tie the first. Lines are small groups whatever the corpus.
+    """
+    order = ["line_no", "char_no"]
+
+    def thin(t: pd.DataFrame) -> pd.DataFrame:
+        keep: list[int] = []
+        boxes = t[["x0", "x1", "top", "bottom"]].to_numpy(float)
+        kinds = list(zip(t["text"], t["font"], t["upright"], t["size"].round(2)))
+        piles: dict[tuple, list[list[int]]] = {}
+        for i in sorted(range(len(t)), key=lambda i: (boxes[i][2], boxes[i][0], i)):
+            for pile in piles.setdefault(kinds[i], []):
+                if any(_covers(boxes[i], boxes[j]) >= share for j in pile):
+                    pile.append(i)
+                    break
+            else:
+                piles[kinds[i]].append([i])
+        for groups in piles.values():
+            for pile in groups:
+                mid = np.median(boxes[pile], axis=0)
+                keep.append(min(pile, key=lambda i: (round(float(np.abs(boxes[i] - mid).sum()), 6), i)))
+        return t.iloc[sorted(keep)]
+
+    clean = chars.where("x0 is not null and x1 is not null and top is not null and bottom is not null")
+    return clean.sort(*order).groupBy("doc_id", "page", "line_no").applyInPandas(lambda t: thin(t.sort_values(order)), chars.schema)
+
+
+def _covers(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of the smaller of two boxes that both cover."""
+    w, h = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
+    least = min((a[1] - a[0]) * (a[3] - a[2]), (b[1] - b[0]) * (b[3] - b[2]))
+    return w * h / least if w > 0 and h > 0 and least > 0 else 0.0
+
+
+def page_quality(lines: DataFrame) -> DataFrame:
+    """doc_id, page, quality: the score of a page's text, less for short broken lines and for turned ones.
+
+    lines: doc_id, page, line_no, text, rotated. Lines of at most two letters cost up to .30, turned ones up to .25.
+    """
+    x = lines.where(F.trim("text") != "").withColumn("_n", T.letters(F.col("text"))).withColumn("_l", F.struct("line_no", "text"))
+    g = x.groupBy("doc_id", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda s: s.text), "\n").alias("t"),
+        (F.count_if((F.col("_n") > 0) & (F.col("_n") <= 2)) / F.greatest(F.lit(1), F.count_if(F.col("_n") > 0))).alias("short"),
+        (F.count_if(F.coalesce("rotated", F.lit(False))) / F.count(F.lit(1))).alias("turned"),
+    )
+    score = T.quality(F.col("t")) - F.least(F.lit(0.30), 0.35 * F.col("short")) - F.least(F.lit(0.25), 0.4 * F.col("turned"))
+    return g.select("doc_id", "page", F.round(F.greatest(F.lit(0.0), score), 6).alias("quality"))
+
+
+def accepted_tables(tables: DataFrame) -> DataFrame:
+    """doc_id, page, table_no of the tables that count: two rows, two columns, four filled cells, a box inside the page.
+
+    tables: doc_id, page, table_no, x0, top, x1, bottom, page_width, page_height, rows.
+    """
+    filled = F.size(F.filter(F.flatten("rows"), lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    inside = (F.col("x0") >= 0) & (F.col("top") >= 0) & (F.col("x1") <= F.col("page_width")) & (F.col("bottom") <= F.col("page_height")) & (F.col("x1") > F.col("x0")) & (F.col("bottom") > F.col("top"))
+    return tables.where((F.size("rows") >= 2) & (width >= 2) & (filled >= 4) & inside).select("doc_id", "page", "table_no")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -126,16 +188,40 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 
 def needs_ocr(pages: DataFrame) -> DataFrame:
-    """doc_id, page, needs: pages whose text layer cannot be trusted: damaged, nearly empty below a full image, or of low quality.
+    """doc_id, page, quality, needs: pages whose text layer cannot be trusted.
 
-    pages: doc_id, page, text, image_ratio (largest image by page area, null for none).
+    They are damaged, hold a table that is not reliable, a part-page image, a full image over little text, numbers made
+    of letters, or text of low quality. pages: doc_id, page, text, image_ratio (largest image by page area, null for
+    none); table_reliable where known.
     """
-    q, n = T.quality(F.coalesce("text", F.lit(""))), T.letters(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    q, n = T.quality(text), T.letters(text)
     image = F.coalesce("image_ratio", F.lit(0.0))
-    needs = T.damaged(F.coalesce("text", F.lit(""))) | ((image >= 0.05) & (image < 0.85)) | ((image >= 0.85) & (n < 40)) | (((n > 0) | (image > 0)) & (q < 0.48))
+    table = ~F.coalesce("table_reliable", F.lit(True)) if "table_reliable" in pages.columns else F.lit(False)
+    glyphs = T.count_of(text, r"(?:^|[^\p{L}\p{N}])(?:[0-9]+[IlOoS][0-9IlOoS]*|[IlOoS]+[0-9][0-9IlOoS]*)(?:$|[^\p{L}\p{N}])") >= 2
+    needs = table | T.damaged(text) | glyphs | ((image >= 0.05) & (image < 0.85)) | ((image >= 0.85) & (n < 40)) | (((n > 0) | (image > 0)) & (q < 0.48))
     return pages.select("doc_id", "page", q.alias("quality"), needs.alias("needs"))
 
 
+def replaced_by_ocr(pages: DataFrame) -> DataFrame:
+    """doc_id, page, replace: whether a second reading takes the place of a page's own text.
+
+    pages: doc_id, page, native, scanned, has_table. Pages with a table need nearly as good a reading; pages with hardly
+    a letter take any fair one; damaged pages need most of the letters and a better score; poor ones a clearly better.
+    """
+    a, b = F.coalesce("native", F.lit("")), F.coalesce("scanned", F.lit(""))
+    qa, qb, na, nb = T.quality(a), T.quality(b), T.letters(a), T.letters(b)
+    replace = (
+        F.when(nb == 0, F.lit(False))
+        .when(F.coalesce("has_table", F.lit(False)), qb >= F.greatest(F.lit(0.42), qa - 0.08))
+        .when(na < 10, (nb >= 10) & (qb >= 0.42))
+        .when(T.damaged(a), (nb >= 0.65 * na) & (qb >= F.greatest(F.lit(0.50), qa + 0.08)) & (T.suspicious(b) < T.suspicious(a)))
+        .when(qa < 0.48, (nb >= F.greatest(F.lit(10.0), 0.55 * na)) & (qb >= F.greatest(F.lit(0.50), qa + 0.12)))
+        .otherwise(F.lit(False))
+    )
+    return pages.select("doc_id", "page", replace.alias("replace"))
+
+
 def render_table(rows: Column) -> Column:
     """Markdown of a table of up to 8 columns, 80 rows and 220 characters a cell without line ends; HTML beyond, text beyond 16 columns or 2,000 characters.
 

@@ -36,7 +36,7 @@ def archive_error(data: bytes) -> str | None:
             infos = z.infolist()
             if len(infos) > MEMBERS:
                 return "too many members"
-            if any(i.flag_bits & 1 for i in infos):
+            if any(i.flag_bits & 1 for i in infos) or _locked(z):
                 return "encrypted"
             if any(i.file_size > MEMBER_BYTES for i in infos) or sum(i.file_size for i in infos) > TOTAL_BYTES:
                 return "too large"
@@ -49,6 +49,17 @@ def archive_error(data: bytes) -> str | None:
     return None
 
 
+def _locked(z: zipfile.ZipFile) -> bool:
+    """Whether an EPUB's list of encrypted members names any but fonts."""
+    if "META-INF/encryption.xml" not in z.namelist():
+        return False
+    try:
+        named = [e.get("URI", "") for e in ElementTree.fromstring(z.read("META-INF/encryption.xml")).iter() if e.tag.rsplit("}", 1)[-1] == "CipherReference"]
+    except ElementTree.ParseError:
+        return True
+    return any(not n.lower().endswith((".otf", ".ttf", ".woff", ".woff2")) for n in named)
+
+
 class _Markdown(HTMLParser):
     """Markdown of HTML: headings, paragraphs, lists, quotes, code, tables, links, images, emphasis."""
 
@@ -209,10 +220,7 @@ def epub_parts(data: bytes) -> tuple[list[tuple], list[str]]:
     faults = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        root = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        opf = next(e.get("full-path") for e in root.iter() if local(e) == "rootfile")
-        package = ElementTree.fromstring(z.read(opf))
-        base = posixpath.dirname(opf)
+        base, package = _package(z)
         items = {e.get("id"): posixpath.normpath(posixpath.join(base, e.get("href", ""))) for e in package.iter() if local(e) == "item"}
         faults += [f"missing file {p}" for p in items.values() if p not in names]
         chapters = []
@@ -225,6 +233,101 @@ def epub_parts(data: bytes) -> tuple[list[tuple], list[str]]:
     return chapters, faults
 
 
+def _package(z: zipfile.ZipFile) -> tuple[str, ElementTree.Element]:
+    """The folder and the root of an EPUB's package."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+    opf = next(e.get("full-path") for e in root.iter() if local(e) == "rootfile")
+    return posixpath.dirname(opf), ElementTree.fromstring(z.read(opf))
+
+
+def epub_metadata(data: bytes) -> dict[str, list[str]]:
+    """The values of each Dublin Core field of an EPUB, in order; blank ones are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        _, package = _package(z)
+    out: dict[str, list[str]] = {}
+    for e in package.iter():
+        if e.tag.startswith("{http://purl.org/dc/elements/1.1/}") and (text := " ".join("".join(e.itertext()).split())):
+            out.setdefault(e.tag.rsplit("}", 1)[-1], []).append(text)
+    return out
+
+
+def epub_navigation(data: bytes) -> list[tuple[int, str, str, str]]:
+    """(depth, label, member, fragment) of an EPUB's table of contents: of its navigation document, else of its NCX; empty where it has neither."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    flat = lambda e: " ".join("".join(e.itertext()).split())
+
+    def link(base: str, target: str) -> tuple[str, str]:
+        path, _, fragment = target.partition("#")
+        return posixpath.normpath(posixpath.join(base, path)) if path else "", fragment
+
+    out: list[tuple[int, str, str, str]] = []
+
+    def listed(node: ElementTree.Element, depth: int, base: str) -> None:
+        for item in node:
+            if local(item) == "ol":
+                listed(item, depth, base)
+            elif local(item) == "li":
+                for e in item:
+                    if local(e) in ("a", "span"):
+                        out.append((depth, flat(e), *link(base, e.get("href", ""))))
+                    elif local(e) == "ol":
+                        listed(e, depth + 1, base)
+
+    def points(node: ElementTree.Element, depth: int, base: str) -> None:
+        for p in node:
+            if local(p) == "navPoint":
+                label = next((flat(x) for x in p if local(x) == "navLabel"), "")
+                target = next((x.get("src", "") for x in p if local(x) == "content"), "")
+                out.append((depth, label, *link(base, target)))
+                points(p, depth + 1, base)
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        folder, package = _package(z)
+        items = [e for e in package.iter() if local(e) == "item"]
+        for nav in (e for e in items if "nav" in (e.get("properties") or "").split()):
+            member = posixpath.normpath(posixpath.join(folder, nav.get("href", "")))
+            doc = ElementTree.fromstring(z.read(member))
+            found = [e for e in doc.iter() if local(e) == "nav"]
+            kinds = [next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "type"), "") for e in found]
+            for e, kind in zip(found, kinds):
+                if kind == "toc" or ("toc" not in kinds and e is found[0]):
+                    listed(e, 0, posixpath.dirname(member))
+        if not out:
+            spine = next((e for e in package.iter() if local(e) == "spine"), None)
+            named = spine.get("toc") if spine is not None else None
+            for ncx in (e for e in items if e.get("id") == named or e.get("media-type") == "application/x-dtbncx+xml"):
+                member = posixpath.normpath(posixpath.join(folder, ncx.get("href", "")))
+                for m in (e for e in ElementTree.fromstring(z.read(member)).iter() if local(e) == "navMap"):
+                    points(m, 0, posixpath.dirname(member))
+                break
+    return out
+
+
+def books(archives: DataFrame) -> DataFrame:
+    """path, kind, place, depth, label, value: metadata (kind meta) and contents entries (kind nav) of each EPUB.
+
+    archives: path, content. Archives that cannot be read, and parts that they lack, give nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, data in b.itertuples(index=False):
+                raw = bytes(data)
+                if archive_error(raw) is not None:
+                    continue
+                try:
+                    rows += [(p, "meta", i, 0, name, v) for name, values in sorted(epub_metadata(raw).items()) for i, v in enumerate(values)]
+                    rows += [(p, "nav", i, depth, label, f"{member}#{fragment}" if fragment else member) for i, (depth, label, member, fragment) in enumerate(epub_navigation(raw))]
+                except (KeyError, StopIteration, ElementTree.ParseError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "kind", "place", "depth", "label", "value"])
+
+    rows = archives.where("path is not null and content is not null").select("path", "content")
+    return rows.mapInPandas(run, "path string, kind string, place int, depth int, label string, value string")
+
+
 def to_markdown(path: str, data: bytes) -> str:
     """A file's Markdown, by its extension."""
     kind = path.rsplit(".", 1)[-1].lower()
