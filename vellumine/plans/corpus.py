@@ -9,6 +9,7 @@ from ..functions import dialect as D
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import consensus as C
+from ..operators import fidelity as V
 from ..session import table
 
 
@@ -114,6 +115,26 @@ def page_marks(s: SparkSession, d: str) -> DataFrame:
     return p.groupBy("export_id", "page").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
 
 
+def tag_counts(s: SparkSession, d: str) -> DataFrame:
+    return V.tag_counts(_exports(s, d), "export_id", "primary_markdown")
+
+
+def list_breaks(s: SparkSession, d: str) -> DataFrame:
+    return V.list_breaks(_exports(s, d), "export_id", "primary_markdown")
+
+
+def block_context(s: SparkSession, d: str) -> DataFrame:
+    return V.context(B.explode_blocks(_exports(s, d), "export_id", "primary_markdown"), "export_id", "position", "block", 40)
+
+
+def publication_years(s: SparkSession, d: str) -> DataFrame:
+    return _documents(s, d).select("doc_id", T.publication_year(F.col("text")).alias("year")).where("year is not null")
+
+
+def emphasis_stretches(s: SparkSession, d: str) -> DataFrame:
+    return V.emphasis_pairs(_exports(s, d), "export_id", "primary_markdown").groupBy("export_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def chunk_plan(s: SparkSession, d: str) -> DataFrame:
     b = B.explode_blocks(_exports(s, d), "export_id", "primary_markdown")
     p = B.plan_chunks(b, "export_id")
@@ -259,6 +280,30 @@ SQL: dict[str, str] = {
             SELECT f.export_id, f.position, CASE WHEN s.fits THEN w.chunk_no ELSE w.chunk_no + 1 END, CASE WHEN s.fits THEN w.used + f.n + 2 ELSE f.n END, CASE WHEN s.fits THEN w.held + f.v ELSE f.v END, f.n, f.alone
             FROM walk w JOIN facts f ON f.export_id = w.export_id AND f.position = w.position + 1, LATERAL (SELECT NOT w.alone AND NOT f.alone AND w.used + f.n + 2 <= 4000 AND w.held + f.v <= 16 AS fits) s)
         SELECT export_id, chunk_no, count(*) AS blocks, sum(n)::BIGINT AS chars FROM walk GROUP BY ALL""",
+    "tag_counts": f"""
+        SELECT export_id, lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, count(*) FILTER (NOT starts_with(t, '</')) AS opened,
+            count(*) FILTER (starts_with(t, '</') OR ends_with(t, '/>') OR lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) IN ('br', 'hr', 'img', 'meta', 'link', 'input', 'col')) AS closed
+        FROM (SELECT export_id, unnest(regexp_extract_all(regexp_replace(regexp_replace({D.unix('primary_markdown')}, '(?s)<!--.*?-->', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '</?[A-Za-z][A-Za-z0-9]*(?:[ \\t][^<>\\n]*)?/?>')) AS t FROM {EXPORTS}) GROUP BY ALL""",
+    "list_breaks": f"""
+        WITH l AS (SELECT export_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM (SELECT export_id, {D.unix('primary_markdown')} AS t FROM {EXPORTS})),
+        x AS (SELECT export_id, line_no, TRY_CAST(regexp_extract(line, '^[ \\t]{{0,3}}([0-9]{{1,6}})[.)][ \\t]', 1) AS INT) AS stated FROM l WHERE trim(line) <> ''),
+        y AS (SELECT *, lag(stated) OVER (PARTITION BY export_id ORDER BY line_no) AS before FROM x)
+        SELECT export_id, line_no::INT AS line_no, stated, before + 1 AS expected FROM y WHERE stated IS NOT NULL AND before IS NOT NULL AND stated <> 1 AND stated <> before + 1""",
+    "block_context": f"""
+        WITH {_BLOCKS}, f AS (SELECT export_id, position, trim(regexp_replace(block, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM blocks)
+        SELECT export_id, position, right(lag(t) OVER w, 40) AS before, left(lead(t) OVER w, 40) AS after FROM f WINDOW w AS (PARTITION BY export_id ORDER BY position)""",
+    "publication_years": f"""
+        SELECT doc_id, years[len(years)] AS year FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[0-9]{{5,}}', ' ', 'g'), '(?:1[4-9]|20)[0-9][0-9]'), lambda y: y::INT), lambda y: y >= 1450) AS years FROM {DOCS})
+        WHERE len(years) > 0""",
+    "spelling_outliers": f"""
+        WITH w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{6,}}')) AS word FROM {DOCS}) GROUP BY ALL),
+        near AS (SELECT a.doc_id, a.word, b.word AS good FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n >= 4 AND lower(left(a.word, 3)) = lower(left(b.word, 3)) AND lower(right(a.word, 2)) = lower(right(b.word, 2))
+            WHERE damerau_levenshtein(lower(a.word), lower(b.word)) = 1)
+        SELECT doc_id, word, min(good) AS "right" FROM near GROUP BY ALL HAVING count(*) = 1""",
+    "conversion_damage": f"""
+        WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}+|[^\\p{{L}}]+') AS x FROM {DOCS})
+        SELECT doc_id FROM w WHERE contains(text, chr(65533)) OR regexp_matches(text, '(?:^|[^\\p{{L}}0-9_])(?:\\p{{L}} ){{5,}}\\p{{L}}')
+            OR len(list_filter(range(1, len(x) - 3), lambda i: length(x[i]) >= 2 AND regexp_matches(x[i], '^\\p{{L}}') AND x[i] = x[i + 2] AND x[i] = x[i + 4] AND regexp_full_match(x[i + 1], '[ \\t\\n]+') AND regexp_full_match(x[i + 3], '[ \\t\\n]+'))) > 0""",
     "word_counts": f"""
         SELECT word, sum(n)::BIGINT AS n, count(*) AS documents FROM (
             SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM {DOCS}) GROUP BY ALL) GROUP BY word""",
@@ -287,6 +332,6 @@ QUERIES = {
     for f in (
         doc_quality_score, quality_by_source, prose_text, letter_counts, text_fingerprints, excerpts, title_slugs, language_codes, number_tokens, symbol_tokens,
         link_targets, conversion_damage, title_lines, structural_ledger, heading_levels, heading_outline, text_blocks, block_roles, table_shapes, chapter_split,
-        page_marks, chunk_plan, word_counts, doc_terms, spelling_outliers, repeated_margins, duplicate_documents, format_sizes,
+        page_marks, chunk_plan, tag_counts, list_breaks, block_context, publication_years, emphasis_stretches, word_counts, doc_terms, spelling_outliers, repeated_margins, duplicate_documents, format_sizes,
     )
 }

@@ -9,6 +9,7 @@ from ..functions import dialect as D
 from ..functions import text as T
 from ..operators import compare as P
 from ..operators import consensus as C
+from ..operators import fidelity as V
 from ..session import table
 
 
@@ -95,6 +96,26 @@ def glossary_duplicates(s: SparkSession, d: str) -> DataFrame:
     return C.glossary_duplicates(table(s, d, "translation_cases").select("id", "glossary").distinct(), "id", "glossary")
 
 
+def strict_findings(s: SparkSession, d: str) -> DataFrame:
+    return V.findings(_cases(s, d), "id", "source", "expected").groupBy("rule").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def heading_fidelity(s: SparkSession, d: str) -> DataFrame:
+    return V.heading_fidelity(_cases(s, d), "id", "source", "expected")
+
+
+def heading_variants(s: SparkSession, d: str) -> DataFrame:
+    return V.heading_variants(_cases(s, d), "id", "source", "expected")
+
+
+def polarity_pairs(s: SparkSession, d: str) -> DataFrame:
+    return V.polarity(_spoken(s, d), "id", "source", "expected", "source_code", "target_code")
+
+
+def segment_issues(s: SparkSession, d: str) -> DataFrame:
+    return V.segment_issues(_cases(s, d), "id", "source", "expected")
+
+
 CASES = "(SELECT DISTINCT id, source, expected FROM translation_cases WHERE source IS NOT NULL AND expected IS NOT NULL)"
 ANSWERS = """(SELECT DISTINCT name, i - 1 AS response_no, answer, expected FROM (SELECT name, unnest(responses) AS answer, generate_subscripts(responses, 1) AS i, expected FROM response_cases)
             WHERE answer IS NOT NULL AND expected IS NOT NULL)"""
@@ -191,6 +212,39 @@ def _whole(text: str, term: str) -> str:
     return f"regexp_matches({text}, '(^|{other})' || regexp_escape(lower(trim({term}))) || '($|{other})')"
 
 
+_FENCES = "(?ms)^[ \\t]{0,3}```+[^\\n]*$.*?(^[ \\t]{0,3}```+[ \\t]*$|\\z)"
+_HEADS = "regexp_extract_all({}, '(?m)^[ \\t]{{0,3}}#{{1,6}}[ \\t]+([^\\n]+)$', 1)"
+
+
+def _strict() -> dict[str, str]:
+    """The checks of two versions, each as a list of a column {}."""
+    bare = f"regexp_replace({D.unix('{}')}, '{_FENCES}', ' ', 'g')"
+    roman = "regexp_extract_all({}, '(?:^|[^\\p{L}\\p{N}_])((?:X{0,3}(?:IX|IV|V?I{2,3}|VI?)|X{1,3}|XL|LX{0,3}|XC|C{1,3})(?:$|[^\\p{L}\\p{N}_]))', 1)"
+    return {
+        "numbers": f"list_sort({D.number_tokens('{}')})", "symbols": f"list_sort({D.symbol_tokens('{}')})", "roman": f"list_sort(list_filter(list_transform({roman}, lambda x: regexp_replace(x, '[^IVXLC]', '', 'g')), lambda x: x <> 'I'))",
+        "addresses": f"list_sort(regexp_extract_all({D.unix('{}')}, '!?\\[[^\\]\\n]*\\]\\(<?([^)>\\n]+)>?\\)', 1))", "code": f"list_sort(regexp_extract_all({bare}, '`([^`\\n]+)`', 1))",
+        "fences": f"regexp_extract_all({D.unix('{}')}, '(?m)^[ \\t]{{0,3}}(?:```|~~~)')", "headings": f"list_transform(regexp_extract_all({bare}, '(?m)^[ \\t]{{0,3}}(#{{1,6}})[ \\t]', 1), lambda h: length(h))",
+        "tables": f"list_transform(regexp_extract_all({bare}, '(?m)^[ \\t]*\\|[^\\n]*\\|[ \\t]*$'), lambda x: len(string_split(x, '|')))", "lists": f"list_transform(regexp_extract_all({bare}, '(?m)^[ \\t]{{0,3}}(?:[-*+]|[0-9]{{1,9}}[.)])[ \\t]'), lambda x: regexp_matches(x, '[0-9]'))",
+        "quotes": f"list_transform(regexp_extract_all({bare}, '(?m)^[ \\t]{{0,3}}>+'), lambda x: trim(x))", "images": "regexp_extract_all({}, '!\\[[^\\]\\n]*\\]\\(([^)\\n]*)\\)', 1)",
+        "comments": "list_transform(regexp_extract_all({}, '(?s)<!--(.*?)-->', 1), lambda x: trim(x))", "tags": f"list_transform(regexp_extract_all(regexp_replace({bare}, '(?s)<!--.*?-->', ' ', 'g'), '</?[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x))",
+    }
+
+
+def _unequal(rule: str) -> str:
+    return f"({rule.replace('{}', 'source').replace('{{', '{').replace('}}', '}')}) <> ({rule.replace('{}', 'expected').replace('{{', '{').replace('}}', '}')})"
+
+
+_DENIED = {
+    "en": "no|not|never|none|nobody|nothing|neither|nor|cannot|without", "es": "no|nunca|jamás|nadie|nada|ninguno|ninguna|tampoco|sin", "fr": "ne|jamais|personne|rien|aucun|aucune|sans",
+    "de": "nicht|kein|keine|keinen|nie|niemals|niemand|nichts|ohne", "pt": "não|nunca|jamais|ninguém|nada|nenhum|nenhuma|sem", "it": "non|mai|nessuno|niente|nulla|nessuna|senza",
+}
+
+
+def _denied(text: str, code: str) -> str:
+    flat = f"' ' || regexp_replace(regexp_replace(lower({text}), 'n[’''’]t([^\\p{{L}}]|$)', ' not\\1', 'g'), '[^\\p{{L}}]+', '  ', 'g') || ' '"
+    return "CASE " + " ".join(f"WHEN {code} = '{c}' THEN len(regexp_extract_all({flat}, ' (?:{w}) '))" for c, w in _DENIED.items()) + " END"
+
+
 SQL: dict[str, str] = {
     "block_alignment": f"""
         SELECT id, len(a) AS source_blocks, len(b) AS target_blocks, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: trim(a[i], chr(10)) = trim(b[i], chr(10)))) AS unchanged
@@ -237,6 +291,17 @@ SQL: dict[str, str] = {
         e AS (SELECT id, source, expected, glossary, unnest(glossary) AS g FROM c),
         x AS (SELECT id, g.source AS term, g.target AS wanted, {_hidden('source', 'source')} AS s, {_hidden("coalesce(expected, '')", 'target')} AS t FROM e WHERE trim(g.source) <> '')
         SELECT DISTINCT id, term, wanted, coalesce({_whole('t', 'wanted')} AND trim(wanted) <> '', false) AS in_target FROM x WHERE {_whole('s', 'term')}""",
+    "strict_findings": " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) AS cases FROM {CASES} WHERE {_unequal(rule)} HAVING count(*) > 0" for name, rule in _strict().items()),
+    "heading_fidelity": f"""
+        SELECT id, CASE WHEN len(b) < len(a) THEN 'missing' WHEN len(b) > len(a) THEN 'added' ELSE 'levels' END AS issue, array_to_string(a, ' ') AS expected, array_to_string(b, ' ') AS actual
+        FROM (SELECT id, {_levels('source')} AS a, {_levels('expected')} AS b FROM {CASES}) WHERE a <> b""",
+    "heading_variants": f"""
+        SELECT id, heading, count(DISTINCT other) AS variants FROM (SELECT id, lower(trim(unnest(a))) AS heading, lower(trim(unnest(b))) AS other FROM (
+            SELECT id, {_HEADS.format(D.unix('source'))} AS a, {_HEADS.format(D.unix('expected'))} AS b FROM {CASES}) WHERE len(a) = len(b)) GROUP BY ALL HAVING count(DISTINCT other) > 1""",
+    "polarity_pairs": f"""
+        SELECT id, a AS source_denials, b AS target_denials FROM (
+            SELECT id, {_denied('source', 'sl')} AS a, {_denied('expected', 'tl')} AS b
+            FROM (SELECT DISTINCT id, source, expected, {D.language_code('source_lang')} AS sl, {D.language_code('target_lang')} AS tl FROM translation_cases WHERE source IS NOT NULL AND expected IS NOT NULL)) WHERE (a = 0) <> (b = 0)""",
     "glossary_duplicates": """
         SELECT id, lower(g.source) AS term, count(*) AS n FROM (SELECT id, unnest(glossary) AS g FROM (SELECT DISTINCT id, glossary FROM translation_cases WHERE glossary IS NOT NULL))
         WHERE g.source IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
@@ -246,6 +311,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         number_conservation, number_fidelity, roman_conservation, code_conservation, symbol_conservation, address_conservation, coverage_ratio, block_alignment, issue_totals, revision_risk, revision_hunks,
-        near_duplicate_blocks, page_overlap, glossary_hits, glossary_duplicates,
+        near_duplicate_blocks, page_overlap, glossary_hits, glossary_duplicates, strict_findings, heading_fidelity, heading_variants, polarity_pairs, segment_issues,
     )
 }
