@@ -77,3 +77,11 @@ def language_code(x: str) -> str:
     low = f"lower(trim({x}))"
     case = lambda y: "CASE " + y + " " + " ".join(f"WHEN {q(n)} THEN {q(c)}" for n, c in table.items()) + " END"
     return f"coalesce({case(low)}, {case(f'regexp_extract({low}, {q("^([^-_]+)")}, 1)')})"
+
+
+def one_edit(a: str, b: str, swaps: bool = False) -> str:
+    """Whether two words differ by one letter more, less or other, or by neighbours that changed places; by characters, not bytes."""
+    drop = lambda x, y: f"(length({x}) = length({y}) + 1 AND len(list_filter(range(1, length({x}) + 1), lambda i: substring({x}, 1, i - 1) || substring({x}, i + 1) = {y})) > 0)"
+    other = f"(length({a}) = length({b}) AND len(list_filter(range(1, length({a}) + 1), lambda i: substring({a}, i, 1) <> substring({b}, i, 1))) = 1)"
+    swap = f"(length({a}) = length({b}) AND {a} <> {b} AND len(list_filter(range(1, length({a})), lambda i: substring({a}, 1, i - 1) || substring({a}, i + 1, 1) || substring({a}, i, 1) || substring({a}, i + 2) = {b})) > 0)"
+    return f"({other} OR {drop(a, b)} OR {drop(b, a)}{f' OR {swap}' if swaps else ''})"

@@ -298,7 +298,7 @@ SQL: dict[str, str] = {
     "spelling_outliers": f"""
         WITH w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{6,}}')) AS word FROM {DOCS}) GROUP BY ALL),
         near AS (SELECT a.doc_id, a.word, b.word AS good FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n >= 4 AND lower(left(a.word, 3)) = lower(left(b.word, 3)) AND lower(right(a.word, 2)) = lower(right(b.word, 2))
-            WHERE damerau_levenshtein(lower(a.word), lower(b.word)) = 1)
+            WHERE {D.one_edit('lower(a.word)', 'lower(b.word)', True)})
         SELECT doc_id, word, min(good) AS "right" FROM near GROUP BY ALL HAVING count(*) = 1""",
     "conversion_damage": f"""
         WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}+|[^\\p{{L}}]+') AS x FROM {DOCS})

@@ -81,7 +81,7 @@ SQL: dict[str, str] = {
         WITH w AS (SELECT export_id, t AS good, count(*) AS n FROM (SELECT export_id, unnest(regexp_extract_all(lower(primary_markdown), '\\p{{L}}{{5,}}')) AS t FROM {EXPORTS}) GROUP BY ALL),
         p AS (SELECT DISTINCT identifier, export_id, unnest(regexp_extract_all(lower(markdown), '\\p{{L}}{{5,}}')) AS token FROM pdf_review_issues WHERE markdown IS NOT NULL),
         q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.export_id = p.export_id AND w.good = p.token)),
-        near AS (SELECT identifier, token, good FROM q JOIN w ON q.export_id = w.export_id WHERE abs(length(token) - length(good)) <= 1 AND n >= 3 AND levenshtein(token, good) = 1)
+        near AS (SELECT identifier, token, good FROM q JOIN w ON q.export_id = w.export_id WHERE abs(length(token) - length(good)) <= 1 AND n >= 3 AND {D.one_edit('token', 'good')})
         SELECT identifier, token, min(good) AS "right" FROM near GROUP BY ALL HAVING count(DISTINCT good) = 1""",
     "emphasis_spans": f"""
         SELECT export_id, {D.count_of('t', r'\*\*[^*\n]+\*\*')} AS strong, {D.count_of(f"regexp_replace(t, {D.q(r'\*\*[^*\n]+\*\*')}, ' ', 'g')", r'\*[^* \t\n][^*\n]*\*')} AS light, {D.count_of('t', r'`[^`\n]+`')} AS code

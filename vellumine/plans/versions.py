@@ -71,7 +71,13 @@ def issue_totals(s: SparkSession, d: str) -> DataFrame:
 
 
 def revision_risk(s: SparkSession, d: str) -> DataFrame:
-    return P.revision_risk(_answers(s, d), ["name", "response_no"], "expected", "answer")
+    """The answers that a rule of counts and forms judges risky; those that only word similarity finds are revision_rewrites."""
+    return P.revision_risk(_answers(s, d), ["name", "response_no"], "expected", "answer").where("reason not in ('none', 'rewritten')")
+
+
+def revision_rewrites(s: SparkSession, d: str) -> DataFrame:
+    r = P.revision_risk(_answers(s, d), ["name", "response_no"], "expected", "answer")
+    return r.where("reason = 'rewritten'").select("name", "response_no")
 
 
 def revision_hunks(s: SparkSession, d: str) -> DataFrame:
@@ -268,7 +274,7 @@ SQL: dict[str, str] = {
             SELECT DISTINCT 'numbers' AS kind, id FROM ({_NUMBERS}) UNION ALL SELECT DISTINCT 'addresses', id FROM ({_URLS})
             UNION ALL SELECT concat('coverage_', issue), id FROM ({_COVER}) WHERE issue IS NOT NULL) GROUP BY kind""",
     "revision_risk": f"""
-        SELECT name, response_no, CASE WHEN reason = 'none' THEN 'low' ELSE 'high' END AS risk, reason FROM (
+        SELECT name, response_no, 'high' AS risk, reason FROM (
             SELECT name, response_no, CASE WHEN list_sort({D.number_tokens('expected')}) <> list_sort({D.number_tokens('answer')}) THEN 'numbers'
                 WHEN ({_jumps('answer')} AND NOT {_jumps('expected')}) OR (len({_levels('expected')}) = 0 AND coalesce(list_max({_levels('answer')}) > 3, false)) THEN 'structure'
                 WHEN (trim(expected) = '') <> (trim(answer) = '') THEN 'emptied'
@@ -276,10 +282,8 @@ SQL: dict[str, str] = {
                 WHEN {_headings_only('expected')} AND {_headings_only('answer')} AND trim(expected) <> '' AND trim(expected) <> trim(answer) THEN 'headings'
                 WHEN {_nblocks('expected')} <> {_nblocks('answer')} THEN 'blocks'
                 WHEN len({_words('expected')}) >= 8 AND (len({_words('answer')}) / len({_words('expected')}) < 0.8 OR len({_words('answer')}) / len({_words('expected')}) > 1.25) THEN 'length'
-                WHEN len({_words('expected')}) >= 10 AND 2 * list_sum(list_transform(list_distinct({_words('expected')}), lambda w: least(len(list_filter({_words('expected')}, lambda x: x = w)), len(list_filter({_words('answer')}, lambda x: x = w)))))
-                    / (len({_words('expected')}) + len({_words('answer')})) < 0.55 THEN 'rewritten'
                 ELSE 'none' END AS reason
-            FROM {ANSWERS})""",
+            FROM {ANSWERS}) WHERE reason <> 'none'""",
     "page_overlap": f"""
         SELECT identifier, tokens, shared, round(shared / tokens, 6) AS share FROM (
             SELECT identifier, len(p) AS tokens, len(list_intersect(p, w)) AS shared FROM (
@@ -310,7 +314,7 @@ SQL: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        number_conservation, number_fidelity, roman_conservation, code_conservation, symbol_conservation, address_conservation, coverage_ratio, block_alignment, issue_totals, revision_risk, revision_hunks,
+        number_conservation, number_fidelity, roman_conservation, code_conservation, symbol_conservation, address_conservation, coverage_ratio, block_alignment, issue_totals, revision_risk, revision_rewrites, revision_hunks,
         near_duplicate_blocks, page_overlap, glossary_hits, glossary_duplicates, strict_findings, heading_fidelity, heading_variants, polarity_pairs, segment_issues,
     )
 }
