@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +57,25 @@ def test_queries(spark, tiny, empty, clashing):
     pieces = Q["p5_pieces"](spark, tiny)
     assert {(r.origin, r.item_id) for r in pieces.where("piece_no = 1").collect()} == found
     assert Q["p5_found"](spark, empty).count() == 0
+
+
+def test_thai_has_boundaries_and_cohesion():
+    text = "บรรณารักษ์เปิดแผนที่ในตอนเช้า ผู้แปลขายจดหมายให้พิพิธภัณฑ์ " * 160
+    assert len(S.gaps(text)) > 100 and any(d > 0 for d in S.depths(text[:3000] + "เรือแล่นไปตามแม่น้ำสายใหญ่ ฝนตกหนักตลอดคืน " * 30, sorted(S.gaps(text[:3000]))))
+    parts = S.pieces(text, 1000, 100)
+    assert all(b - a <= 1000 for a, b in parts) and parts[0][0] == 0 and parts[-1][1] == len(text)
+    assert all(p[1] >= q[0] > p[0] for p, q in zip(parts, parts[1:]))
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 60, 99])
+def test_overlaps_up_to_the_limit(overlap):
+    text = "The clerk copied the old map. " * 40
+    parts = S.pieces(text, 100, overlap)
+    assert all(0 < b - a <= 100 for a, b in parts) and all(p[1] >= q[0] > p[0] for p, q in zip(parts, parts[1:])) and parts[-1][1] == len(text)
+
+
+def test_check(spark, tiny):
+    from vellumine.llm.queries import QUERIES as Q
+
+    r = Q["p5_check"](spark, tiny).first()
+    assert r.items_in == r.items_out > 0 and r.too_long == r.with_gaps == r.wrong_text == 0

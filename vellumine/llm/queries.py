@@ -99,6 +99,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(_items(spark, d)).dropDuplicates(["origin", "item_id", "piece_no"])
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """That the pieces of every item are within their limit, cover it and hold its text."""
+    return splitting.check(_items(spark, d), p5_pieces(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """name, response_no, defect of every defective answer."""
     return pairs.defects(table(spark, d, "response_cases"), language_model(spark, d)).distinct()
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_check": p5_check,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,

@@ -22,19 +22,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sentences import Lexicon, sentences
+
 BLOCK_UNITS = 3  # units on each side of a gap that are compared
 CHAPTER, BLOCK, LINE, SENTENCE, WORD = 4, 3, 2, 1, 0
 _CHAPTER = regex.compile(r"(?m)(?<=^|\n)(?=#{1,2} )")
 _BLOCK = regex.compile(r"\n(?:[^\S\n]*\n)+(?=[^\n]|$)")
 _LINE = regex.compile(r"\n+(?=[-*|>#]|\d+[.)] )")
-_SENTENCE = regex.compile(r"(?:(?<!\b\p{L})(?<!\b(?:Dr|Dra|Mr|Mrs|St|cf|vgl|vol|fig|pp?|pág|etc|ca|Bd|Abb|Nr|ca|ок|см|стр|рис|т))[.!?…]+[\"”’»)\]]*\s+(?=[\p{Lu}\p{Lo}¡¿“„«\"(])|[。！？।؟…]+[”’」』）)]*\s*)")
-_WORDS = regex.compile(r"[\p{L}\p{M}]{3,}|\p{Han}|[\p{Hiragana}\p{Katakana}]{2}")
+_WORDS = regex.compile(r"[\p{L}\p{M}--[\u0e00-\u0e7f]]{3,}|\p{Han}|[\p{Hiragana}\p{Katakana}]{2}|[\u0e01-\u0e2e\u0e40-\u0e44][\u0e00-\u0e7f]{2}", regex.V1)
+_PLAIN = Lexicon()  # sentence ends of other scripts need no counts; blanks of Thai are judged by its particles and opening words
 
 
 def gaps(text: str) -> dict[int, int]:
-    """Position of each boundary, before which a piece can end, with its kind."""
+    """Position of each boundary, before which a piece can end, with its kind. Sentences are those of the sentence operator."""
     found: dict[int, int] = {}
-    for kind, pattern in ((SENTENCE, _SENTENCE), (LINE, _LINE), (BLOCK, _BLOCK), (CHAPTER, _CHAPTER)):
+    for _, end in sentences(text, _PLAIN):
+        while end < len(text) and text[end].isspace():
+            end += 1
+        found[end] = SENTENCE
+    for kind, pattern in ((LINE, _LINE), (BLOCK, _BLOCK), (CHAPTER, _CHAPTER)):
         for m in pattern.finditer(text):
             found[m.end()] = max(kind, found.get(m.end(), 0))
     found.pop(0, None)
@@ -81,17 +87,17 @@ def _word_cut(text: str, low: int, high: int) -> int:
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of each piece: at most limit characters, consecutive ones overlapping by about overlap."""
+    """(start, end) of each piece: at most limit characters, consecutive ones overlapping by about overlap; one that is not below the limit counts as one character less than it."""
     n = len(text)
     if n <= limit or limit <= 0:
         return [(0, n)] if n else []
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     kinds = gaps(text)
     at = sorted(kinds)
     depth = depths(text, at)
     out, start = [], 0
     while n - start > limit:
-        low, high = start + max(limit // 2, overlap + 1), start + limit
+        low, high = start + min(max(limit // 2, overlap + 1), limit - 1), start + limit
         window = range(bisect_right(at, low), bisect_right(at, high))
         strong = [i for i in window if kinds[at[i]] >= BLOCK] or [i for i in window if kinds[at[i]] == LINE] or list(window)
         if strong:
@@ -129,6 +135,26 @@ def split_items(items: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "origin string, item_id string, piece_no int, start_pos int, end_pos int, piece string")
 
 
+def check(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: items and characters that went in, and how many items came out, were lost, have pieces above their limit, gaps between pieces or a wrong text.
+
+    items: as of split_items, parts: its result.
+    """
+    given = items.where(F.length("text") > 0).select("origin", "item_id", "text", "max_chars").dropDuplicates(["origin", "item_id"])
+    p = parts.groupBy("origin", "item_id").agg(
+        F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"),
+        F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("p"),
+    )
+    x = given.join(p, ["origin", "item_id"], "full")
+    holes = F.exists(F.sequence(F.lit(1), F.size("p")), lambda i: F.coalesce(F.get("p", i).start_pos > F.get("p", i - 1).end_pos, F.lit(False)))
+    ends = (F.get("p", F.lit(0)).start_pos != 0) | (F.get("p", F.size("p") - 1).end_pos != F.length("text"))
+    wrong = F.exists("p", lambda y: F.substring(F.col("text"), y.start_pos + 1, y.end_pos - y.start_pos) != y.piece)
+    return x.agg(
+        F.count("text").alias("items_in"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars_in"), F.count("p").alias("items_out"), F.count_if(F.col("longest") > F.col("max_chars")).alias("too_long"),
+        F.count_if(F.coalesce(holes | ends, F.lit(True))).alias("with_gaps"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong_text"),
+    )
+
+
 def sized_items(exports: DataFrame, chapters: DataFrame, limits: DataFrame) -> DataFrame:
     """Exports and chapters with the limits of their kind."""
     e = exports.select(F.lit("export").alias("origin"), F.col("export_id").cast("string").alias("item_id"), F.col("primary_markdown").alias("text"))
