@@ -382,9 +382,9 @@ def code_column(label: Column) -> Column:
 def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]]:
     """At most size (text, code) rows of each language, of least hash of their wording. sources: frames of id, text, lang.
 
-    A text counts once for each language it is labelled with, however many ids have it. A first pass counts the wordings
-    of each language; the second keeps only those whose hash falls in a share that still holds some eight times the
-    sample, so neither the sort nor the driver sees more at any size.
+    A text counts once for each language it is labelled with, however many ids have it. A first pass counts the texts of
+    each language; the second keeps only those whose hash falls in a share that still holds some eight times the sample,
+    and of those one of each wording, so neither the sort nor the driver sees more at any size.
     """
     from pyspark.sql import Window
 
@@ -393,12 +393,14 @@ def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]
         one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null").where((F.length("text") > 20) & (F.length("text") <= SAMPLE_CHARS))
         one = one.select("code", "text")
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.withColumn("h", F.xxhash64(wording(F.col("text"))))
-    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a dozen rows
+    # texts are thinned by their plain hash; only those that are left are compared by wording
+    rows = rows.withColumn("h0", F.xxhash64("text"))
+    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.approx_count_distinct("h0").alias("n")).collect()}  # a dozen rows
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, n // (8 * size)))])
-    once = rows.where(F.pmod("h", share[F.col("code")]) == 0).groupBy("code", "h").agg(F.min("text").alias("text"))
+    few = rows.where(F.pmod("h0", share[F.col("code")]) == 0).withColumn("h", F.xxhash64(wording(F.col("text"))))
+    once = few.groupBy("code", "h").agg(F.min("text").alias("text"))
     ranked = once.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("k") <= size)
     return [(t, c) for c, _, t in sorted((r["code"], r["h"], r["text"]) for r in ranked.select("code", "text", "h").collect())]
 
