@@ -52,3 +52,8 @@ def test_llm_is_optional():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_every_query_has_its_own_name():
+    names = [n for m in plans.MODULES for n in m.QUERIES]
+    assert len(names) == len(set(names)) and set(plans.SQL) <= set(names)

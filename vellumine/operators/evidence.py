@@ -42,6 +42,30 @@ def match_titles(entries: DataFrame, titles: DataFrame, key: str, number: str) -
     return entries.withColumn("flat", flat(F.col("label"))).join(t, [key, "flat"], "left").select(key, "entry_no", "label", number)
 
 
+def match_near_titles(entries: DataFrame, titles: DataFrame, key: str, number: str, least: float = 0.96, ahead: float = 0.02) -> DataFrame:
+    """key, entry_no, label, number, score: entries with the one title of the same key that they are nearly equal to.
+
+    Both hold the same numbers and differ by at most two edits; the score, one less the share of edits, is at least
+    `least`, and no other title comes within `ahead` of it. Nulls where none is such. Two edits leave one of a title's
+    three parts whole, moved by two places at most, so pairs meet by equi-join on (key, length, part).
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t]+", " "))
+    third = lambda n: F.floor(n / 3).cast("int")
+    size = lambda n, i: F.when(i < 2, third(n)).otherwise(n - 2 * third(n))
+    t = titles.where("title is not null").select(key, F.col(number), flat(F.col("title")).alias("t")).where(F.length("t") >= 6).withColumn("n", F.length("t"))
+    t = t.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("part", F.expr("substr(t, i * cast(floor(n / 3) as int) + 1, if(i < 2, cast(floor(n / 3) as int), n - 2 * cast(floor(n / 3) as int)))"))
+    e = entries.select(key, "entry_no", flat(F.col("label")).alias("e")).where(F.length("e") >= 6)
+    e = e.withColumn("n", F.explode(F.sequence(F.length("e") - 2, F.length("e") + 2))).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("o", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    e = e.withColumn("at", F.col("i") * third(F.col("n")) + F.col("o")).where("at >= 0").withColumn("part", F.substr(F.col("e"), F.col("at") + 1, size(F.col("n"), F.col("i"))))
+    pairs = e.select(key, "entry_no", "e", "n", "i", "part").distinct().join(t, [key, "n", "i", "part"]).select(key, "entry_no", "e", "t", number).distinct()
+    same = F.array_sort(T.number_tokens(F.col("e"))) == F.array_sort(T.number_tokens(F.col("t")))
+    d = F.levenshtein("e", "t", 2)
+    pairs = pairs.where(same & (d >= 0)).withColumn("score", 1 - d / F.greatest(F.length("e"), F.length("t"))).where(F.col("score") >= least)
+    order = W.partitionBy(key, "entry_no").orderBy(F.desc("score"), number)
+    best = pairs.withColumn("_k", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).where("_k = 1").where(F.coalesce(F.col("_next") < F.col("score") - ahead, F.lit(True)))
+    return entries.join(best.select(key, "entry_no", number, F.round("score", 6).alias("score")), [key, "entry_no"], "left").select(key, "entry_no", "label", number, "score")
+
+
 def untranslated(pairs: DataFrame, key: str, source: str, target: str, least: int = 24) -> DataFrame:
     """key, sentence: source sentences of at least so many letters that the target holds unchanged."""
     sentences = T.matches(T.lines_unix(F.col(source)), r"[^.!?…\n]+[.!?…]")

@@ -195,6 +195,44 @@ def disagreements(pairs: DataFrame, key: str, native: str, scanned: str) -> Data
     return both.mapInPandas(run, f"k {kind}, place int, native string, scanned string").withColumnRenamed("k", key)
 
 
+def ordered_copy(part: Column, whole: Column, least: int = 12, share: float = 0.9, gap: int = 4) -> Column:
+    """Whether a block repeats a page's words in their order: of at least so many words a share matches in sequence, with no longer run unmatched."""
+
+    def one(x: str | None, y: str | None) -> bool:
+        p, q = (x or "").lower().split(), (y or "").lower().split()
+        if len(p) < least:
+            return False
+        same = [m for m in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if m.size]
+        ends = [0, *(m.a + m.size for m in same)]
+        starts = [*(m.a for m in same), len(p)]
+        return sum(m.size for m in same) >= share * len(p) and max(b - a for a, b in zip(ends, starts)) <= gap
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="boolean")
+
+    return run(part, whole)
+
+
+def residues(pairs: DataFrame, words: DataFrame, key: str, source: str, target: str) -> DataFrame:
+    """key, kind, found: what a target keeps of its source's language.
+
+    word: a word of a list (word) that both sides hold, in small letters. title: a heading that stands unchanged in the
+    target and holds a word in small letters of that list. Words meet the list by equi-join.
+    """
+    small = lambda c: F.array_distinct(T.matches(T.prose(F.col(c)), r"(?<![\p{L}\p{N}])\p{Ll}{3,}(?![\p{L}\p{N}])"))
+    heads = lambda c: T.matches(T.lines_unix(F.col(c)), r"(?m)^[ \t]{0,3}#{1,6}[ \t]+([^\n]+)$", 1)
+    both = pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    titles = both.select(key, F.explode(F.array_intersect(heads(source), heads(target))).alias("found"))
+    titles = titles.select(key, "found", F.explode(F.array_distinct(T.matches(F.col("found"), r"(?<![\p{L}\p{N}])\p{Ll}{3,}(?![\p{L}\p{N}])"))).alias("word"))
+    known = words.select("word").distinct()
+    titles = titles.join(known, "word", "left_semi").select(key, F.lit("title").alias("kind"), "found").distinct()
+    bare = lambda c: F.regexp_replace(T.lines_unix(F.col(c)), r"(?dm)^[ \t]{0,3}#{1,6}[ \t][^\n]*$", " ")
+    own = both.select(key, bare(source).alias("_a"), bare(target).alias("_b"))
+    shared = own.select(key, F.explode(F.array_intersect(small("_a"), small("_b"))).alias("word")).join(known, "word", "left_semi")
+    return shared.select(key, F.lit("word").alias("kind"), F.col("word").alias("found")).unionByName(titles)
+
+
 def emphasised(markdown: str) -> list[tuple[str, str]]:
     """(kind, text) of the emphasis of one paragraph, by pairing delimiter runs: the nearest opener that fits is closed first.
 

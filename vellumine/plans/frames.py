@@ -104,7 +104,7 @@ def text_similarity(s: SparkSession, d: str) -> DataFrame:
 
 
 @expected(_rows("t, v", "'Printed in 1874 and again in 1901.', 1901", "'No 123456, page 12', NULL", "'Anno 1449', NULL", "'(c) 2024', 2024", "NULL, NULL"))
-def publication_years(s: SparkSession, d: str) -> DataFrame:
+def publication_year_rules(s: SparkSession, d: str) -> DataFrame:
     f = s.createDataFrame([("Printed in 1874 and again in 1901.",), ("No 123456, page 12",), ("Anno 1449",), ("(c) 2024",), (None,)], "t string")
     return f.select("t", T.publication_year(F.col("t")).alias("v"))
 
@@ -490,3 +490,28 @@ def cached_results(s: SparkSession, d: str) -> DataFrame:
     compute = lambda need: need.select("digest", F.upper("payload").alias("result"))
     sinks.cached(rows, "k", "t", folder, compute)
     return sinks.cached(rows, "k", "t", folder, lambda need: need.where("1 = 0").select("digest", F.lit(None).cast("string").alias("result")))
+
+
+# ---- contents and second readings --------------------------------------------------------------------------------
+
+
+@expected(_rows("k, entry_no, label, number, score", "1, 0, 'The keeper of the harbour maps and books', 7, 0.975", "2, 0, 'Chapter 3 of the harbour maps', NULL, NULL", "3, 0, 'The keeper of the harbour maps and books', NULL, NULL"))
+def near_titles(s: SparkSession, d: str) -> DataFrame:
+    title = "The keeper of the harbour maps and books"
+    entries = s.createDataFrame([(1, 0, title), (2, 0, "Chapter 3 of the harbour maps"), (3, 0, title)], "k int, entry_no int, label string")
+    titles = s.createDataFrame([(1, 7, "The keepor of the harbour maps and books"), (1, 8, "Another chapter"), (2, 1, "Chapter 8 of the harbour maps"), (3, 1, "The keepor of the harbour maps and books"), (3, 2, "The keepar of the harbour maps and books")], "k int, number int, title string")
+    return E.match_near_titles(entries, titles, "k", "number")
+
+
+@expected(_rows("k, v", "1, true", "2, false", "3, false", "4, false"))
+def copied_blocks(s: SparkSession, d: str) -> DataFrame:
+    page = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, page.replace("seven eight", "seven x eight"), page), (2, "one two three", page), (3, " ".join(reversed(page.split())), page), (4, page.replace("six seven eight nine ten", "a b c d e"), page)]
+    return s.createDataFrame(rows, "k int, a string, b string").select("k", V.ordered_copy(F.col("a"), F.col("b")).alias("v"))
+
+
+@expected(_rows("kind, place, found", "'word', 1, 'mapa'", "'title', 2, 'El mapa viejo'"))
+def source_residues(s: SparkSession, d: str) -> DataFrame:
+    f = s.createDataFrame([(1, "El mapa y los libros", "The mapa and the books"), (2, "# El mapa viejo\n\nUn texto", "# El mapa viejo\n\nA text"), (3, "Anna Weiss", "Anna Weiss")], "k int, a string, b string")
+    known = s.createDataFrame([("mapa",), ("libros",)], "word string")
+    return V.residues(f, known, "k", "a", "b").select("kind", F.col("k").alias("place"), "found")
