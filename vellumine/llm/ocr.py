@@ -138,6 +138,7 @@ class Near:
 
     def __init__(self, keys: Iterable[str]) -> None:
         self.keys = set(keys)
+        self.lengths = {len(k) for k in self.keys}
         self.index: dict[tuple[int, int, str], list[str]] = {}
         for k in self.keys:
             if len(k) >= 6:
@@ -149,6 +150,8 @@ class Near:
         found = {key} if key in self.keys else set()
         seen = set(found)
         for n in range(max(6, len(key) - 2), len(key) + 3):
+            if n not in self.lengths:
+                continue
             third = n // 3
             for i, size in ((0, third), (1, third), (2, n - 2 * third)):
                 for at in range(max(0, i * third - 2), i * third + 3):
@@ -221,18 +224,20 @@ def margins(lines: list[str], pages: list[Page], known: list[str], given: int |
         for key, _ in keys:
             where.setdefault(key, set()).add(page_of[i])
     strong = set(known)
+    beside = dict.fromkeys(where, frozenset())
     if len(pages) >= PAGES:
-        near = Near(where.keys())
+        near = Near(where)
+        beside = {key: near.of(key) for key in where}
         ended = {key for i, keys in keyed.items() if _ENDED.search(lines[i]) for key, _ in keys}
         for key, seen in where.items():
-            found = seen if len(seen) >= PAGES and key not in ended else set().union(*(where[k] for k in near.of(key)))
+            found = seen if len(seen) >= PAGES and key not in ended else set().union(*(where[k] for k in beside[key]))
             if len(found) >= PAGES and (key not in ended or len(found) >= OFTEN * len(pages)):
                 strong.add(key)
     if strong:
-        near = Near(strong)
+        given_near = Near(known)
         for i, options in keyed.items():
             for key, num in options:
-                if near.of(key):
+                if key in strong or not strong.isdisjoint(beside[key]) or (known and given_near.of(key)):
                     heads.add(i)
                     if num is not None and not lines[i].strip().endswith((".", ",")):
                         numbers.add(i)
