@@ -116,10 +116,10 @@ def heading_levels_of(text: Column) -> Column:
     return F.transform(T.matches(T.lines_unix(text), r"(?m)^[ \t]{0,3}(#{1,6})[ \t]", 1), lambda x: F.length(x))
 
 
-def breaks_hierarchy(before: Column, after: Column) -> Column:
-    """Whether a revision's headings jump down by more than one level, or go below level 3 where there were no headings."""
-    a, b = heading_levels_of(before), heading_levels_of(after)
-    jumps = lambda levels: F.exists(F.sequence(F.lit(1), F.size(levels)), lambda i: F.coalesce(F.get(levels, i) - F.get(levels, i - 1) > 1, F.lit(False)))
+def breaks_hierarchy(a: Column, b: Column) -> Column:
+    """Whether a revision's heading levels (b, after a) jump down by more than one, or go below level 3 where there were no headings."""
+    steps = lambda levels: F.zip_with(levels, F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), lambda x, y: y - x)
+    jumps = lambda levels: F.exists(steps(levels), lambda x: F.coalesce(x > 1, F.lit(False)))
     return (jumps(b) & ~jumps(a)) | ((F.size(a) == 0) & F.coalesce(F.array_max(b) > 3, F.lit(False)))
 
 
@@ -149,7 +149,7 @@ def revision_risk(pairs: DataFrame, key: str | list[str], before: str, after: st
     only = lambda c: ~F.exists(F.split(T.lines_unix(c), "\n"), lambda x: (F.trim(x) != "") & ~F.regexp_like(x, F.lit(r"^[ \t]{0,3}#{1,6}[ \t]")))
     reason = (
         F.when(na != nb, "numbers")
-        .when(breaks_hierarchy(a, b), "structure")
+        .when(breaks_hierarchy(heading_levels_of(a), heading_levels_of(b)), "structure")
         .when((F.trim(a) == "") != (F.trim(b) == ""), "emptied")
         .when(protected_terms(a) != protected_terms(b), "names")
         .when(only(a) & only(b) & (F.trim(a) != "") & (T.canonical(a) != T.canonical(b)), "headings")

@@ -26,9 +26,10 @@ def corpus_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     Each text's words are sorted within its row, so that the first of each word counts the text: one shuffle, by word.
     """
     words = F.array_sort(T.matches(F.lower(F.col(text)), r"\p{L}+"))
-    firsts = F.transform(words, lambda w, i: F.named_struct(F.lit("word"), w, F.lit("first"), ~F.get(words, i - 1).eqNullSafe(w)))
-    x = df.where(F.col(text).isNotNull()).select(F.explode(firsts).alias("x")).select("x.*")
-    return x.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("documents"))
+    x = df.where(F.col(text).isNotNull()).select(words.alias("_w")).where(F.size("_w") > 0)
+    before = F.concat(F.array(F.lit("")), F.slice("_w", 1, F.size("_w") - 1))  # each word's neighbour in the sorted array
+    x = x.select(F.explode(F.arrays_zip(F.col("_w").alias("word"), before.alias("before"))).alias("x"))
+    return x.groupBy(F.col("x.word").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.word") != F.col("x.before")).alias("documents"))
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:

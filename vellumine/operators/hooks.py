@@ -41,15 +41,16 @@ def apply_hook(df: DataFrame, key: str, text: str, hook: Callable[[str], str], n
     return done.unionByName(rest).withColumnRenamed("k", key)
 
 
+def _numbered(pieces: Column, mark: str) -> Column:
+    """Pieces put together with numbered marks between them."""
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(mark), (i - 1).cast("string"), F.lit(mark), p))), "")
+
+
 def protect(text: Column, pattern: str, mark: str = "\ue000") -> tuple[Column, Column]:
     """The text with every match replaced by a numbered mark, and the array of matches; restore() puts them back."""
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     pieces = F.split(text, f"(?:{pattern})")
-    marked = F.aggregate(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        F.get(pieces, F.lit(0)),
-        lambda s, i: F.concat(s, F.lit(mark), (i - 1).cast("string"), F.lit(mark), F.get(pieces, i)),
-    )
+    marked = _numbered(pieces, mark)
     return F.when(F.size(values) == 0, text).otherwise(marked), values
 
 
@@ -70,5 +71,5 @@ def protect_terms(text: Column, terms: Column, mark: str = "\ue000") -> tuple[Co
     pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}_])("), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}_])"))
     values = F.when(F.size(held) > 0, F.regexp_extract_all(text, pattern, F.lit(1))).otherwise(F.array().cast("array<string>"))
     pieces = F.split(text, F.when(F.size(held) > 0, pattern).otherwise(F.lit("(?!)")))
-    marked = F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 1), F.get(pieces, F.lit(0)), lambda s, i: F.concat(s, F.lit(mark), (i - 1).cast("string"), F.lit(mark), F.get(pieces, i)))
+    marked = _numbered(pieces, mark)
     return F.when(F.size(values) == 0, text).otherwise(marked), values
