@@ -1,8 +1,9 @@
-"""Wordings by which recall is measured (fixed values).
+"""Wordings by which recall is measured (fixed values), by the same author as the library's lists.
 
-The first lists were written before the patterns and slots of the library, by the same hand, which had them in mind: they
-show that these cover what they should. The lists with FRESH in their name were written afterwards, in other words on
-purpose, and no pattern or slot was written or changed for them: the README's recall is theirs.
+The first lists were written before the patterns and slots, and these with them in mind: they show that what was meant is
+covered. FRESH was written afterwards, in other words on purpose; after its first trial the patterns and slots were
+extended, which now cover it. LAST was written after that, in ordinary words; after its first trial slots of refusals
+were added once more, but no pattern of residue. The README gives the figures of the first trials.
 """
 
 REFUSALS = """
@@ -484,7 +485,7 @@ Escriba su titular
 (a indicar pelo museu)
 """.strip().split("\n")
 
-#: Ordinary wordings, written after the last change of patterns and slots: the figures of the README are theirs.
+#: Ordinary wordings, written after the last change of the patterns of residue.
 LAST_REFUSALS = """
 I'm sorry, I can't do that.
 Unfortunately, I cannot answer this question.
