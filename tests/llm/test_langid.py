@@ -138,3 +138,37 @@ def test_sample_counts_copies_once(spark):
     rows += [(f"x{c}", f"The clerk copied the map of {c} before the winter came.", "en") for c in "abcdefghij"]
     got = L.sample([spark.createDataFrame(rows, "id string, text string, lang string")], 8)
     assert len(got) == len(set(got)) == 8 and L.sample([spark.createDataFrame(rows[:400], "id string, text string, lang string")], 8) == [(rows[0][1], "en")]
+
+
+def test_network_is_fitted_on_all_rows(spark, monkeypatch):
+    """Beyond any number of rows of a language and of characters of a row, however the rows are spread."""
+    monkeypatch.setattr(L, "STEPS", 3)
+    monkeypatch.setattr(L, "AGAIN", 2)
+    seen = []
+    monkeypatch.setattr(L.Network, "train", lambda self, runs, targets, weights, steps, seed: seen.append((runs, targets, weights)))
+    names = [f"{a}{b}{c}ling" for a in "bdfg" for b in "aeio" for c in "bcdfghklmnprst"]
+    rows = [(str(i), f"The clerk met {w} in the reading room.", "en") for i, w in enumerate(names)]
+    rows += [("long", "Der Drucker las den Text. " * 1200 + "Am Ende kam Schlusswort.", "de"), ("short", "Ja, gern", "de"), ("none", None, "de"), ("blank", " ", "en")]
+    rows += [(f"copy{i}", rows[0][1], "en") for i in range(50)]
+    frame = spark.createDataFrame(rows, "id string, text string, lang string")
+    L.fit_once(spark, L.texts_once([frame.repartition(5)]))
+    runs = seen[0][0]
+    assert len(seen) == 2 and len(names) > 200 and set(names) | {"schlusswort", "gern"} <= set(runs)
+    counts = {(c, r): n for c, r, n in L.counted(L.texts_once([frame.coalesce(1)]))}
+    assert counts["en", "the"] == 2 * len(names) and counts["en", None] == 8 * len(names) and counts["de", "text"] == 1200
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    texts = ["", "12", "々aɐ𐀀b" + "x" * 130 + "図書館は目次を保管した漢字漢字漢字漢字漢字ｦｧ ـ؟عaи", "หอสมุดเก็บสารบัญไว้ 1", "पुस्तकालय ने सूची को सँभाला।", "The map"]
+    runs, place, owner = L._split(texts)
+    assert [[runs[p] for p, o in zip(place, owner) if o == i] for i in range(len(texts))] == [L._runs(t) for t in texts]
+    assert L._split(["", "1"])[0] == []
+
+
+def test_a_long_text_counts_as_its_pieces(monkeypatch, model):
+    text = "Der Drucker las den Text im Lesesaal am Morgen. " * 400
+    want = sorted(L.run_counts([(text, "en"), ("la carta", "es")], model), key=str)
+    monkeypatch.setattr(L, "SLICE", 500)
+    monkeypatch.setattr(L, "COUNTED", 5)
+    got = sorted(L.run_counts([(text, "en"), ("la carta", "es")], model), key=str)
+    assert got == want and ("de", "drucker", 400) in got and not any(c == "en" for c, _, _ in got)

@@ -2,9 +2,9 @@
 
 The network reads the bytes of each run of letters (a word, or a stretch of a spaceless script) in both directions and
 labels every position with a distribution over the languages. Positions are pooled into runs, runs into sentences,
-sentences into blocks and whole texts. It is trained in numpy by backpropagation through time, on runs counted in a
-bounded sample of labelled rows (SAMPLE rows for each language). Labels may be wrong: after a first training, sampled
-texts whose own pooled language contradicts their label are put under the language they are in, and training goes on.
+sentences into blocks and whole texts. It is trained in numpy by backpropagation through time, on runs counted in all
+labelled rows, whole. Labels may be wrong: after a first training, texts whose own pooled language contradicts their
+label are put under the language they are in, all are counted again, and training goes on.
 The languages whose script cannot have written a run are excluded by the table of scripts.
 
 Runs are remembered per worker with their pooled values, up to a bound, so common words pass the network once.
@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .blocks import RUNNING, blocks, wording
 
-SAMPLE = 120  # labelled rows of each language
-SAMPLE_CHARS = 20_000  # longest row that is sampled; rows train whole
 EMBED, HIDDEN = 12, 28  # sizes of the network
 WORD = 2  # characters of a word of a spaceless script
 RUN = 48  # characters of a run; longer ones are several
@@ -38,7 +37,9 @@ LENGTHS = (14, 22, 34, 10**9)  # runs of a training batch are alike in length: b
 STEPS, AGAIN, BATCH, RATE = 700, 300, 192, 0.02
 RUNS = 6000  # most frequent runs of a language that train
 MEMO = 400_000  # remembered runs of a worker
-SLICE = 1_000_000  # characters scored at a time
+SLICE = 1_000_000  # characters scored or counted at a time
+COUNTED = 300_000  # runs whose counts a task holds at a time
+SURE = 0.9  # probability of another language that a wrong label needs
 MARGIN = 1.2  # log-odds by which a sentence has a language
 DOUBT = 3.0  # log-odds that a text's own language needs against the one of its label
 EVIDENCE = 5.0  # log-odds by which a block is in another language than its text
@@ -105,6 +106,44 @@ def _script(run: str) -> str:
     return _RUN.match(run).lastgroup
 
 
+_SIGNS = "".join(map(chr, range(0x10000)))
+_GROUPS = list(_RUN.groupindex)
+_MOST = np.array([1, *({"Kana": 8, "Han": 8, "Thai": 9}.get(g, RUN) for g in _GROUPS)], np.int32)  # characters of a run of each script
+_KIND = np.zeros(0x110000, np.uint8)  # the script of each character, 0 where it is none of a run
+for _m in _RUN.finditer(_SIGNS):
+    _KIND[_m.start() : _m.end()] = 1 + _GROUPS.index(_m.lastgroup)
+_MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, RUN, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.append(_MIX, np.uint64(0))  # the last one for what is no letter
+
+
+def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct runs of texts; and of every run, in its order, its place among these and its text.
+
+    The runs are those of _runs; they are told apart by a hash of 64 bits.
+    """
+    joined = "\n".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KIND[codes]
+    edge = np.ones(len(kind), bool)
+    edge[1:] = kind[1:] != kind[:-1]
+    first = np.flatnonzero(edge)
+    at = np.arange(len(kind), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(first, append=len(kind)))
+    far = np.flatnonzero(at >= _MOST[kind])
+    at[far] %= _MOST[kind[far]]
+    at[kind == 0] = -1
+    starts = np.flatnonzero(at == 0)
+    if not len(starts):
+        return [], starts, starts
+    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _MIX[at]
+    _, index, place = np.unique(np.add.reduceat(mixed, starts), return_index=True, return_inverse=True)
+    sizes = np.diff(np.cumsum(at >= 0)[[*starts[1:] - 1, -1]], prepend=0)
+    runs = [joined[a : a + n] for a, n in zip(starts[index].tolist(), sizes[index].tolist())]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    return runs, place, np.searchsorted(begin, starts, "right") - 1
+
+
 # ---- network ---------------------------------------------------------------------------------------------------
 
 
@@ -294,8 +333,10 @@ class Model:
         return out
 
     def _slice(self, texts: list[str], out: np.ndarray) -> None:
-        parts = [_runs(_clean(t)) for t in texts]
-        distinct = sorted(set().union(*parts)) if parts else []
+        self._pool(*_split([_clean(t) for t in texts]), out)
+
+    def _pool(self, distinct: list[str], place: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """Adds up the values of the runs of each text, as _split gives them."""
         if not distinct:
             return
         known = np.array([self.memo.get(r, -1) for r in distinct])
@@ -308,12 +349,10 @@ class Model:
             self._remember(fresh, values[new].copy())
         wide = np.array([max(1.0, len(r) / WORD) if r[0] > "\u0dff" and _SPACELESS.match(r) else 1.0 for r in distinct], np.float32)
         values *= wide[:, None]  # a run of a spaceless script is as many words as it is long
-        at = {r: i for i, r in enumerate(distinct)}
-        ids = np.array([at[r] for p in parts for r in p], np.int64)
-        sizes = np.array([len(p) for p in parts])
+        sizes = np.bincount(owner, minlength=len(out))
         has = np.flatnonzero(sizes)
         starts = (np.cumsum(sizes) - sizes)[has]
-        out[has] = np.add.reduceat(values[ids], starts, axis=0)
+        out[has] = np.add.reduceat(values[place], starts, axis=0)
 
     def best(self, scores: np.ndarray) -> tuple[list[str | None], np.ndarray]:
         """The language of each row of scores and its confidence, a probability."""
@@ -325,51 +364,121 @@ class Model:
         return [self.network.languages[k] if s else None for k, s in zip(top, some)], np.where(some, p[np.arange(len(p)), top], 0.0)
 
 
-def fit(rows: list[tuple[str, str]], languages: list[str] | None = None) -> Model:
-    """rows: (text, code), of which some are labelled wrongly."""
-    languages = sorted(languages or NAMES)
+def _pieces(text: str) -> list[str]:
+    """A text in pieces of at most SLICE characters, cut after a blank where there is one."""
+    out, at = [], 0
+    while len(text) - at > SLICE:
+        end = text.rfind(" ", at + SLICE // 2, at + SLICE) + 1 or at + SLICE
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def run_counts(texts: Iterable[tuple[str, str]], model: Model | None = None) -> Iterator[tuple[str, str | None, int]]:
+    """(code, run, n): how often each run stands in texts under a code, in parts that add up; with no run, all runs of it.
+
+    texts: (text, code). With a model, a text that is surely in another language counts under that one.
+    """
+    total: dict[str, Counter] = {}
+
+    def count(held: list[tuple[str, str]]) -> None:
+        # one long text in pieces, or several short ones
+        parts = [[t for t, _ in held]] if len(held) > 1 else [[p] for p in _pieces(held[0][0])]
+        codes = [c for _, c in held]
+        found = [_split([_clean(t.lower()) for t in p]) for p in parts] if len(parts) == 1 else None
+        again = lambda: found or (_split([_clean(t.lower()) for t in p]) for p in parts)
+        if model:
+            scores = np.zeros((len(held), len(model.network.languages)), np.float32)
+            for runs, place, owner in again():
+                own = np.zeros_like(scores)
+                model._pool(runs, place, owner, own)
+                scores += own
+            named, sure = model.best(scores)
+            codes = [n if n and s > SURE else c for n, s, c in zip(named, sure, codes)]
+        names = sorted(set(codes))
+        label = np.array([names.index(c) for c in codes])
+        for runs, place, owner in again():
+            n = np.bincount(label[owner] * len(runs) + place, minlength=len(names) * len(runs)).reshape(len(names), len(runs)) if runs else ()
+            for c, row in zip(names, n):
+                mine = total.setdefault(c, Counter())
+                mine[None] += int(row.sum())
+                for i in np.flatnonzero(row).tolist():
+                    mine[runs[i]] += int(row[i])
+
+    def flush() -> Iterator[tuple[str, str | None, int]]:
+        for c, mine in total.items():
+            for r, n in mine.items():
+                yield c, r, n
+        total.clear()
+
+    held: list[tuple[str, str]] = []
+    size = 0
+    for row in texts:
+        if held and size + len(row[0]) > SLICE:
+            count(held)
+            held, size = [], 0
+            if sum(map(len, total.values())) > COUNTED:
+                yield from flush()
+        held.append(row)
+        size += len(row[0])
+    if held:
+        count(held)
+    yield from flush()
+
+
+def counted(texts: DataFrame, model: Model | None = None) -> list[tuple[str, str | None, int]]:
+    """run_counts summed over all texts: of each code the number of all its runs, and its RUNS most frequent ones, ties by spelling."""
+    from pyspark.sql import Window
+
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = run_counts(((t, c) for b in batches for t, c in zip(b["text"], b["code"])), shared.value)
+        while some := list(islice(rows, 50_000)):
+            yield pd.DataFrame(some, columns=["code", "run", "n"])
+
+    sums = texts.select("code", "text").mapInPandas(run, "code string, run string, n bigint").groupBy("code", "run").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("code").orderBy(F.col("run").isNotNull(), F.desc("n"), "run")
+    few = sums.withColumn("k", F.row_number().over(order)).where(F.col("k") <= RUNS + 1).select("code", "run", "n")
+    return sorted(map(tuple, few.collect()), key=lambda r: (r[0], r[1] or ""))  # RUNS for each of a dozen languages
+
+
+def examples(counts: list[tuple[str, str | None, int]], languages: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The runs that train, their shares of the languages, and their weights."""
     at = {c: i for i, c in enumerate(languages)}
-    counts = [Counter(_runs(_clean(t.lower()))) for t, _ in rows]
-    labels = [at[c] for _, c in rows]
-    network = Network.new(languages)
-
-    def examples() -> tuple[list[str], np.ndarray, np.ndarray]:
-        total: list[Counter] = [Counter() for _ in languages]
-        for c, k in zip(counts, labels):
-            total[k].update(c)
-        share: dict[str, np.ndarray] = {}
-        for k, c in enumerate(total):
-            n = max(sum(c.values()), 1)
-            for r, m in c.most_common(RUNS):
-                share.setdefault(r, np.zeros(len(languages)))[k] += m / n
-        runs = sorted(share)
-        s = np.stack([share[r] for r in runs]) if runs else np.ones((1, len(languages)))
-        runs = runs or [" "]
-        w = s.sum(1)
-        return runs, (s / w[:, None]).astype(np.float32), w**0.6
-
-    network.train(*examples(), STEPS, 1)
-    model = Model(network)
-    named, sure = model.best(model.score([t for t, _ in rows])) if rows else ([], [])
-    labels = [at[n] if n and s > 0.9 else k for n, s, k in zip(named, sure, labels)]
-    network.train(*examples(), AGAIN, 2)
-    return Model(network)
-
-
-def fit_once(spark: SparkSession, rows: list[tuple[str, str]]) -> Model:
-    """As fit, but a network that was fitted on the same rows before is loaded from the checkpoint folder."""
-    from ..session import checkpoint_dir
-
-    said = hashlib.sha256(repr((STEPS, AGAIN, BATCH, EMBED, HIDDEN, RUN, rows)).encode("utf-8", "surrogatepass")).hexdigest()[:24]
-    path = f"{checkpoint_dir(spark).rstrip('/').rsplit('/', 1)[0]}/fitted-langid-{said}"
+    total = {c: n for c, r, n in counts if r is None}
+    share: dict[str, np.ndarray] = {}
+    for c, r, n in counts:
+        if r is not None:
+            share.setdefault(r, np.zeros(len(languages)))[at[c]] += n / total[c]
+    runs = sorted(share)
+    s = np.stack([share[r] for r in runs]) if runs else np.ones((1, len(languages)))
+    w = s.sum(1)
+    return runs or [" "], (s / w[:, None]).astype(np.float32), w**0.6
+
+
+def _trained(spark: SparkSession, counts: list[tuple[str, str | None, int]], steps: int, seed: int, before: tuple[str, Network] | None = None) -> tuple[str, Network]:
+    """The network trained on counts, and its digest; one that was trained on the same before is loaded from the checkpoint folder."""
+    from ..session import shared_folder
+
+    said = hashlib.sha256(repr((steps, seed, BATCH, EMBED, HIDDEN, RUN, before and before[0], counts)).encode("utf-8", "surrogatepass")).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/fitted-langid-{said}"
     try:
         kept = {r.name: np.frombuffer(r.data, np.float32).reshape(tuple(r.shape)).copy() for r in spark.read.parquet(path).collect()}  # a dozen arrays
-        return Model(Network(sorted(NAMES), kept))
+        return said, Network(sorted(NAMES), kept)
     except AnalysisException:
-        model = fit(rows)
-    arrays = [(k, v.astype(np.float32).tobytes(), list(v.shape)) for k, v in model.network.p.items()]
+        network = Network(sorted(NAMES), {k: v.copy() for k, v in before[1].p.items()}) if before else Network.new(sorted(NAMES))
+    network.train(*examples(counts, network.languages), steps, seed)
+    arrays = [(k, v.astype(np.float32).tobytes(), list(v.shape)) for k, v in network.p.items()]
     spark.createDataFrame(arrays, "name string, data binary, shape array<int>").coalesce(1).write.mode("overwrite").parquet(path)
-    return model
+    return said, network
+
+
+def fit_once(spark: SparkSession, rows: DataFrame | list[tuple[str, str]]) -> Model:
+    """The model fitted on all rows: text, code, of which some are labelled wrongly."""
+    texts = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "text string, code string")
+    first = _trained(spark, counted(texts), STEPS, 1)
+    return Model(_trained(spark, counted(texts, Model(first[1])), AGAIN, 2, first)[1])
 
 
 def code_column(label: Column) -> Column:
@@ -379,30 +488,25 @@ def code_column(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.regexp_extract(low, r"^([^-_ (]+)", 1)))
 
 
-def sample(sources: list[DataFrame], size: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most size (text, code) rows of each language, of least hash of their wording. sources: frames of id, text, lang.
+def texts_once(sources: list[DataFrame]) -> DataFrame:
+    """text, code: every labelled text, whole. sources: frames of id, text, lang.
 
-    A text counts once for each language it is labelled with, however many ids have it. A first pass counts the texts of
-    each language; the second keeps only those whose hash falls in a share that still holds some eight times the sample,
-    and of those one of each wording, so neither the sort nor the driver sees more at any size.
+    A wording counts once for each language it is labelled with, however many ids have it.
     """
-    from pyspark.sql import Window
-
     rows = None
     for s in sources:
-        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null").where((F.length("text") > 20) & (F.length("text") <= SAMPLE_CHARS))
-        one = one.select("code", "text")
+        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null and trim(text) <> ''").select("code", "text")
         rows = one if rows is None else rows.unionByName(one)
-    # texts are thinned by their plain hash; only those that are left are compared by wording
-    rows = rows.withColumn("h0", F.xxhash64("text"))
-    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.approx_count_distinct("h0").alias("n")).collect()}  # a dozen rows
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, n // (8 * size)))])
-    few = rows.where(F.pmod("h0", share[F.col("code")]) == 0).withColumn("h", F.xxhash64(wording(F.col("text"))))
-    once = few.groupBy("code", "h").agg(F.min("text").alias("text"))
-    ranked = once.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("k") <= size)
-    return [(t, c) for c, _, t in sorted((r["code"], r["h"], r["text"]) for r in ranked.select("code", "text", "h").collect())]
+    return rows.groupBy("code", F.xxhash64(wording(F.col("text"))).alias("h")).agg(F.min("text").alias("text")).select("text", "code")
+
+
+def sample(sources: list[DataFrame], size: int) -> list[tuple[str, str]]:
+    """At most size (text, code) rows of each language, of least hash; for trials: fit_once takes all rows."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("code").orderBy(F.xxhash64("text"), "text")
+    rows = texts_once(sources).withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+    return sorted((r["text"], r["code"]) for r in rows.collect())
 
 
 # ---- texts -----------------------------------------------------------------------------------------------------

@@ -21,11 +21,11 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, d: str) -> langid.Model:
-    """The network, trained on a bounded sample of the labelled documents, exports and expected translations."""
+    """The network, trained on all labelled documents, exports and expected translations."""
     doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
     exp = table(spark, d, "markdown_exports").select(F.col("export_id").cast("string").alias("id"), F.col("primary_markdown").alias("text"), "lang")
     case = table(spark, d, "translation_cases").select("id", F.col("expected").alias("text"), F.col("target_lang").alias("lang"))
-    return langid.fit_once(spark, langid.sample([doc, exp, case]))
+    return langid.fit_once(spark, langid.texts_once([doc, exp, case]))
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
