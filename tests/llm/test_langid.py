@@ -172,3 +172,43 @@ def test_a_long_text_counts_as_its_pieces(monkeypatch, model):
     monkeypatch.setattr(L, "COUNTED", 5)
     got = sorted(L.run_counts([(text, "en"), ("la carta", "es")], model), key=str)
     assert got == want and ("de", "drucker", 400) in got and not any(c == "en" for c, _, _ in got)
+
+
+def test_common_runs_go_with_the_model(model, monkeypatch):
+    """They pass the network once, not once in each worker, and in any case of letters."""
+    import pickle
+
+    sent = pickle.loads(pickle.dumps(L.Model(model.network).prepare(["the", "map"])))
+    want = L.Model(model.network).score(["The map", "MAP the the"])
+    assert len(pickle.loads(pickle.dumps(L.Model(model.network))).memo) == 0
+    monkeypatch.setattr(L.Network, "pooled", None)  # nothing is left for it
+    assert np.allclose(sent.score(["The map", "MAP the the"]), want, atol=1e-5)
+
+
+def test_texts_cleaned_together():
+    noise = L.re.compile(r"https?://\S+|`[^`\n]*`|<[^<>\n]+>|\b\S+@\S+")
+    texts = ["see http://a.b/<c> or x@y.z\n- `a <b\n> c` <d\n(me@there.org) `e@f` g", "@", "", "a <b> c", "`x` @y z@", "a\n@b\n`c`\nhttps://d e@f"]
+    want = [noise.sub(" ", t) for t in texts]
+    assert [L._clean(t) for t in texts] == L._cleaned(texts) == want and L._cleaned([*texts, "a\0 <b>"]) == [*want, "a\0  "]
+
+
+def test_ends_of_sentences():
+    text = "“A b.” C! D… 1.5 e.\n- f\n# g。」甲！ 乙 h؟ i."
+    stop = L.re.compile(r"(?<=[.!?…])[\"”’»“)\]]*\s+|(?<=[。！？।؟])[”’」』»）)]*\s*|\n(?=[-*|#>])")
+    for t in (text, text[:28], "", " . ", "a"):
+        assert L.sentences(t) == [s for s in stop.split(t) if s and s.strip()]
+
+
+def test_models_of_languages_and_residue_share_one_shuffle(spark, tiny, monkeypatch):
+    """As good as each fitted alone; no text is shuffled again after its wording is known."""
+    from vellumine.llm import queries as Q
+    from vellumine.llm import residue as R
+
+    plans = []
+    monkeypatch.setattr(L, "once", lambda rows, once=L.once: (plans.append(once(rows)._jdf.queryExecution().executedPlan().toString()), once(rows))[1])
+    languages, residues = Q._language_and_residue_models(spark, tiny)
+    assert len(plans) == 1 and "Exchange" not in plans[0].split("InMemoryTableScan")[0]
+    alone = Q.language_model(spark, tiny)
+    assert all(np.array_equal(languages.network.p[k], alone.network.p[k]) for k in alone.network.p)
+    want = R.fit(spark.read.parquet(f"{tiny}/documents.parquet"))
+    assert all(np.array_equal(getattr(residues, k), getattr(want, k)) for k in ("ratios", "slots", "shapes"))

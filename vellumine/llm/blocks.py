@@ -13,6 +13,7 @@ _LIST = re.compile(r"\s{0,3}(?:[-*+]\s|\d{1,9}[.)]\s)")
 _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
 _RULE = re.compile(r"\s*(?:[-*_]\s*){3,}$")
+_UNDERLINED = re.compile(r"[^\n]*\n\s*(?:=+|-+)\s*$")
 RUNNING = "text"
 
 
@@ -27,12 +28,11 @@ def blocks(text: str) -> list[Block]:
     """Kinds: text, heading, list, table, code, quote, comment, front."""
     out: list[Block] = []
     at, n, fence, front = 0, len(text), "", False
-    edges = [(m.start(), m.end()) for m in _GAP.finditer(text)] + [(n, n)]
+    edges = [m.span() for m in _GAP.finditer(text)] + [(n, n)]
     for stop, after in edges:
         piece = text[at:stop]
-        if piece.strip():
+        if body := piece.strip():
             lead = len(piece) - len(piece.lstrip())
-            body = piece.strip()
             kind = RUNNING
             if fence:
                 kind = "code"
@@ -41,28 +41,31 @@ def blocks(text: str) -> list[Block]:
             elif front:
                 kind = "front"
                 front = not re.search(r"(?m)^---\s*$", piece)
-            elif m := _FENCE.match(body):
+            elif (first := body[0]).isalpha():  # most blocks: no sign begins them
+                if body[-1] in "=-" and _UNDERLINED.match(body):
+                    kind = "heading"
+            elif first in "`~" and (m := _FENCE.match(body)):
                 kind = "code"
                 if not re.search(r"(?m)^\s{0,3}" + re.escape(m.group(1)) + r"[`~]*\s*$", body[m.end() :]):
                     fence = m.group(1)
-            elif body.startswith("---") and not out and body.split("\n", 1)[0].strip() == "---":
+            elif not out and body.startswith("---") and body.split("\n", 1)[0].strip() == "---":
                 kind = "front"
                 front = not re.search(r"(?m)^---\s*$", body[3:])
-            elif body.startswith("<!--") or (body[0] == "<" and body[-1] == ">"):
+            elif body.startswith("<!--") or (first == "<" and body[-1] == ">"):
                 kind = "comment"
-            elif _HEADING.match(body):
+            elif first == "#" and _HEADING.match(body):
                 kind = "heading"
-            elif body[0] == "|":
+            elif first == "|":
                 kind = "table"
-            elif body[0] == ">":
+            elif first == ">":
                 kind = "quote"
-            elif _RULE.match(body):
+            elif first in "-*_" and _RULE.match(body):
                 kind = "comment"
             elif _LIST.match(body):
                 kind = "list"
-            elif body[0] == "`" and body[-1] == "`" and body.count("`") == 2:
+            elif first == "`" and body[-1] == "`" and body.count("`") == 2:
                 kind = "code"
-            elif re.match(r"[^\n]*\n\s*(?:=+|-+)\s*$", body):
+            elif body[-1] in "=-" and _UNDERLINED.match(body):
                 kind = "heading"
             start = at + lead
             out.append(Block(len(out), start, start + len(body), kind))
@@ -72,4 +75,4 @@ def blocks(text: str) -> list[Block]:
 
 def wording(text: Column) -> Column:
     """A text without regard to case and to the numbers and codes in it, so that copies that differ in these are one."""
-    return F.regexp_replace(F.lower(text), r"(?<![a-z0-9])[a-z]{0,16}[0-9][a-z0-9]*", "0")
+    return F.regexp_replace(F.lower(text), r"(?<![a-z0-9])[a-z]{0,16}+[0-9][a-z0-9]*+", "0")

@@ -20,10 +20,12 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, partial
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +70,17 @@ _RUN = re.compile(
     r"(?P<Kana>[぀-ヿㇰ-ㇿｦ-ﾟ]{1,8})|(?P<Han>[々㐀-䶿一-鿿豈-﫿]{1,8})|(?P<Thai>[฀-๿]{1,9})"
     rf"|(?P<Devanagari>[ऀ-ॣ॰-ॿ]{{1,{RUN}}})|(?P<Arabic>[ؐ-ٟؠ-ۿݐ-ݿ]{{1,{RUN}}})|(?P<Cyrillic>[Ѐ-ӿ]{{1,{RUN}}})|(?P<Latin>[A-Za-zÀ-ÖØ-öø-ɏ]{{1,{RUN}}})"
 )
+_ANY = re.compile(re.sub(r"\?P<\w+>", "?:", _RUN.pattern))
 _LATIN = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ɏ]{{1,{RUN}}}")
+_FAR = re.compile(r"[Ā-῿⺀-\uffff]")
+_LETTERS = bytes(c if c == 0 or _LATIN.match(chr(c)) else 32 for c in range(256))
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _SPACELESS = re.compile(r"[\u0e00-\u0e7f\u3040-\u9fff\uff66-\uff9f]")
 _OTHER = re.compile(r"[Ͱ-῿⺀-\uffff]")
-_NOISE = re.compile(r"https?://\S+|`[^`\n]*`|<[^<>\n]+>|\b\S+@\S+")
-_STOP = re.compile(r"(?<=[.!?…])[\"”’»“)\]]*\s+|(?<=[。！？।؟])[”’」』»）)]*\s*|\n(?=[-*|#>])")
+_NOISE = {"://": r"https?://\S+", "`": r"`[^`\n]*`", "<": r"<[^<>\n]+>", "@": r"\b\S+@\S+"}  # what is no language, by a sign that it holds
+_STOP = re.compile(r"([.!?…])[\"”’»“)\]]*\s+|\n(?=[-*|#>])")
+_WIDE_STOP = re.compile(r"[。！？।؟]")
+_ANY_STOP = re.compile(r"[.!?…]([\"”’»“)\]]*\s+)|[。！？।؟]([”’」』»）)]*\s*)|(\n)(?=[-*|#>])")
 
 
 def code_of(label: str | None) -> str | None:
@@ -91,57 +98,92 @@ def code_of(label: str | None) -> str | None:
     return "?" if re.search(r"[^\W\d_]{2}", name) else None
 
 
+@cache
+def _noise(signs: str) -> re.Pattern:
+    return re.compile("|".join(x for sign, x in _NOISE.items() if sign in signs))
+
+
 def _clean(text: str) -> str:
-    return _NOISE.sub(" ", text) if "://" in text or "`" in text or "<" in text or "@" in text else text
+    """A text with blanks for its addresses, code and tags, none of which goes beyond a line."""
+    signs = [x for x in _NOISE if x in text]
+    if not signs:
+        return text
+    clean = partial(_noise("".join(signs)).sub, " ")
+    if "@" not in signs:
+        return clean(text)
+    plain = _noise("".join(signs[:-1])).sub if len(signs) > 1 else lambda _, t: t
+    out, at = [], 0  # addresses are sought at every word, so only in the lines that have their sign
+    while (k := text.find("@", at)) >= 0:
+        a, b = text.rfind("\n", at, k) + 1 or at, text.find("\n", k) + 1 or len(text)
+        out += [plain(" ", text[at:a]), clean(text[a:b])]
+        at = b
+    return "".join([*out, plain(" ", text[at:])])
+
+
+def _cleaned(texts: list[str]) -> list[str]:
+    """_clean of many texts at once."""
+    joined = "\n\0\n".join(texts)
+    if joined.count("\0") >= len(texts):
+        return [_clean(t) for t in texts]
+    return _clean(joined).split("\n\0\n") if texts else []
 
 
 def _runs(text: str) -> list[str]:
     """The runs of letters of a text, each of one script."""
-    if _OTHER.search(text) is None:
-        return _LATIN.findall(text)
-    return [m.group() for m in _RUN.finditer(text)]
+    return (_LATIN if _OTHER.search(text) is None else _ANY).findall(text)
 
 
 def _script(run: str) -> str:
     return _RUN.match(run).lastgroup
 
 
-_SIGNS = "".join(map(chr, range(0x10000)))
-_GROUPS = list(_RUN.groupindex)
-_MOST = np.array([1, *({"Kana": 8, "Han": 8, "Thai": 9}.get(g, RUN) for g in _GROUPS)], np.int32)  # characters of a run of each script
-_KIND = np.zeros(0x110000, np.uint8)  # the script of each character, 0 where it is none of a run
-for _m in _RUN.finditer(_SIGNS):
-    _KIND[_m.start() : _m.end()] = 1 + _GROUPS.index(_m.lastgroup)
-_MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, RUN, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.append(_MIX, np.uint64(0))  # the last one for what is no letter
+def _near(text: str) -> bool:
+    """Whether no letter of a text lies beyond Latin-1."""
+    return text.isascii() or _FAR.search(text) is None
 
 
 def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct runs of texts; and of every run, in its order, its place among these and its text.
 
-    The runs are those of _runs; they are told apart by a hash of 64 bits.
+    The runs are those of _runs. Where no letter lies beyond Latin-1, those of all such texts are cut at once.
     """
-    joined = "\n".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _KIND[codes]
-    edge = np.ones(len(kind), bool)
-    edge[1:] = kind[1:] != kind[:-1]
-    first = np.flatnonzero(edge)
-    at = np.arange(len(kind), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(first, append=len(kind)))
-    far = np.flatnonzero(at >= _MOST[kind])
-    at[far] %= _MOST[kind[far]]
-    at[kind == 0] = -1
-    starts = np.flatnonzero(at == 0)
-    if not len(starts):
-        return [], starts, starts
-    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _MIX[at]
-    _, index, place = np.unique(np.add.reduceat(mixed, starts), return_index=True, return_inverse=True)
-    sizes = np.diff(np.cumsum(at >= 0)[[*starts[1:] - 1, -1]], prepend=0)
-    runs = [joined[a : a + n] for a, n in zip(starts[index].tolist(), sizes[index].tolist())]
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return runs, place, np.searchsorted(begin, starts, "right") - 1
+    near, far = [], []
+    for i, t in enumerate(texts):
+        (near if _near(t) else far).append(i)
+    parts = [texts[i] for i in near]
+    joined = " \0 ".join(parts)
+    if joined.count("\0") >= max(1, len(near)):
+        joined = " \0 ".join(t.replace("\0", " ") for t in parts)
+    cut = [joined.encode("latin-1", "replace").translate(_LETTERS).decode("latin-1")] if near else []
+    runs, place = _distinct(" \0 ".join([*cut, *(" ".join(_runs(texts[i])) for i in far)]))
+    if max(map(len, runs), default=0) > RUN:
+        far, near = range(len(texts)), []
+        runs, place = _distinct(" \0 ".join(" ".join(_runs(t)) for t in texts))
+    if "\0" not in runs:
+        return runs, place, np.full(len(place), [*near, *far][0] if texts else 0)
+    zero = runs.index("\0")
+    runs.pop(zero)
+    letters = place != zero
+    owner = np.array([*near, *far])[np.cumsum(~letters)[letters]]
+    place = place[letters]
+    place -= place > zero
+    if near and far:
+        order = np.argsort(owner, kind="stable")
+        owner, place = owner[order], place[order]
+    return runs, place, owner
+
+
+def _distinct(words: str) -> tuple[list[str], np.ndarray]:
+    """The distinct words of a text with blanks between them, and the place of each word among these."""
+    data = np.frombuffer(words.encode() + b" ", np.uint8)
+    keep = data != 32
+    keep[1:] |= keep[:-1]  # one blank after each word
+    data = data[keep]
+    ends = np.flatnonzero(data == 32)
+    at = np.zeros(len(ends) + 1, np.int32)
+    at[1:] = ends + 1
+    found = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    return [w[:-1].decode() for w in found.dictionary.to_pylist()], found.indices.to_numpy().astype(np.int64)
 
 
 # ---- network ---------------------------------------------------------------------------------------------------
@@ -174,12 +216,13 @@ class Network:
         xs = x @ w + c
         states, trace = np.empty((len(x), x.shape[1], HIDDEN), np.float32), []
         for t in range(len(x)):
-            a = h @ u[:, : 2 * HIDDEN]
-            z = _sigmoid(xs[t, :, :HIDDEN] + a[:, :HIDDEN])
-            r = _sigmoid(xs[t, :, HIDDEN : 2 * HIDDEN] + a[:, HIDDEN:])
+            a = _sigmoid(xs[t, :, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
+            z, r = a[:, :HIDDEN], a[:, HIDDEN:]
             n = np.tanh(xs[t, :, 2 * HIDDEN :] + (r * h) @ u[:, 2 * HIDDEN :])
             m = live[t][:, None]
-            new = m * ((1 - z) * h + z * n) + (1 - m) * h
+            new = (1 - z) * h + z * n
+            if not m.all():
+                new = m * new + (1 - m) * h
             if keep:
                 trace.append((h, z, r, n, m))
             h = new
@@ -296,10 +339,18 @@ class Model:
             self.masks[script] = mask
         self.memo: dict[str, int] = {}
         self.values = np.empty((0, len(at)), np.float32)
-        self.filled = 0
+        self.filled = self.prepared = 0
 
     def __getstate__(self) -> dict:
-        return {"network": self.network, "masks": self.masks, "memo": {}, "values": self.values[:0], "filled": 0}
+        n = self.prepared
+        return {"network": self.network, "masks": self.masks, "memo": dict(islice(self.memo.items(), n)), "values": self.values[:n], "filled": n, "prepared": n}
+
+    def prepare(self, runs: list[str]) -> "Model":
+        """Remembers runs, as the network reads them, which then go to the executors with the model: RUNS of each language at most."""
+        if runs:
+            self._remember(runs, self._values(runs))
+            self.prepared = self.filled
+        return self
 
     def _values(self, runs: list[str]) -> np.ndarray:
         z = self.network.pooled(runs) + np.stack([self.masks[_script(r)] for r in runs])
@@ -309,7 +360,7 @@ class Model:
     def _remember(self, runs: list[str], z: np.ndarray) -> None:
         if len(self.memo) + len(runs) > MEMO:
             self.memo.clear()
-            self.filled = 0
+            self.filled = self.prepared = 0
         if len(runs) > MEMO:
             return
         if self.filled + len(runs) > len(self.values):
@@ -333,20 +384,23 @@ class Model:
         return out
 
     def _slice(self, texts: list[str], out: np.ndarray) -> None:
-        self._pool(*_split([_clean(t) for t in texts]), out)
+        self._pool(*_split(_cleaned(texts)), out)
 
     def _pool(self, distinct: list[str], place: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
         """Adds up the values of the runs of each text, as _split gives them."""
         if not distinct:
             return
-        known = np.array([self.memo.get(r, -1) for r in distinct])
+        low = [r.lower() for r in distinct]  # as the network reads them
+        known = np.array([self.memo.get(r, -1) for r in low])
         values = np.empty((len(distinct), out.shape[1]), np.float32)
         values[known >= 0] = self.values[known[known >= 0]]
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            fresh = [distinct[i] for i in new.tolist()]
-            values[new] = self._values(fresh)
-            self._remember(fresh, values[new].copy())
+        new = np.flatnonzero(known < 0).tolist()
+        if new:
+            fresh = {low[i]: distinct[i] for i in new}
+            z = self._values(list(fresh.values()))
+            at = {r: k for k, r in enumerate(fresh)}
+            values[new] = z[[at[low[i]] for i in new]]
+            self._remember(list(fresh), z)
         wide = np.array([max(1.0, len(r) / WORD) if r[0] > "\u0dff" and _SPACELESS.match(r) else 1.0 for r in distinct], np.float32)
         values *= wide[:, None]  # a run of a spaceless script is as many words as it is long
         sizes = np.bincount(owner, minlength=len(out))
@@ -385,8 +439,8 @@ def run_counts(texts: Iterable[tuple[str, str]], model: Model | None = None) ->
         # one long text in pieces, or several short ones
         parts = [[t for t, _ in held]] if len(held) > 1 else [[p] for p in _pieces(held[0][0])]
         codes = [c for _, c in held]
-        found = [_split([_clean(t.lower()) for t in p]) for p in parts] if len(parts) == 1 else None
-        again = lambda: found or (_split([_clean(t.lower()) for t in p]) for p in parts)
+        found = [_split(_cleaned([t.lower() for t in p])) for p in parts] if len(parts) == 1 else None
+        again = lambda: found or (_split(_cleaned([t.lower() for t in p])) for p in parts)
         if model:
             scores = np.zeros((len(held), len(model.network.languages)), np.float32)
             for runs, place, owner in again():
@@ -475,10 +529,16 @@ def _trained(spark: SparkSession, counts: list[tuple[str, str | None, int]], ste
 
 
 def fit_once(spark: SparkSession, rows: DataFrame | list[tuple[str, str]]) -> Model:
-    """The model fitted on all rows: text, code, of which some are labelled wrongly."""
+    """The model fitted on all rows: text, code, of which some are labelled wrongly. They are read twice."""
     texts = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "text string, code string")
-    first = _trained(spark, counted(texts), STEPS, 1)
-    return Model(_trained(spark, counted(texts, Model(first[1])), AGAIN, 2, first)[1])
+    counts = counted(texts)
+    first = _trained(spark, counts, STEPS, 1)
+    counts = counted(texts, Model(first[1]).prepare(_common(counts)))
+    return Model(_trained(spark, counts, AGAIN, 2, first)[1]).prepare(_common(counts))
+
+
+def _common(counts: list[tuple[str, str | None, int]]) -> list[str]:
+    return sorted({r for _, r, _ in counts if r is not None})
 
 
 def code_column(label: Column) -> Column:
@@ -488,16 +548,26 @@ def code_column(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, low), F.try_element_at(table, F.regexp_extract(low, r"^([^-_ (]+)", 1)))
 
 
+def labelled(sources: list[DataFrame]) -> DataFrame:
+    """code, text of every labelled text that is not blank. sources: frames of id, text, lang."""
+    rows = None
+    for x in sources:
+        one = x.withColumn("code", code_column(F.col("lang"))).where("code is not null and trim(text) <> ''").select("code", "text")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def texts_once(sources: list[DataFrame]) -> DataFrame:
     """text, code: every labelled text, whole. sources: frames of id, text, lang.
 
     A wording counts once for each language it is labelled with, however many ids have it.
     """
-    rows = None
-    for s in sources:
-        one = s.withColumn("code", code_column(F.col("lang"))).where("code is not null and trim(text) <> ''").select("code", "text")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("code", F.xxhash64(wording(F.col("text"))).alias("h")).agg(F.min("text").alias("text")).select("text", "code")
+    return once(labelled(sources).withColumn("h", F.xxhash64(wording(F.col("text")))))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """text, code: one text of each wording and code. rows: code, text, h, the wording's hash."""
+    return rows.groupBy("code", "h").agg(F.min("text").alias("text")).select("text", "code")
 
 
 def sample(sources: list[DataFrame], size: int) -> list[tuple[str, str]]:
@@ -512,8 +582,21 @@ def sample(sources: list[DataFrame], size: int) -> list[tuple[str, str]]:
 # ---- texts -----------------------------------------------------------------------------------------------------
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _STOP.split(text) if s and s.strip()]
+def sentences(text: str, near: bool = False) -> list[str]:
+    """The pieces of a text between its ends of sentences, after an end mark and what closes with it, and its lines that a sign begins.
+
+    near: whether it is known to hold no character that _FAR looks for.
+    """
+    if near or _WIDE_STOP.search(text) is None:
+        cut = _STOP.split(text)
+        pieces = [a + mark if mark else a for a, mark in zip(cut[::2], cut[1::2])] if len(cut) > 1 else []
+        return [s for s in [*pieces, cut[-1]] if s and not s.isspace()]
+    out, at = [], 0
+    for m in _ANY_STOP.finditer(text):
+        a, b = m.span(m.lastindex)
+        out.append(text[at:a])
+        at = b
+    return [s for s in [*out, text[at:]] if s and not s.isspace()]
 
 
 def label_texts(model: Model, texts: list[str | None], labels: list[str | None] | None = None) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
@@ -522,6 +605,7 @@ def label_texts(model: Model, texts: list[str | None], labels: list[str | None]
     The language of a text is the one of most of its running text, in characters, of which the wide ones count more.
     """
     units: list[str] = []
+    sizes: list[float] = []  # characters of each unit
     firsts: list[int] = []  # first unit of each chosen block
     numbers: list[int] = []  # block number, -1 where the text has no running text
     starts: list[int] = []  # first chosen block of each text
@@ -529,17 +613,18 @@ def label_texts(model: Model, texts: list[str | None], labels: list[str | None]
         starts.append(len(firsts))
         if not t or not t.strip():
             continue
-        found = blocks(t)
+        found, near = blocks(t), _near(t)
         chosen = [b for b in found if b.kind == RUNNING]
         running = bool(chosen)
         if not running:
             chosen = [b for b in found if b.kind in ("quote", "heading", "list")] or [b for b in found if b.kind in ("front", "table")]
         for b in chosen:
-            own = sentences(t[b.start : b.end])
+            own = sentences(t[b.start : b.end], near)
             if own:
                 firsts.append(len(units))
                 numbers.append(b.no if running else -1)
                 units += own
+                sizes += map(len, own) if near else [len(u) + 1.5 * len(_WIDE.findall(u)) for u in own]
     langs, n = model.network.languages, len(model.network.languages)
     if not units:
         return [(None, 0.0, []) for _ in texts]
@@ -547,7 +632,7 @@ def label_texts(model: Model, texts: list[str | None], labels: list[str | None]
     pair = np.partition(scores, -2, axis=1)[:, -2:]
     sure = (pair[:, 1] - pair[:, 0]) > MARGIN
     pick = scores.argmax(1)
-    size = np.array([len(u) + 1.5 * len(_WIDE.findall(u)) for u in units])
+    size = np.array(sizes, np.float64)
     ends = np.array([*firsts[1:], len(units)])
     block_of = np.repeat(np.arange(len(firsts)), ends - np.array(firsts))
     nb = len(firsts)
@@ -560,32 +645,31 @@ def label_texts(model: Model, texts: list[str | None], labels: list[str | None]
     own = np.add.reduceat(scores * mine[:, None], firsts, axis=0)
     z = np.exp(totals - totals.max(1, keepdims=True))
     z /= z.sum(1, keepdims=True)
-    count = votes.sum(1)
-    share = np.where((count > 0) & (count > votes[np.arange(nb), best]), votes[np.arange(nb), best] / np.maximum(count, 1), z[np.arange(nb), best])
+    count, row = votes.sum(1), np.arange(nb)
+    share = np.where((count > 0) & (count > votes[row, best]), votes[row, best] / np.maximum(count, 1), z[row, best])
     said_something = totals.any(1)
-    out = []
+    # of each text that has blocks
     starts.append(nb)
-    for i, (a, b) in enumerate(zip(starts, starts[1:])):
-        if a == b or not said_something[a:b].any():
-            out.append((None, 0.0, []))
-            continue
-        text_chars, pooled = (chars[a], totals[a]) if b == a + 1 else (chars[a:b].sum(0), totals[a:b].sum(0))
-        top = text_chars.max()
-        k = int(pooled.argmax()) if not top else int(np.where(text_chars == top, pooled, -np.inf).argmax())
-        said = code_of(labels[i]) if labels else None
-        if said in langs and pooled[k] - pooled[langs.index(said)] < DOUBT:
-            k = langs.index(said)
-        part = text_chars[k] / text_chars.sum() if top else 1.0
-        if part >= 1:
-            p = np.exp(pooled - pooled.max())
-            part = p[k] / p.sum()
-        kept = []
-        for j in range(a, b):
-            if numbers[j] >= 0 and said_something[j]:
-                x = int(best[j])
-                # a block is in another language only where its own sentences say so clearly
-                kept.append((numbers[j], langs[x] if x == k or own[j, x] - own[j, k] > EVIDENCE else langs[k], float(share[j])))
-        out.append((langs[k], float(part), kept))
+    has = [i for i, (a, b) in enumerate(zip(starts, starts[1:])) if a < b]
+    begin = [starts[i] for i in has]
+    text_chars, pooled = np.add.reduceat(chars, begin, axis=0), np.add.reduceat(totals, begin, axis=0)
+    top, line = text_chars.max(1), np.arange(len(has))
+    kept_k = np.where(top[:, None] == 0, pooled, np.where(text_chars == top[:, None], pooled, -np.inf)).argmax(1)
+    codes = {label: code_of(label) for label in set(labels)} if labels else {}
+    said = np.array([langs.index(c) if labels and (c := codes[labels[i]]) in langs else -1 for i in has])
+    kept_k = np.where((said >= 0) & (pooled[line, kept_k] - pooled[line, said] < DOUBT), said, kept_k)
+    p = np.exp(pooled - pooled.max(1, keepdims=True))
+    part = np.where(top > 0, text_chars[line, kept_k] / np.where(top > 0, text_chars.sum(1), 1), 1.0)
+    part = np.where(part >= 1, p[line, kept_k] / p.sum(1), part).tolist()
+    # a block is in another language only where its own sentences say so clearly
+    k_of = np.repeat(kept_k, np.diff(begin, append=nb))
+    block_lang = np.where(own[row, best] - own[row, k_of] > EVIDENCE, best, k_of).tolist()
+    some, share, kept_k = said_something.tolist(), share.tolist(), kept_k.tolist()
+    out: list[tuple[str | None, float, list[tuple[int, str, float]]]] = [(None, 0.0, []) for _ in texts]
+    for x, i in enumerate(has):
+        a, b = starts[i], starts[i + 1]
+        if any(some[a:b]):
+            out[i] = (langs[kept_k[x]], part[x], [(numbers[j], langs[block_lang[j]], share[j]) for j in range(a, b) if numbers[j] >= 0 and some[j]])
     return out
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
 from . import bpe, langid, ocr, packing, pairs, residue, sentences, splitting
+from .blocks import wording
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -20,12 +22,33 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return doc.unionByName(exp).unionByName(case).where("item_id is not null")
 
 
+def _taught(spark: SparkSession, d: str) -> list[DataFrame]:
+    """text, lang of the documents, exports and expected translations, by which languages are learnt."""
+    doc = table(spark, d, "documents").select("text", "lang")
+    exp = table(spark, d, "markdown_exports").select(F.col("primary_markdown").alias("text"), "lang")
+    case = table(spark, d, "translation_cases").select(F.col("expected").alias("text"), F.col("target_lang").alias("lang"))
+    return [doc, exp, case]
+
+
 def language_model(spark: SparkSession, d: str) -> langid.Model:
     """The network, trained on all labelled documents, exports and expected translations."""
-    doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
-    exp = table(spark, d, "markdown_exports").select(F.col("export_id").cast("string").alias("id"), F.col("primary_markdown").alias("text"), "lang")
-    case = table(spark, d, "translation_cases").select("id", F.col("expected").alias("text"), F.col("target_lang").alias("lang"))
-    return langid.fit_once(spark, langid.texts_once([doc, exp, case]))
+    texts = langid.texts_once(_taught(spark, d)).persist(StorageLevel.DISK_ONLY)  # made distinct once, read twice
+    model = langid.fit_once(spark, texts)
+    texts.unpersist()
+    return model
+
+
+def _language_and_residue_models(spark: SparkSession, d: str) -> tuple[langid.Model, residue.Models]:
+    """language_model, and the models of residue fitted on all documents; wordings are told apart once for both."""
+    documents = table(spark, d, "documents").select("text", langid.code_column(F.col("lang")).alias("code"), residue.is_prose().alias("prose"))
+    others = langid.labelled(_taught(spark, d)[1:]).withColumn("prose", F.lit(False))
+    taught = F.col("code").isNotNull() & (F.trim("text") != "")
+    rows = documents.where(taught | F.col("prose")).unionByName(others).withColumn("h", F.xxhash64(wording(F.col("text"))))
+    rows = rows.repartition("h").persist(StorageLevel.DISK_ONLY)
+    rows.count()  # from here on it is known that they are apart by h, so that no other shuffle follows
+    models = langid.fit_once(spark, langid.once(rows.where(taught))), residue.fit_on(residue.once(rows.where("prose")))
+    rows.unpersist()
+    return models
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -38,8 +61,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
     Residue is only looked for in documents that have a case; those with residue are left out.
     """
-    cases = langid.wrong_labels(_labelled(spark, d), language_model(spark, d), keep_text=True)
-    shared = spark.sparkContext.broadcast(residue.fit(table(spark, d, "documents")))
+    languages, residues = _language_and_residue_models(spark, d)
+    cases = langid.wrong_labels(_labelled(spark, d), languages, keep_text=True)
+    shared = spark.sparkContext.broadcast(residues)
 
     def without_residue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
